@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import evaluation  # noqa: F401
+from catalog import evaluation, tables  # noqa: F401

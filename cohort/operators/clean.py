@@ -143,8 +143,14 @@ def learn_fills(
     )
 
 
+def columns_with_nulls(df: DataFrame, names: Sequence[str]) -> list[str]:
+    row = df.agg(*[F.max(column(c).isNull()).alias(f"c{i}") for i, c in enumerate(names)]).first() if names else ()
+    return [c for c, has in zip(names, row) if has]
+
+
 def fill_medians(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    names = numeric_columns(df) if names is None else names
+    """Medians for the nulls of numeric columns; a column without nulls keeps its type."""
+    names = columns_with_nulls(df, numeric_columns(df) if names is None else names)
     return learn_fills(df, numeric=names).transform(df) if names else df
 
 

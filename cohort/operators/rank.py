@@ -51,25 +51,27 @@ def running_totals(
     by: Sequence[str] = (),
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Add ``cum_<s>``: the sum of ``s`` over cells of the same group with value <= this one.
+    """Add ``cum_<s>``, the sum of ``s`` over cells of the group with value <= this one, and
+    ``tot_<s>``, its sum over the whole group.
 
     ``cells`` holds one row per (by, value). Without ``bucket`` the distinct values of a
     group must be few by construction (rounded scores, bins, levels).
     """
-    order = Window.partitionBy(*[column(c) for c in by]).orderBy(column(value))
+    group = Window.partitionBy(*[column(c) for c in by])
     if bucket is None:
-        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return cells.select("*", *[F.sum(column(s)).over(upto).alias(f"cum_{s}") for s in sums])
+        upto = group.orderBy(column(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return cells.select(
+            "*", *[F.sum(column(s)).over(upto).alias(f"cum_{s}") for s in sums],
+            *[F.sum(column(s)).over(group).alias(f"tot_{s}") for s in sums],
+        )
     keys = [*by, "_bucket"]
     cut = cells.withColumn("_bucket", bucket)
     totals = cut.groupBy(*[column(c) for c in keys]).agg(*[F.sum(column(s)).alias(f"_t_{s}") for s in sums])
-    earlier = (
-        Window.partitionBy(*[column(c) for c in by]).orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[column(c) for c in keys],
         *[F.coalesce(F.sum(column(f"_t_{s}")).over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *[F.sum(column(f"_t_{s}")).over(group).alias(f"tot_{s}") for s in sums],
     )
     inside = (
         Window.partitionBy(*[column(c) for c in keys]).orderBy(column(value))
@@ -79,6 +81,7 @@ def running_totals(
     return joined.select(
         *[column(c) for c in cells.columns],
         *[(F.sum(column(s)).over(inside) + column(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
+        *[column(f"tot_{s}") for s in sums],
     )
 
 
@@ -90,17 +93,30 @@ def _column_bucket(bounds: Mapping[str, Sequence[float]], name: str, value: str)
     return F.expr(f"CASE {quoted(name)} {parts} ELSE 0 END")
 
 
-def value_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Counts per (by, column, value) over numeric columns; the partial sums run map-side."""
-    long = melt(df, columns, by, cast="double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return long.groupBy(*[column(c) for c in by], "column", "value").agg(F.count(F.lit(1)).alias("n"))
+def value_cells(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), parts: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Counts per (by, column, value) over numeric columns; the partial sums run map-side.
 
+    ``parts`` adds counts of the rows that meet a condition, such as one group or sample.
+    """
+    parts = parts or {}
+    source = df.select(*[column(c) for c in [*by, *columns]], *[c.alias(f"_is_{k}") for k, c in parts.items()])
+    long = melt(source, columns, [*by, *[f"_is_{k}" for k in parts]], cast="double")
+    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.groupBy(*[column(c) for c in by], "column", "value").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(f"_is_{k}"), 1)).alias(k) for k in parts]
+    )
 
-def ranked_cells(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+
+def ranked_cells(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), parts: Mapping[str, Column] | None = None
+) -> DataFrame:
     """``value_cells`` with ``cum_n``; ranks of a cell are ``cum_n - n + 1 .. cum_n``."""
     bounds = range_bounds(df, columns)
-    cells = value_cells(df, columns, by)
-    return running_totals(cells, "value", ["n"], [*by, "column"], _column_bucket(bounds, "column", "value"))
+    cells = value_cells(df, columns, by, parts)
+    sums = ["n", *(parts or {})]
+    return running_totals(cells, "value", sums, [*by, "column"], _column_bucket(bounds, "column", "value"))
 
 
 def mid_rank(n: str = "n", cum: str = "cum_n") -> Column:
@@ -127,18 +143,14 @@ def quantiles(
     """Exact quantiles by linear interpolation: ``(by, column, n, q25, q50, ...)``."""
     ranked = ranked_cells(df, columns, by)
     keys = [*by, "column"]
-    sizes = (
-        value_cells(df, columns, by).groupBy(*[column(c) for c in keys]).agg(F.sum("n").alias("_size"))
-    )
-    cells = ranked.join(sizes, keys)
     picks = []
     for p in probabilities:
-        at = F.lit(float(p)) * (F.col("_size") - 1).cast("double")
+        at = F.lit(float(p)) * (F.col("tot_n") - 1).cast("double")
         for side, fn in (("lo", F.floor), ("hi", F.ceil)):
             rank = fn(at)
             inside = (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
             picks.append(F.max(F.when(inside, F.col("value"))).alias(f"_{side}_{quantile_name(p)}"))
-    found = cells.groupBy(*[column(c) for c in keys]).agg(F.max("_size").alias("n"), *picks)
+    found = ranked.groupBy(*[column(c) for c in keys]).agg(F.max("tot_n").alias("n"), *picks)
     out = []
     for p in probabilities:
         name = quantile_name(p)
