@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import evaluation, statistics, tables  # noqa: F401
+from catalog import comparison, evaluation, statistics, tables  # noqa: F401
