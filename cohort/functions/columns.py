@@ -97,3 +97,14 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for n, t in df.dtypes
         ]
     )
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group keys in which a null group matches itself."""
+    renamed = right.select(
+        *[(column(c).alias(f"_key_{keys.index(c)}") if c in keys else column(c)) for c in right.columns]
+    )
+    match = F.lit(True)
+    for i, k in enumerate(keys):
+        match = match & left[quoted(k)].eqNullSafe(F.col(f"_key_{i}"))
+    return left.join(renamed, match, how).drop(*[f"_key_{i}" for i in range(len(keys))])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohort.functions.columns import column, count_if, numeric_columns, ratio, string_columns
+from cohort.functions.columns import column, count_if, join_groups, numeric_columns, string_columns
 from cohort.functions.hashing import uniform
 from cohort.operators import profile as P
 from cohort.operators.rank import quantiles, value_cells
@@ -24,7 +24,7 @@ def box_stats(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFra
     keys = [*by, "column"]
     cells = value_cells(df, names, by)
     quarts = quantiles(df, names, [0.25, 0.5, 0.75], by).drop("n")
-    joined = cells.join(quarts, keys)
+    joined = join_groups(cells, quarts, keys)
     reach = F.lit(1.5) * (F.col("q75") - F.col("q25"))
     inside = (F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach)
     return joined.groupBy(*[column(k) for k in keys]).agg(

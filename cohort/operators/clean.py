@@ -127,14 +127,15 @@ def learn_fills(
     Modes take the lowest value on a tie. A numeric column without any value is dropped;
     a text column without any value is filled with ``missing``.
     """
-    found = {}
+    found, modes = {}, {}
     if numeric:
         found = {r["column"]: r["median"] for r in medians(df, numeric).collect()}  # one row per column
-    if mode_numeric:
-        found |= {r["column"]: r["value"] for r in top_values(df, mode_numeric, cast="double").collect()}
-    modes = {}
-    if text:
-        modes = {r["column"]: r["value"] for r in top_values(df, text).collect()}
+    if text or mode_numeric:
+        numbers = {c: column(c).cast("double") for c in mode_numeric}
+        words = {c: column(c).cast("string") for c in text}
+        top = top_values(df.select(*[v.alias(c) for c, v in {**numbers, **words}.items()]), [*numbers, *words]).collect()
+        found |= {r["column"]: r["number"] for r in top if r["column"] in numbers}
+        modes = {r["column"]: r["value"] for r in top}
     wanted = [*numeric, *mode_numeric]
     return Fills(
         numeric={c: float(found[c]) for c in wanted if c in found},

@@ -1,9 +1,9 @@
 """Logistic additive model: cubic B-splines, factor levels, P-IRLS over Spark.
 
 Each iteration is one pass: partitions turn their rows into the penalised normal equations
-(a p x p matrix per smoothing value), the matrices are added up by row of the matrix across
-the cluster, and only the p x p sums reach the driver, whatever the row count. All
-smoothing values of the grid advance in the same pass.
+(a p x p matrix per smoothing value), the matrices are added up block by block across the
+cluster and solved in a task, and only the coefficients reach the driver, whatever the row
+count. All smoothing values of the grid advance in the same pass.
 """
 
 from __future__ import annotations
@@ -205,16 +205,24 @@ def fit_terms(train: DataFrame, roles: ColumnRoles, n_splines: int = 10) -> list
     return terms + [Term(c, "nominal", fills.text[c], levels=list(levels[c])) for c in nominal]
 
 
-def _normal_equations(rows: DataFrame, terms: Sequence[Term], betas: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Summed X'WX and X'Wz per smoothing value, deviances and the row count."""
+LINES_PER_BLOCK = 16
+
+
+def _newton_step(
+    rows: DataFrame, terms: Sequence[Term], betas: np.ndarray, lambdas: Sequence[float], penalty: np.ndarray
+) -> list:
+    """One pass for all smoothing values: ``(g, beta, edf, deviance, n, covariance)`` each.
+
+    Partitions emit their part of [X'WX | X'Wz] in blocks of matrix lines; equal blocks are
+    added up in parallel and the system is solved in a task.
+    """
     g, p = betas.shape
 
     def partial(batches):
         gram, rhs, deviance, count = np.zeros((g, p, p)), np.zeros((g, p)), np.zeros(g), 0
         for frame in batches:
             y = frame["y"].to_numpy(float)
-            blocks = [np.ones((len(y), 1))] + [t.design(frame[f"c{i}"].tolist()) for i, t in enumerate(terms)]
-            x = np.hstack(blocks)
+            x = np.hstack([np.ones((len(y), 1))] + [t.design(frame[f"c{i}"].tolist()) for i, t in enumerate(terms)])
             for j in range(g):
                 eta = np.clip(x @ betas[j], -ETA_LIMIT, ETA_LIMIT)
                 mu = 1.0 / (1.0 + np.exp(-eta))
@@ -225,22 +233,30 @@ def _normal_equations(rows: DataFrame, terms: Sequence[Term], betas: np.ndarray)
                 rhs[j] += xw.T @ z
                 deviance[j] += -2.0 * float(np.sum(y * np.log(mu) + (1 - y) * np.log1p(-mu)))
             count += len(y)
-        if count:  # one line per matrix row, so lines of different partitions add up anywhere
+        if count:
             for j in range(g):
                 lines = np.hstack([gram[j], rhs[j][:, None], np.full((p, 1), deviance[j]), np.full((p, 1), count)])
-                yield pd.DataFrame({"g": j, "line": np.arange(p), "v": list(lines)})
+                for at in range(0, p, LINES_PER_BLOCK):
+                    yield pd.DataFrame({"g": [j], "block": [at // LINES_PER_BLOCK], "v": [lines[at:at + LINES_PER_BLOCK].ravel()]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": frame["g"].iloc[:1], "line": frame["line"].iloc[:1], "v": [np.sum(np.stack(frame["v"].to_list()), axis=0)]})
+        total = np.sum(np.stack(frame["v"].to_list()), axis=0)
+        return pd.DataFrame({"g": frame["g"].iloc[:1], "block": frame["block"].iloc[:1], "v": [total]})
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        lines = np.concatenate(frame.sort_values("block")["v"].to_list()).reshape(p, p + 3)
+        j, gram, n = int(frame["g"].iloc[0]), lines[:, :p], lines[0, p + 2]
+        ridge = RIDGE * n * np.diag([0.0] + [1.0] * (p - 1))  # the bases all contain the constant
+        inverse = np.linalg.inv(gram + lambdas[j] * penalty + ridge)
+        beta = inverse @ lines[:, p]
+        beta[1:] = np.clip(beta[1:], -COEF_LIMIT, COEF_LIMIT)
+        return pd.DataFrame({"g": [j], "beta": [beta], "edf": [float(np.sum(inverse * gram.T))], "deviance": [lines[0, p + 1]],
+                             "n": [int(n)], "covariance": [inverse.ravel()]})
 
-    schema = "g int, line int, v array<double>"
-    summed = rows.mapInPandas(partial, schema).groupBy("g", "line").applyInPandas(add, schema).collect()  # g x p lines
-    gram, rhs, deviance, count = np.zeros((g, p, p)), np.zeros((g, p)), np.zeros(g), 0
-    for r in summed:
-        v = np.array(r["v"])
-        gram[r["g"], r["line"]], rhs[r["g"], r["line"]] = v[:p], v[p]
-        deviance[r["g"]], count = v[p + 1], int(v[p + 2])
-    return gram, rhs, deviance, count
+    blocks = "g int, block int, v array<double>"
+    summed = rows.mapInPandas(partial, blocks).groupBy("g", "block").applyInPandas(add, blocks)
+    solved = summed.groupBy("g").applyInPandas(solve, "g int, beta array<double>, edf double, deviance double, n long, covariance array<double>")
+    return sorted(solved.collect(), key=lambda r: r["g"])  # one row per smoothing value
 
 
 def fit_gam(train: DataFrame, roles: ColumnRoles, n_splines: int = 10, optimize: bool = True, lambdas: Sequence[float] = LAMBDAS) -> GamModel:
@@ -256,32 +272,22 @@ def fit_gam(train: DataFrame, roles: ColumnRoles, n_splines: int = 10, optimize:
     for t in terms:
         penalty[at:at + t.width, at:at + t.width] = t.penalty()
         at += t.width
-    ridge = RIDGE * np.diag([0.0] + [1.0] * (p - 1))  # the bases all contain the constant
     betas = np.zeros((len(grid), p))
-    last = None
-    active = list(range(len(grid)))
-    results: dict[int, tuple] = {}
-    iterations = 0
-    for iterations in range(1, MAX_ITER + 1):
-        gram, rhs, deviance, n = _normal_equations(rows, terms, betas[active])
+    active, results, iterations = list(range(len(grid))), {}, 0
+    while active and iterations < MAX_ITER:
+        iterations += 1
         still = []
-        for pos, j in enumerate(active):
-            system = gram[pos] + grid[j] * penalty + ridge * n
-            edf = float(np.trace(np.linalg.solve(system, gram[pos])))
-            results[j] = (deviance[pos], edf, gram[pos], n)
-            fresh = np.linalg.solve(system, rhs[pos])
-            fresh[1:] = np.clip(fresh[1:], -COEF_LIMIT, COEF_LIMIT)
+        for j, r in zip(active, _newton_step(rows, terms, betas[active], [grid[j] for j in active], penalty)):
+            results[j], fresh = r, np.array(r["beta"])
             change = np.max(np.abs(fresh - betas[j])) / max(1.0, np.max(np.abs(betas[j])))
             betas[j] = fresh
             if change > TOLERANCE:
                 still.append(j)
         active = still
-        if not active:
-            break
     rows.unpersist()
-    gcv = {j: dev / (n * max(1.0 - edf / n, 1e-6) ** 2) for j, (dev, edf, _, n) in results.items()}
+    gcv = {j: r["deviance"] / (r["n"] * max(1.0 - r["edf"] / r["n"], 1e-6) ** 2) for j, r in results.items()}
     best = min(gcv, key=gcv.get)
-    dev, edf, matrix, n = results[best]
-    covariance = np.linalg.inv(matrix + grid[best] * penalty + ridge * n)
-    stats = {"iterations": iterations, "converged": best not in active, "deviance": float(dev), "edf": edf, "gcv": float(gcv[best]), "rows": n}
-    return GamModel(terms, betas[best], covariance, grid[best], stats)
+    r = results[best]
+    stats = {"iterations": iterations, "converged": best not in active, "deviance": float(r["deviance"]), "edf": float(r["edf"]),
+             "gcv": float(gcv[best]), "rows": int(r["n"])}
+    return GamModel(terms, betas[best], np.array(r["covariance"]).reshape(p, p), grid[best], stats)

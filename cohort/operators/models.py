@@ -65,7 +65,8 @@ def run_parallel(tasks: Sequence[Callable], workers: int = 4) -> list:
     if len(tasks) == 1:
         return [tasks[0]()]
     with ThreadPoolExecutor(min(workers, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        carry = inheritable_thread_target(_session())
+        return [f.result() for f in [pool.submit(carry(t)) for t in tasks]]
 
 
 def positive_probability(name: str = "probability") -> Column:
@@ -151,7 +152,7 @@ def with_class_weights(df: DataFrame, label: str = "y_true") -> tuple[DataFrame,
 def logistic_estimator(weight_sum: float, C: float = 1.0, max_iter: int = 1500) -> LogisticRegression:
     """L2 penalty 1/(2C)·|b|² against the summed log-loss; the intercept is free."""
     return LogisticRegression(
-        labelCol="y_true", featuresCol="features", weightCol="weight", maxIter=max_iter, tol=1e-7,
+        labelCol="y_true", featuresCol="features", weightCol="weight", maxIter=max_iter, tol=1e-6,
         regParam=1.0 / (C * weight_sum), elasticNetParam=0.0, standardization=False)
 
 

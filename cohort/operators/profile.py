@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort import roles as R
-from cohort.functions.columns import column, count_if, labelled, melt, numeric_columns, ratio, string_columns
+from cohort.functions.columns import column, count_if, join_groups, labelled, melt, numeric_columns, ratio, string_columns
 from cohort.operators.rank import medians, quantiles, value_cells
 
 # aggregate names of a group summary
@@ -73,7 +73,7 @@ def descriptive_stats(df: DataFrame, names: Sequence[str] | None = None, by: Seq
         F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"),
     )
     quarts = quantiles(df, names, [0.25, 0.5, 0.75], by).drop("n").withColumnRenamed("q50", "median")
-    return moments.join(quarts, keys, "left")
+    return join_groups(moments, quarts, keys, "left")
 
 
 def value_counts(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

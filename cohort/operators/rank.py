@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohort.functions.columns import column, melt, quoted
+from cohort.functions.columns import column, join_groups, melt, numeric_columns, quoted
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -77,7 +77,7 @@ def running_totals(
         Window.partitionBy(*[column(c) for c in keys]).orderBy(column(value))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = cut.join(offsets, keys)
+    joined = join_groups(cut, offsets, keys)
     return joined.select(
         *[column(c) for c in cells.columns],
         *[(F.sum(column(s)).over(inside) + column(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
@@ -140,9 +140,36 @@ def quantiles(
     probabilities: Sequence[float],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact quantiles by linear interpolation: ``(by, column, n, q25, q50, ...)``."""
-    ranked = ranked_cells(df, columns, by)
+    """Exact quantiles by linear interpolation: ``(by, column, n, q25, q50, ...)``.
+
+    Only bucket counts are shuffled for the whole table; values are counted one by one just
+    in the buckets that hold a wanted rank.
+    """
     keys = [*by, "column"]
+    bounds = range_bounds(df, columns)
+    long = melt(df, columns, by, cast="double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    long = long.withColumn("_bucket", _column_bucket(bounds, "column", "value"))
+    group = Window.partitionBy(*[column(c) for c in keys])
+    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = long.groupBy(*[column(c) for c in keys], "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    placed = counts.select(
+        *[column(c) for c in keys], "_bucket", (F.sum("_size").over(upto) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(upto).alias("_upto"), F.sum("_size").over(group).alias("tot_n"),
+    )
+    wanted = F.lit(False)
+    for p in probabilities:
+        at = F.lit(float(p)) * (F.col("tot_n") - 1).cast("double")
+        for fn in (F.floor, F.ceil):
+            wanted = wanted | ((F.col("_before") <= fn(at)) & (fn(at) < F.col("_upto")))
+    chosen = placed.filter(wanted).drop("_upto")
+    inside_bucket = join_groups(long, chosen, [*keys, "_bucket"])
+    cells = inside_bucket.groupBy(*[column(c) for c in keys], "_bucket", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_before").alias("_before"), F.max("tot_n").alias("tot_n"))
+    along = (
+        Window.partitionBy(*[column(c) for c in keys], "_bucket").orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = cells.withColumn("cum_n", F.sum("n").over(along) + F.col("_before"))
     picks = []
     for p in probabilities:
         at = F.lit(float(p)) * (F.col("tot_n") - 1).cast("double")
@@ -164,17 +191,21 @@ def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Da
     return quantiles(df, columns, [0.5], by).withColumnRenamed("q50", "median")
 
 
-def top_values(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), cast: str = "string"
-) -> DataFrame:
-    """Most frequent value per column, lowest value on ties: ``(by, column, value, n)``.
+def top_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Most frequent value per column, lowest value on ties: ``(by, column, value, number, n)``.
 
-    Counts come first, so a value holding a third of the rows costs one row per task.
+    ``number`` is the value of a numeric column, which is then compared as a number. Counts
+    come first, so a value holding a third of the rows costs one row per task.
     """
-    long = melt(df, columns, by, cast=cast).filter(F.col("value").isNotNull())
-    counts = long.groupBy(*[column(c) for c in by], "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value"))).alias("_b")
-    return (
-        counts.groupBy(*[column(c) for c in by], "column").agg(best)
-        .select(*[column(c) for c in by], "column", F.col("_b.value").alias("value"), (-F.col("_b.neg")).alias("n"))
-    )
+    numbers = set(numeric_columns(df))
+    pairs = F.explode(F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), column(c).cast("string").alias("value"),
+            (column(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("number"),
+        ) for c in columns
+    ]))
+    keys = [column(c) for c in by]
+    long = df.select(*keys, pairs.alias("_p")).select(*keys, "_p.column", "_p.value", "_p.number").filter(F.col("value").isNotNull())
+    counts = long.groupBy(*keys, "column", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("number"), F.col("value"))).alias("_b")
+    return counts.groupBy(*keys, "column").agg(best).select(*keys, "column", "_b.value", "_b.number", (-F.col("_b.neg")).alias("n"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions import distributions as D
 from cohort.functions.columns import column, count_if, labelled, melt, numeric_columns, ratio
+from cohort.functions.linalg import in_task
 from cohort.operators.rank import bucket_sql, medians, mid_rank, range_bounds, ranked_cells, running_totals
 
 
@@ -112,6 +113,24 @@ def anova_one_way(df: DataFrame, value: str, group: str) -> DataFrame:
 MAX_CELLS = 200_000
 
 
+def _type_two(labels, counts, means):
+    """Type II sums of squares of both factors and of the interaction, from the cells."""
+    root, means = np.sqrt(np.array(counts, float)), np.array(means, float)
+
+    def dummies(pos):
+        levels = sorted({lab[pos] for lab in labels})
+        return np.array([[float(lab[pos] == lv) for lv in levels[1:]] for lab in labels]).reshape(len(labels), -1), len(levels)
+
+    def rss(*blocks):
+        x = np.hstack([np.ones((len(labels), 1)), *blocks]) * root[:, None]
+        y = means * root
+        return float(np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2))
+
+    (xa, ka), (xb, kb) = dummies(0), dummies(1)
+    both = rss(xa, xb)
+    return rss(xb) - both, rss(xa) - both, both, ka, kb
+
+
 def anova_two_way(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
     """Two factors with interaction, Type II sums of squares, from cell means and counts.
 
@@ -125,28 +144,15 @@ def anova_two_way(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
     )
     if len(cells) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} factor cells")
-    weights = np.sqrt(np.array([c["n"] for c in cells], float))
-    means = np.array([c["mean"] for c in cells], float)
     within = float(sum((c["n"] - 1) * c["var"] for c in cells))
-
-    def dummies(name):
-        levels = sorted({c[name] for c in cells})
-        return np.array([[float(c[name] == lv) for lv in levels[1:]] for c in cells]).reshape(len(cells), -1), len(levels)
-
-    def rss(*blocks):
-        x = np.hstack([np.ones((len(cells), 1)), *blocks]) * weights[:, None]
-        y = means * weights
-        beta = np.linalg.lstsq(x, y, rcond=None)[0]
-        return float(np.sum((y - x @ beta) ** 2))
-
-    xa, ka = dummies("a")
-    xb, kb = dummies("b")
-    both = rss(xa, xb)
+    labels = [(c["a"], c["b"]) for c in cells]
+    ss_a, ss_b, both, ka, kb = in_task(
+        df.sparkSession, _type_two, labels, [c["n"] for c in cells], [c["mean"] for c in cells])
     total = int(sum(c["n"] for c in cells))
     df_within = float(total - len(cells))
     df_inter = float(len(cells) - ka - kb + 1)
     rows = []
-    for source, ss, dof in ((a, rss(xb) - both, ka - 1.0), (b, rss(xa) - both, kb - 1.0), (f"{a} * {b}", both, df_inter)):
+    for source, ss, dof in ((a, ss_a, ka - 1.0), (b, ss_b, kb - 1.0), (f"{a} * {b}", both, df_inter)):
         f = (ss / dof) / (within / df_within) if dof > 0 and df_within > 0 and within > 0 else None
         p = float(D.f_sf(f, dof, df_within)[0]) if f is not None else None
         rows.append((source, ss, dof, ss / dof if dof else None, f, p, ss / (ss + within) if ss + within else None))
@@ -417,7 +423,7 @@ def moment_matrix(df: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray,
 
 def partial_correlation(df: DataFrame, x: str, y: str, covariates: Sequence[str]) -> DataFrame:
     n, _, cov = moment_matrix(df, [x, y, *covariates])
-    precision = np.linalg.pinv(cov)
+    precision = in_task(df.sparkSession, np.linalg.pinv, cov)
     r = float(-precision[0, 1] / np.sqrt(precision[0, 0] * precision[1, 1]))
     dof = n - len(covariates) - 2
     t = r * np.sqrt(dof / max(1.0 - r * r, 1e-300))
@@ -431,7 +437,7 @@ def linear_regression(df: DataFrame, target: str, predictors: Sequence[str]) ->
     n, mean, cov = moment_matrix(df, [*predictors, target])
     k = len(predictors)
     sxx, sxy, syy = cov[:k, :k], cov[:k, k], cov[k, k]
-    inverse = np.linalg.inv(sxx)
+    inverse = in_task(df.sparkSession, np.linalg.inv, sxx)
     beta = inverse @ sxy
     intercept = mean[k] - float(beta @ mean[:k])
     dof = n - k - 1
@@ -484,9 +490,8 @@ def _varimax(loadings: np.ndarray, rounds: int = 500) -> np.ndarray:
     return (a @ rotation) * scale
 
 
-def factor_analysis(df: DataFrame, names: Sequence[str], n_factors: int = 3, rotation: str | None = "varimax") -> dict[str, DataFrame]:
-    """Least-squares factor extraction from the correlation matrix, then varimax."""
-    _, _, cov = moment_matrix(df, names)
+def _extract_factors(cov: np.ndarray, n_factors: int, rotate: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of the correlation matrix and least-squares loadings, largest factor first."""
     sd = np.sqrt(np.diag(cov))
     corr = cov / np.outer(sd, sd)
     values, _ = np.linalg.eigh(corr)
@@ -501,12 +506,18 @@ def factor_analysis(df: DataFrame, names: Sequence[str], n_factors: int = 3, rot
         if np.max(np.abs(fresh - communality)) < 1e-9:
             break
         communality = fresh
-    if rotation == "varimax" and n_factors > 1:
+    if rotate:
         loadings = _varimax(loadings)
-    elif rotation not in (None, "varimax"):
-        raise ValueError(f"unknown rotation {rotation!r}")
     loadings = loadings * np.where(loadings.sum(axis=0) < 0, -1.0, 1.0)
-    loadings = loadings[:, np.argsort(-(loadings**2).sum(axis=0))]
+    return values, loadings[:, np.argsort(-(loadings**2).sum(axis=0))]
+
+
+def factor_analysis(df: DataFrame, names: Sequence[str], n_factors: int = 3, rotation: str | None = "varimax") -> dict[str, DataFrame]:
+    """Least-squares factor extraction from the correlation matrix, then varimax."""
+    if rotation not in (None, "varimax"):
+        raise ValueError(f"unknown rotation {rotation!r}")
+    _, _, cov = moment_matrix(df, names)
+    values, loadings = in_task(df.sparkSession, _extract_factors, cov, n_factors, rotation == "varimax" and n_factors > 1)
     spark, k = df.sparkSession, len(names)
     cells = [(names[i], f"factor{j + 1}", float(loadings[i, j])) for i in range(k) for j in range(n_factors)]
     eigen = [(i + 1, float(e), float(e) / k) for i, e in enumerate(values[::-1])]
