@@ -62,3 +62,35 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(uniform("row_id", "s") < likely, "Yes").otherwise("No").alias("sensitive"),
         F.col("y_true").alias("target"),
     )
+
+
+WORKFLOWS = ["eda", "run", "compare", "fairness", "models", "profile"]
+
+
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run log per order, ``path, content``; every seventh lacks its header."""
+    key = F.col("o_orderkey")
+    word = lambda c: F.lpad(c.cast("string"), 2, "0")
+    workflow = F.element_at(F.array(*[F.lit(w) for w in WORKFLOWS]), (key % 6 + 1).cast("int"))
+    name = F.concat(F.lit("logs/20260424_"), F.lpad(key.cast("string"), 6, "0"), F.lit("_"), workflow, F.lit("_A_quick_default.log"))
+    header = F.concat(F.lit("workflow: "), workflow, F.lit("\nfamily: legacy\ndataset: "), F.col("o_orderpriority"), F.lit(
+        ".csv\nvariant: A / safe\npreset: quick\ntraining_budget_mode: default\ntimestamp: 2026-04-24T09:19:11\n\n=== console result ===\n"))
+    a, b = word(50 + key % 50), word(50 + key * 7 % 50)
+    bodies = {
+        "eda": F.concat(F.lit("Shape: "), (1000 + key).cast("string"), F.lit(" rows × 18 cols\nCó trầm cảm (1): 16 ("), a, F.lit(
+            ".55%)\n[Quality Gate] 'Suicidal thoughts = Yes' = "), b, F.lit(".3%\n[Quality Gate] 1 cột có tổng 3 giá trị thiếu\n6 visualizations saved to: out\nExploratory Data Analysis completed in 1."),
+            a, F.lit("s\nData Review completed in 0."), b, F.lit("s")),
+        "run": F.concat(F.lit("logistic: {'holdout': {'roc_auc': 0."), a, F.lit(", 'f1': 0.71}, 'ok': True}\ngam: {'holdout': {'roc_auc': 0."), b, F.lit(
+            ", 'f1': None}}\nsaved results/run_safe.json and results/board.html")),
+        "compare": F.concat(F.lit("{'logistic': {'safe_roc_auc': 0.5, 'full_roc_auc': 0."), a, F.lit(", 'roc_auc_delta_full_minus_safe': 0."), a, F.lit(
+            ", 'safe_f1': 0.5, 'full_f1': 0.6, 'f1_delta_full_minus_safe': 0.1}, 'gam': {'safe_roc_auc': 0.9, 'full_roc_auc': 0.8, 'roc_auc_delta_full_minus_safe': -0.1, 'safe_f1': 0.5, 'full_f1': 0.5, 'f1_delta_full_minus_safe': 0.0}}")),
+        "fairness": F.concat(F.lit("Analyzing fairness for logistic...\nAnalyzing fairness for CatBoost...\nresults/fairness_logistic.json\nresults/fairness_logistic.json\nFairness analysis completed in 2."), a, F.lit(
+            "s\n⚠ warning: below threshold\nTraceback: none")),
+        "models": F.concat(F.lit("Training Logistic\nROC-AUC: 0."), a, F.lit(" F1=0.5\nCatBoost fold\nroc auc = 0."), b, F.lit("\nF1: 0.6\nROC-AUC: 0.99\nreport.md")),
+        "profile": F.concat(F.lit("{'rows': "), (1000 + key).cast("string"), F.lit(", 'cols': 18, 'target_positive_rate': "), a, F.lit(
+            ".5, 'selected_columns_safe': ['Age', 'CGPA'], 'selected_columns_full': ['Age', 'CGPA', 'x ?']}\nWarnings:\n- leakage risk")),
+    }
+    body = F.lit("")
+    for w, text in bodies.items():
+        body = F.when(workflow == w, text).otherwise(body)
+    return table(spark, sf_dir, "orders").select(name.alias("path"), F.when(key % 7 == 0, body).otherwise(F.concat(header, body)).alias("content"))
