@@ -93,4 +93,5 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.lit("")
     for w, text in bodies.items():
         body = F.when(workflow == w, text).otherwise(body)
-    return table(spark, sf_dir, "orders").select(name.alias("path"), F.when(key % 7 == 0, body).otherwise(F.concat(header, body)).alias("content"))
+    orders = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)  # logs arrive as many files
+    return orders.select(name.alias("path"), F.when(key % 7 == 0, body).otherwise(F.concat(header, body)).alias("content"))

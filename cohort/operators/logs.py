@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohort.sources.artifacts import file_name, file_stem
@@ -221,7 +222,7 @@ def advanced_facts(parsed: DataFrame) -> DataFrame:
 
 def log_assessment(logs: DataFrame) -> DataFrame:
     """All facts of all logs in long form: ``(path, workflow, section, key, value)``."""
-    parsed = parse_logs(logs)
+    parsed = parse_logs(logs).persist(StorageLevel.MEMORY_AND_DISK)
     counts = log_counts(parsed)
     parts = [("log", counts.select("path", "n_lines", "n_chars", "warnings", "failed", "n_durations", "last_seconds", "html", "json", "markdown"))]
     parts += [("training", training_facts(parsed)), ("compare", compare_facts(parsed)), ("eda", eda_facts(parsed)),

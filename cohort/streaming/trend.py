@@ -16,7 +16,9 @@ def stream_trend(
 
     State holds one line per open window and group.
     """
-    marked = stream.withWatermark(time, lateness)
+    kind = dict(stream.dtypes)[time]
+    stamped = stream.withColumn(time, column(time).cast("timestamp")) if kind == "timestamp_ntz" else stream  # watermarks need instants
+    marked = stamped.withWatermark(time, lateness)
     return marked.groupBy(F.window(column(time), window).alias("_w"), *[column(b) for b in by]).agg(
         F.count(F.lit(1)).alias("n"), F.avg(column(value)).alias("mean")
     ).select(F.col("_w.start").alias("start"), *[column(b) for b in by], "n", "mean")
