@@ -156,7 +156,7 @@ def _(spark, sf):
 @query("log_eda_facts", f"""WITH {_LOGS} SELECT path, 1000+k AS rows, 18::BIGINT AS cols, a+0.55 AS positive_pct, b+0.3 AS sensitive_pct, 6::BIGINT AS charts, 1+a/100.0 AS eda_seconds, b/100.0 AS review_seconds, 1::BIGINT AS missing_columns,
    CASE WHEN b+0.3 < 60 THEN 'medium' ELSE 'high' END AS leakage, CASE WHEN a+0.55 > 55 THEN 'stratify' ELSE 'ready' END AS readiness FROM l WHERE w='eda'""", "positive_pct sensitive_pct eda_seconds review_seconds")
 def _(spark, sf):
-    return rounded(logs.eda_facts(_parsed(spark, sf)).drop("rare_columns"))
+    return rounded(logs.eda_facts(_parsed(spark, sf)).drop("rare_columns", "workflow"))
 
 
 @query("log_assessment", f"""WITH {_LOGS} SELECT w AS workflow, 'log' AS section, key, count(*) AS n FROM l, (VALUES ('n_lines'),('n_chars'),('warnings'),('failed'),('n_durations'),('html'),('json'),('markdown')) v(key) GROUP BY ALL

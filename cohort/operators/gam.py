@@ -261,10 +261,12 @@ def _newton_step(
 
 def fit_gam(train: DataFrame, roles: ColumnRoles, n_splines: int = 10, optimize: bool = True, lambdas: Sequence[float] = LAMBDAS) -> GamModel:
     """Penalised iteratively reweighted least squares; the smoothing value minimises GCV."""
+    from cohort.operators.models import spread
+
     terms = fit_terms(train, roles, n_splines)
-    rows = train.select(
+    rows = spread(train.select(
         column(roles.target).cast("double").alias("y"), *[_raw(t).alias(f"c{i}") for i, t in enumerate(terms)]
-    ).filter(F.col("y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    ).filter(F.col("y").isNotNull()))
     grid = list(lambdas) if optimize else [DEFAULT_LAMBDA]
     p = 1 + sum(t.width for t in terms)
     penalty = np.zeros((p, p))

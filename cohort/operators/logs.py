@@ -5,6 +5,7 @@ All parsing is built-in string and array functions on the row, so a log never le
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -113,8 +114,8 @@ def _from_dict(text: Column, schema: str) -> Column:
     return F.from_json(_literal_json(text), schema, {"allowSingleQuotes": "true", "allowNonNumericNumbers": "true"})
 
 
-def model_metrics(parsed: DataFrame) -> DataFrame:
-    """``(path, model, roc_auc, f1)`` from ``label: {...}`` lines, or else from prose.
+def model_metrics(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``(path, keep..., model, roc_auc, f1)`` from ``label: {...}`` lines, or else from prose.
 
     In prose a metric belongs to the model named last on this or an earlier line; a
     model keeps the first value seen of each metric.
@@ -147,22 +148,22 @@ def model_metrics(parsed: DataFrame) -> DataFrame:
 
     prose = F.aggregate(lines("body"), start, step, lambda s: s["out"])
     # the last printed dict of a label counts, the first value in prose
-    rows = parsed.select("path", printed.alias("_printed"), prose.alias("_prose"))
+    rows = parsed.select("path", *keep, printed.alias("_printed"), prose.alias("_prose"))
     use_printed = F.size("_printed") > 0
-    chosen = rows.select("path", use_printed.alias("_last"), F.posexplode(F.when(use_printed, F.col("_printed")).otherwise(F.col("_prose"))).alias("_pos", "_m"))
+    chosen = rows.select("path", *keep, use_printed.alias("_last"), F.posexplode(F.when(use_printed, F.col("_printed")).otherwise(F.col("_prose"))).alias("_pos", "_m"))
     pick = lambda c: F.when(
         F.first("_last"), F.max_by(F.col(f"_m.{c}"), F.col("_pos"))).otherwise(F.min_by(F.col(f"_m.{c}"), F.when(F.col(f"_m.{c}").isNotNull(), F.col("_pos"))))
-    return chosen.groupBy("path", F.col("_m.model").alias("model")).agg(pick("roc_auc").alias("roc_auc"), pick("f1").alias("f1"))
+    return chosen.groupBy("path", *keep, F.col("_m.model").alias("model")).agg(pick("roc_auc").alias("roc_auc"), pick("f1").alias("f1"))
 
 
-def training_facts(parsed: DataFrame) -> DataFrame:
+def training_facts(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Best and weakest model per training log, AUC spread and the high-score flag."""
-    m = model_metrics(parsed.filter(F.col("workflow").isin(TRAINING)))
+    m = model_metrics(parsed.filter(F.col("workflow").isin(TRAINING)), keep)
     key = F.coalesce("roc_auc", F.lit(-1.0))
-    s = m.groupBy("path").agg(
+    s = m.groupBy("path", *keep).agg(
         F.count(F.lit(1)).alias("n_models"), F.min(F.struct((-key).alias("k"), "model")).alias("_b"), F.max(F.struct((-key).alias("k"), "model")).alias("_w"),
         F.max("roc_auc").alias("best_auc"), F.min("roc_auc").alias("worst_auc"), F.max("f1").alias("best_f1"))
-    return s.select("path", "n_models", F.col("_b.model").alias("best_model"), F.col("_w.model").alias("weakest_model"), "best_auc", "best_f1",
+    return s.select("path", *keep, "n_models", F.col("_b.model").alias("best_model"), F.col("_w.model").alias("weakest_model"), "best_auc", "best_f1",
                     (F.col("best_auc") - F.col("worst_auc")).alias("auc_spread"), F.coalesce(F.col("best_auc") >= 0.9, F.lit(False)).alias("check_leakage"))
 
 
@@ -192,7 +193,7 @@ def eda_facts(parsed: DataFrame) -> DataFrame:
     number = lambda rx, g=1: F.replace(grab(rx, g), F.lit(","), F.lit("")).try_cast("long")
     real = lambda rx: grab(rx).try_cast("double")
     s = rows.select(
-        "path", number(SHAPE, 1).alias("rows"), number(SHAPE, 2).alias("cols"), real(POSITIVE).alias("positive_pct"), real(SENSITIVE).alias("sensitive_pct"),
+        "path", "workflow", number(SHAPE, 1).alias("rows"), number(SHAPE, 2).alias("cols"), real(POSITIVE).alias("positive_pct"), real(SENSITIVE).alias("sensitive_pct"),
         number(r"(\d+)\s+visualizations saved").alias("charts"), real(r"Exploratory Data Analysis completed in\s*([\d.]+)s").alias("eda_seconds"),
         real(r"Data Review completed in\s*([\d.]+)s").alias("review_seconds"), number(MISSING_GATE).alias("missing_columns"), number(RARE_GATE).alias("rare_columns"))
     leak = F.when(F.col("sensitive_pct").isNull(), "none").when(F.col("sensitive_pct") < 40, "low").when(F.col("sensitive_pct") < 60, "medium").otherwise("high")
@@ -205,8 +206,8 @@ def profile_facts(parsed: DataFrame) -> DataFrame:
     schema = "rows long, cols long, target_positive_rate double, selected_columns_safe array<string>, selected_columns_full array<string>"
     rows = parsed.filter(F.col("workflow") == "profile")
     dicts = F.filter(lines("body"), lambda l: strip(l).startswith("{"))
-    return rows.select("path", _from_dict(F.get(dicts, F.lit(0)), schema).alias("d")).select(
-        "path", "d.rows", "d.cols", F.col("d.target_positive_rate").alias("positive_pct"),
+    return rows.select("path", "workflow", _from_dict(F.get(dicts, F.lit(0)), schema).alias("d")).select(
+        "path", "workflow", "d.rows", "d.cols", F.col("d.target_positive_rate").alias("positive_pct"),
         F.greatest(F.size(F.coalesce("d.selected_columns_safe", F.array().cast("array<string>"))), F.lit(0)).alias("safe_columns"),
         F.greatest(F.size(F.coalesce("d.selected_columns_full", F.array().cast("array<string>"))), F.lit(0)).alias("full_columns"))
 
@@ -224,12 +225,12 @@ def log_assessment(logs: DataFrame) -> DataFrame:
     """All facts of all logs in long form: ``(path, workflow, section, key, value)``."""
     parsed = parse_logs(logs).persist(StorageLevel.MEMORY_AND_DISK)
     counts = log_counts(parsed)
-    parts = [("log", counts.select("path", "n_lines", "n_chars", "warnings", "failed", "n_durations", "last_seconds", "html", "json", "markdown"))]
-    parts += [("training", training_facts(parsed)), ("compare", compare_facts(parsed)), ("eda", eda_facts(parsed)),
-              ("profile", profile_facts(parsed)), ("advanced", advanced_facts(parsed).drop("workflow"))]
+    parts = [("log", counts.select("path", "workflow", "n_lines", "n_chars", "warnings", "failed", "n_durations", "last_seconds", "html", "json", "markdown")),
+             ("training", training_facts(parsed, ["workflow"])), ("compare", compare_facts(parsed).withColumn("workflow", F.lit("compare"))),
+             ("eda", eda_facts(parsed)), ("profile", profile_facts(parsed)), ("advanced", advanced_facts(parsed))]
     long = []
     for section, table in parts:
-        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in table.columns if c != "path"]))
-        long.append(table.select("path", F.lit(section).alias("section"), pairs.alias("p")).select("path", "section", "p.key", "p.value"))
-    facts = reduce(DataFrame.unionByName, long).filter(F.col("value").isNotNull())
-    return facts.join(parsed.select("path", "workflow"), "path").select("path", "workflow", "section", "key", "value")
+        names = [c for c in table.columns if c not in ("path", "workflow")]
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in names]))
+        long.append(table.select("path", "workflow", F.lit(section).alias("section"), pairs.alias("p")).select("path", "workflow", "section", "p.key", "p.value"))
+    return reduce(DataFrame.unionByName, long).filter(F.col("value").isNotNull())
