@@ -86,14 +86,14 @@ def _(spark, sf):
 
 
 @query("calibration_error", f"""WITH {MODELS}, bins AS (SELECT model, least(floor(round(y_score*100)/10),9) AS b, count(*) AS n,
-    abs(avg(y_true)-avg(y_score)) AS gap FROM models GROUP BY ALL)
+    abs(sum(y_true)/count(*) - sum(round(y_score*1000000))/1000000.0/count(*)) AS gap FROM models GROUP BY ALL)
   SELECT model, sum(n)::BIGINT AS n_samples, count(*) AS bins_used, sum(n*gap)/sum(n) AS ece, max(gap) AS mce FROM bins GROUP BY model""", "ece mce")
 def _(spark, sf):
     return rounded(evaluate.calibration_error(fixtures.scored_models(spark, sf), ["model"]))
 
 
 @query("calibration_error_right_closed", f"""WITH {MODELS}, bins AS (SELECT model, ceil(round(y_score*100)/10) AS b, count(*) AS n,
-    abs(avg(y_true)-avg(y_score)) AS gap FROM models WHERE y_score > 0 GROUP BY ALL)
+    abs(sum(y_true)/count(*) - sum(round(y_score*1000000))/1000000.0/count(*)) AS gap FROM models WHERE y_score > 0 GROUP BY ALL)
   SELECT model, (SELECT count(*) FROM scored) AS n_samples, count(*) AS bins_used,
     sum(n*gap)/(SELECT count(*) FROM scored) AS ece, max(gap) AS mce FROM bins GROUP BY model""", "ece mce")
 def _(spark, sf):
@@ -166,7 +166,7 @@ def _(spark, sf):
 
 
 @query("subgroup_calibration", f"""{W}, bins AS (SELECT family, label, least(floor(round(y_score*100)/10),9) AS b, count(*) AS n,
-    abs(avg(y_true)-avg(y_score)) AS gap FROM families WHERE label IS NOT NULL GROUP BY ALL)
+    abs(sum(y_true)/count(*) - sum(round(y_score*1000000))/1000000.0/count(*)) AS gap FROM families WHERE label IS NOT NULL GROUP BY ALL)
   SELECT family, label, sum(n)::BIGINT AS n_samples, count(*) AS bins_used, sum(n*gap)/sum(n) AS ece, max(gap) AS mce
   FROM bins GROUP BY family, label HAVING sum(n) >= 30""", "ece mce")
 def _(spark, sf):

@@ -266,7 +266,7 @@ def fit_gam(train: DataFrame, roles: ColumnRoles, n_splines: int = 10, optimize:
     terms = fit_terms(train, roles, n_splines)
     rows = spread(train.select(
         column(roles.target).cast("double").alias("y"), *[_raw(t).alias(f"c{i}") for i, t in enumerate(terms)]
-    ).filter(F.col("y").isNotNull()))
+    ).filter(F.col("y").isNotNull()), train)
     grid = list(lambdas) if optimize else [DEFAULT_LAMBDA]
     p = 1 + sum(t.width for t in terms)
     penalty = np.zeros((p, p))

@@ -73,11 +73,16 @@ def positive_probability(name: str = "probability") -> Column:
     return F.element_at(vector_to_array(F.col(name)), 2)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even partitions, kept, for tables that an iterative fit reads again and again."""
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return df.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+ROWS_PER_PARTITION = 250_000
+
+
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Even partitions, kept, for a table that an iterative fit reads again and again.
+
+    ``source`` has as many rows as ``df`` and is cheaper to count.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-source.count() // ROWS_PER_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # ---------------------------------------------------------------- preprocessing
@@ -231,7 +236,7 @@ class FittedModel:
 
 def fit_logistic(train: DataFrame, roles: ColumnRoles, C: float = 1.0, max_iter: int = 1500, **_) -> FittedModel:
     design = fit_design(train, roles)
-    table = spread(design.assembled(train))
+    table = spread(design.assembled(train), train)
     weighted, total = with_class_weights(table)
     model = logistic_estimator(total, C, max_iter).fit(weighted)
     table.unpersist()
@@ -245,7 +250,7 @@ def fit_boosted(
     """Gradient-boosted trees on index-coded levels; early stopping watches training rows held back."""
     ensure_checkpoint_dir(train.sparkSession)
     design = fit_design(train, roles, one_hot=False, scale=False)
-    table, _total = with_class_weights(spread(design.assembled(train)))
+    table, _total = with_class_weights(spread(design.assembled(train), train))
     marked = validation_rows(table, "row_id", "y_true") if early_stopping_rounds else table
     est = boosted_estimator(iterations, depth, learning_rate, design.max_levels, validation="is_validation" if early_stopping_rounds else None)
     return FittedModel("boosted", design, est.fit(marked), roles)
@@ -254,7 +259,7 @@ def fit_boosted(
 def fit_perceptron(train: DataFrame, roles: ColumnRoles, hidden: int = 128, max_iter: int = 100, seed: int = 42, **_) -> FittedModel:
     """Feed-forward network with halving hidden layers."""
     design = fit_design(train, roles)
-    table = spread(design.assembled(train))
+    table = spread(design.assembled(train), train)
     layers = [len(design.feature_names), hidden, max(2, hidden // 2), max(2, hidden // 4), 2]
     model = MultilayerPerceptronClassifier(labelCol="y_true", featuresCol="features", layers=layers, maxIter=max_iter, seed=seed).fit(table)
     return FittedModel("perceptron", design, model, roles)
@@ -285,7 +290,7 @@ def fit_boosted_regression(
 ) -> tuple[Design, object]:
     ensure_checkpoint_dir(train.sparkSession)
     design = fit_design(train, roles, one_hot=False, scale=False)
-    table = spread(design.transform(train).select(column(roles.target).cast("double").alias("y_true"), "features"))
+    table = spread(design.transform(train).select(column(roles.target).cast("double").alias("y_true"), "features"), train)
     est = GBTRegressor(labelCol="y_true", featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=learning_rate,
                        maxBins=max(32, design.max_levels), seed=seed, checkpointInterval=10)
     return design, est.fit(table)
