@@ -20,7 +20,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.util import inheritable_thread_target
 
 from cohort.functions.columns import column, quoted
@@ -325,10 +325,9 @@ def coefficient_table(model: FittedModel) -> DataFrame:
         F.desc("abs_coefficient"), "feature")
 
 
-def _session():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession()
+def _session() -> SparkSession:
+    """The running session; worker threads have no active one of their own."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
 def feature_importance(model: FittedModel, top: int | None = None) -> DataFrame:
