@@ -67,6 +67,24 @@ def _(spark, sf):
     return rounded(stats.post_hoc(fixtures.table(spark, sf, "events"), "value", "event_type", "holm"), 4)
 
 
+_PAIRS = """g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1),
+   p AS (SELECT a.event_type AS label_a, b.event_type AS label_b, a.n AS na, b.n AS nb, a.m-b.m AS difference, a.v AS va, b.v AS vb, ((a.n-1)*a.v+(b.n-1)*b.v)/(a.n+b.n-2) AS sp FROM g a JOIN g b ON a.event_type < b.event_type)"""
+
+
+@query("pairwise_t_statistics", f"""WITH {_PAIRS}, s AS (SELECT *, CASE WHEN na<>nb THEN sqrt(va/na+vb/nb) ELSE sqrt(sp*(1.0/na+1.0/nb)) END AS se,
+   CASE WHEN na<>nb THEN pow(va/na+vb/nb,2)/(pow(va/na,2)/(na-1)+pow(vb/nb,2)/(nb-1)) ELSE na+nb-2 END AS dof FROM p)
+   SELECT label_a, label_b, difference, dof, difference/se AS t, difference/sqrt(sp) AS cohen_d FROM s""", "difference dof t cohen_d")
+def _(spark, sf):
+    out = stats.pairwise_t_tests(fixtures.table(spark, sf, "events"), "value", "event_type")
+    return rounded(out.select("label_a", "label_b", "difference", "dof", "t", "cohen_d"))
+
+
+@query("tukey_statistics", f"""WITH {_PAIRS}, w AS (SELECT sum((n-1)*v)/(sum(n)-count(*)) AS msw FROM g)
+   SELECT label_a, label_b, difference, abs(difference)/sqrt(msw/2*(1.0/na+1.0/nb)) AS q FROM p, w""", "difference q")
+def _(spark, sf):
+    return rounded(stats.tukey_hsd(fixtures.table(spark, sf, "events"), "value", "event_type").select("label_a", "label_b", "difference", "q"))
+
+
 @query("normality_moments", """WITH m AS (SELECT *, avg(l_quantity) OVER () AS mq, avg(l_tax) OVER () AS mt FROM lineitem),
    s AS (SELECT 'l_quantity' AS "column", count(*) AS n, avg((l_quantity-mq)^3)/pow(avg((l_quantity-mq)^2),1.5) AS skew, avg((l_quantity-mq)^4)/pow(avg((l_quantity-mq)^2),2)-3 AS kurtosis FROM m
      UNION ALL SELECT 'l_tax', count(*), avg((l_tax-mt)^3)/pow(avg((l_tax-mt)^2),1.5), avg((l_tax-mt)^4)/pow(avg((l_tax-mt)^2),2)-3 FROM m)

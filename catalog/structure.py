@@ -75,7 +75,9 @@ def _(spark, sf):
     return rounded(out.withColumn("classes", F.to_json("classes")))
 
 
-@query("balanced_train")
+@query("balanced_train", """WITH n AS (SELECT (label=0)::INTEGER AS y, count(*) AS n, (SELECT count(*) FROM embeddings) AS total, ceil(round(0.2*(SELECT count(*) FROM embeddings),9))::BIGINT AS test FROM embeddings GROUP BY 1),
+   q AS (SELECT y, n, (n*test)//total + (row_number() OVER (ORDER BY (n*test)%total DESC, y) <= any_value(test) OVER () - sum((n*test)//total) OVER ())::INT AS q FROM n)
+   SELECT 'train' AS part, y, (max(n-q) OVER ())::BIGINT AS n FROM q UNION ALL SELECT 'test', y, q::BIGINT FROM q""")
 def _(spark, sf):
     train, test = resample.balanced_train(_labelled(spark, sf))
     parts = train.select("y", F.lit("train").alias("part")).unionByName(test.select("y", F.lit("test").alias("part")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohort import roles as R
 from cohort.functions.columns import clip, column, melt, numeric_columns, quoted, require, string_columns
-from cohort.operators.rank import bucket_count, medians, ranked_cells, running_totals, top_values
+from cohort.operators.rank import bucket_count, column_bucket, medians, ranked_cells, running_totals, text_literal, top_values
 
 AGE_BANDS = R.AGE_BANDS
 
@@ -208,13 +208,9 @@ def _text_levels(df: DataFrame, names: Sequence[str]) -> DataFrame:
     cells = melt(df, names).filter(F.col("value").isNotNull()).distinct().withColumn("one", F.lit(1).cast("long"))
     buckets = bucket_count(df)
     picked = cells.orderBy(F.xxhash64("column", "value"), "column", "value").limit(20 * buckets)
-    sample = sorted((r["column"], r["value"]) for r in picked.select("column", "value").collect())
-    bounds = sample[20::20]
-    slot = F.lit(0)
-    key = F.struct(F.col("column"), F.col("value"))
-    if bounds:
-        literal = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(v).alias("value")) for c, v in bounds])
-        slot = F.size(F.filter(literal, lambda b: b <= key))
+    sample = picked.select("column", "value").collect()
+    bounds = {c: sorted(r["value"] for r in sample if r["column"] == c)[20::20] for c in names}
+    slot = column_bucket(bounds, "column", "value", text_literal)
     ranked = running_totals(cells, "value", ["one"], ["column"], slot)
     return ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("index"))
 

@@ -89,10 +89,14 @@ def theil_index(scored: DataFrame, families: Mapping[str, str | Column], min_siz
 
 def fairness_warnings(rates: DataFrame) -> DataFrame:
     """Failed rules with their severity."""
-    impact = disparate_impact(rates).select("family", F.col("impact_ratio"), F.col("passes").alias("di_ok"))
-    odds = equalized_odds(rates).select("family", "tpr_max_diff", "fpr_max_diff", "passes_tpr", "passes_fpr")
-    parity = demographic_parity(rates).select("family", "max_difference", F.col("passes").alias("dp_ok"))
-    table = impact.join(odds, "family").join(parity, "family")
+    spread = lambda c: F.max(c) - F.min(c)
+    gaps = rates.groupBy("family").agg(
+        F.coalesce(ratio(F.min("positive_rate"), F.max("positive_rate")), F.lit(1.0)).alias("impact_ratio"),
+        spread("tpr").alias("tpr_max_diff"), spread("fpr").alias("fpr_max_diff"), spread("positive_rate").alias("max_difference"),
+    )
+    table = gaps.select(
+        "*", (F.col("impact_ratio") >= IMPACT_FLOOR).alias("di_ok"), (F.col("tpr_max_diff") < ODDS_LIMIT).alias("passes_tpr"),
+        (F.col("fpr_max_diff") < ODDS_LIMIT).alias("passes_fpr"), (F.col("max_difference") < PARITY_LIMIT).alias("dp_ok"))
     rules = [
         ("disparate_impact", "high", "di_ok", "impact_ratio"),
         ("equalized_odds_fpr", "medium", "passes_fpr", "fpr_max_diff"),
@@ -118,10 +122,8 @@ def fairness_table(scored: DataFrame, families: Mapping[str, str | Column], min_
         "family", "label", "n_samples", "n_positive", "prevalence", "roc_auc", "pr_auc", "accuracy",
         "precision", "recall", "f1", "specificity", "fpr", "fnr", "npv", "brier_score", "positive_rate",
     )
-    summary = metrics.groupBy("family").agg(
-        (F.max("positive_rate") - F.min("positive_rate")).alias("parity_gap"),
-        (F.max("recall") - F.min("recall")).alias("tpr_gap"), (F.max("fpr") - F.min("fpr")).alias("fpr_gap"),
-        (F.max("precision") - F.min("precision")).alias("precision_gap"),
-        F.coalesce(ratio(F.min("positive_rate"), F.max("positive_rate")), F.lit(1.0)).alias("impact_ratio"),
-    )
-    return metrics.join(summary, "family")
+    family = Window.partitionBy("family")  # one row per group
+    gap = lambda c: F.max(c).over(family) - F.min(c).over(family)
+    return metrics.select(
+        "*", gap("positive_rate").alias("parity_gap"), gap("recall").alias("tpr_gap"), gap("fpr").alias("fpr_gap"), gap("precision").alias("precision_gap"),
+        F.coalesce(ratio(F.min("positive_rate").over(family), F.max("positive_rate").over(family)), F.lit(1.0)).alias("impact_ratio"))

@@ -27,6 +27,7 @@ from cohort.functions.columns import column, quoted
 from cohort.functions.hashing import uniform
 from cohort.operators.clean import learn_fills, learn_scaling
 from cohort.operators.evaluate import binary_metrics, regression_metrics, with_predictions
+from cohort.operators.rank import text_literal
 from cohort.operators.split import hash_rank, stratified_folds
 from cohort.roles import ColumnRoles
 from cohort.session import ensure_checkpoint_dir
@@ -87,10 +88,6 @@ def spread(df: DataFrame, source: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- preprocessing
 
-def _literal(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @dataclass
 class Design:
     """A fitted preprocessing pipeline that ends in a ``features`` vector."""
@@ -128,7 +125,7 @@ def fit_design(train: DataFrame, roles: ColumnRoles, one_hot: bool = True, scale
             filled = f"({filled} - {scaling.mean[c]!r}D) / {scaling.std[c]!r}D"
         parts.append(f"{filled} AS num_{i}".replace("- -", "+ "))
     for i, c in enumerate(nominal):
-        parts.append(f"coalesce(cast({quoted(c)} AS STRING), {_literal(fills.text[c])}) AS nom_{i}")
+        parts.append(f"coalesce(cast({quoted(c)} AS STRING), {text_literal(fills.text[c])}) AS nom_{i}")
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
     names, inputs = list(numbers), [f"num_{i}" for i in range(len(numbers))]
     max_levels = 0
@@ -305,12 +302,12 @@ def regression_report(design: Design, model, df: DataFrame) -> DataFrame:
 
 def baseline_scores(train: DataFrame, test: DataFrame, key: str, target: str, strategy: str = "prior", tag: str = "dummy") -> DataFrame:
     """Class-prior scores, or a stratified guess drawn from the row-key hash."""
-    prior = train.agg(F.avg(column(target).cast("double")).alias("_prior"))  # one row
-    rows = test.select(column(key).alias("row_id"), column(target).cast("int").alias("y_true")).join(F.broadcast(prior))
+    prior = train.agg(F.avg(column(target).cast("double"))).first()[0]
+    rows = test.select(column(key).alias("row_id"), column(target).cast("int").alias("y_true"))
     if strategy == "prior":
-        score = F.col("_prior")
+        score = F.lit(prior)
     elif strategy == "stratified":
-        score = (uniform("row_id", tag) < F.col("_prior")).cast("double")
+        score = (uniform("row_id", tag) < F.lit(prior)).cast("double")
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return with_predictions(rows.select("row_id", "y_true", score.alias("y_score")), 0.5)

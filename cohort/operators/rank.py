@@ -9,7 +9,7 @@ disagree with its neighbours about where a bucket ends.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,7 +21,16 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(partitions, 1024))
 
 
-def bucket_sql(value_sql: str, bounds: Sequence[float]) -> str:
+def _number(value: float) -> str:
+    return f"{float(value)!r}D".upper()
+
+
+def text_literal(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bucket_sql(value_sql: str, bounds: Sequence, literal: Callable[..., str] = _number) -> str:
     """SQL text for the number of ``bounds`` that are <= value, as a balanced CASE tree."""
     ordered = sorted(set(bounds))
 
@@ -29,8 +38,7 @@ def bucket_sql(value_sql: str, bounds: Sequence[float]) -> str:
         if low == high:
             return str(low)
         mid = (low + high) // 2
-        literal = f"{float(ordered[mid])!r}D" if "e" not in repr(float(ordered[mid])) else f"{float(ordered[mid])!r}D".upper()
-        return f"CASE WHEN {value_sql} < {literal} THEN {tree(low, mid)} ELSE {tree(mid + 1, high)} END"
+        return f"CASE WHEN {value_sql} < {literal(ordered[mid])} THEN {tree(low, mid)} ELSE {tree(mid + 1, high)} END"
 
     return tree(0, len(ordered))
 
@@ -85,11 +93,9 @@ def running_totals(
     )
 
 
-def _column_bucket(bounds: Mapping[str, Sequence[float]], name: str, value: str) -> Column:
-    parts = " ".join(
-        "WHEN '" + c.replace("\\", "\\\\").replace("'", "\\'") + "' THEN " + bucket_sql(quoted(value), b)
-        for c, b in bounds.items()
-    )
+def column_bucket(bounds: Mapping[str, Sequence], name: str, value: str, literal: Callable[..., str] = _number) -> Column:
+    """Bucket of a long-form value by the bounds of its own column."""
+    parts = " ".join(f"WHEN {text_literal(c)} THEN {bucket_sql(quoted(value), b, literal)}" for c, b in bounds.items())
     return F.expr(f"CASE {quoted(name)} {parts} ELSE 0 END")
 
 
@@ -116,7 +122,7 @@ def ranked_cells(
     bounds = range_bounds(df, columns)
     cells = value_cells(df, columns, by, parts)
     sums = ["n", *(parts or {})]
-    return running_totals(cells, "value", sums, [*by, "column"], _column_bucket(bounds, "column", "value"))
+    return running_totals(cells, "value", sums, [*by, "column"], column_bucket(bounds, "column", "value"))
 
 
 def mid_rank(n: str = "n", cum: str = "cum_n") -> Column:
@@ -148,7 +154,7 @@ def quantiles(
     keys = [*by, "column"]
     bounds = range_bounds(df, columns)
     long = melt(df, columns, by, cast="double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    long = long.withColumn("_bucket", _column_bucket(bounds, "column", "value"))
+    long = long.withColumn("_bucket", column_bucket(bounds, "column", "value"))
     group = Window.partitionBy(*[column(c) for c in keys])
     upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = long.groupBy(*[column(c) for c in keys], "_bucket").agg(F.count(F.lit(1)).alias("_size"))

@@ -61,12 +61,11 @@ def t_test(
     if paired:
         if pair_key is None:
             raise ValueError("a paired test needs pair_key")
-        labels = df.filter(column(group).isNotNull()).agg(F.min(column(group)).alias("a"), F.max(column(group)).alias("b"))
+        first, last = df.agg(F.min(column(group)), F.max(column(group))).first()
         rows = df.select(column(pair_key).alias("_key"), column(group).alias("_g"), column(value).cast("double").alias("_v"))
-        one = rows.join(F.broadcast(labels), (F.col("_g") == F.col("a")) | (F.col("_g") == F.col("b")))  # a one-row side
-        both = one.groupBy("_key").agg(
-            F.avg(F.when(F.col("_g") == F.col("a"), F.col("_v"))).alias("x"),
-            F.avg(F.when(F.col("_g") == F.col("b"), F.col("_v"))).alias("y"),
+        both = rows.filter(F.col("_g").isin([first, last])).groupBy("_key").agg(
+            F.avg(F.when(F.col("_g") == F.lit(first), F.col("_v"))).alias("x"),
+            F.avg(F.when(F.col("_g") == F.lit(last), F.col("_v"))).alias("y"),
         ).dropna()
         s = both.agg(
             F.count(F.lit(1)).alias("n"), F.avg(F.col("x") - F.col("y")).alias("difference"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohort.functions.columns import column, require
@@ -19,7 +19,7 @@ DISCLAIMER = (
     "This model is a screening support tool for research/education. "
     "It is not a clinical diagnosis and must not replace professional assessment."
 )
-LOADERS = {"logistic": LogisticRegressionModel, "boosted": GBTClassificationModel}
+LOADERS = {"logistic": LogisticRegressionModel, "boosted": GBTClassificationModel, "perceptron": MultilayerPerceptronClassificationModel}
 
 
 @dataclass

@@ -59,6 +59,13 @@ def test_quantiles_with_a_hot_value(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_levels_with_quotes_and_many_values(spark):
+    words = [f"it's \\ {i:04d}" for i in range(1500)] + ["a'b", "\\", "é"]
+    df = spark.createDataFrame([(w, "k") for w in words for _ in range(2)], "w string, c string")
+    got = {r["value"]: r["index"] for r in clean.level_index(df, ["w", "c"]).filter("column = 'w'").collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words))}
+
+
 def test_ranks_average_ties(spark):
     out = {r["v"]: r["rank"] for r in rank.rank_average(spark.createDataFrame([(v,) for v in [3.0, 1.0, 3.0, 2.0]], "v double"), "v").collect()}
     assert out == {1.0: 1.0, 2.0: 2.0, 3.0: 3.5}
