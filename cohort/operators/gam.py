@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -206,10 +206,11 @@ def fit_terms(train: DataFrame, roles: ColumnRoles, n_splines: int = 10) -> list
 
 
 LINES_PER_BLOCK = 16
+FAN_IN = 256  # partial sums that one task adds up
 
 
 def _newton_step(
-    rows: DataFrame, terms: Sequence[Term], betas: np.ndarray, lambdas: Sequence[float], penalty: np.ndarray
+    rows: DataFrame, terms: Sequence[Term], betas: np.ndarray, lambdas: Sequence[float], penalty: np.ndarray, partitions: int
 ) -> list:
     """One pass for all smoothing values: ``(g, beta, edf, deviance, n, covariance)`` each.
 
@@ -237,11 +238,13 @@ def _newton_step(
             for j in range(g):
                 lines = np.hstack([gram[j], rhs[j][:, None], np.full((p, 1), deviance[j]), np.full((p, 1), count)])
                 for at in range(0, p, LINES_PER_BLOCK):
-                    yield pd.DataFrame({"g": [j], "block": [at // LINES_PER_BLOCK], "v": [lines[at:at + LINES_PER_BLOCK].ravel()]})
+                    yield pd.DataFrame({
+                        "g": [j], "block": [at // LINES_PER_BLOCK], "part": [TaskContext.get().partitionId()],
+                        "v": [lines[at:at + LINES_PER_BLOCK].ravel()]})
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.sum(np.stack(frame["v"].to_list()), axis=0)
-        return pd.DataFrame({"g": frame["g"].iloc[:1], "block": frame["block"].iloc[:1], "v": [total]})
+        return pd.DataFrame({"g": frame["g"].iloc[:1], "block": frame["block"].iloc[:1], "part": frame["part"].iloc[:1], "v": [total]})
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         lines = np.concatenate(frame.sort_values("block")["v"].to_list()).reshape(p, p + 3)
@@ -253,8 +256,12 @@ def _newton_step(
         return pd.DataFrame({"g": [j], "beta": [beta], "edf": [float(np.sum(inverse * gram.T))], "deviance": [lines[0, p + 1]],
                              "n": [int(n)], "covariance": [inverse.ravel()]})
 
-    blocks = "g int, block int, v array<double>"
-    summed = rows.mapInPandas(partial, blocks).groupBy("g", "block").applyInPandas(add, blocks)
+    blocks = "g int, block int, part int, v array<double>"
+    summed = rows.mapInPandas(partial, blocks)
+    while partitions > FAN_IN:  # a tree of sums on a wide cluster
+        partitions = -(-partitions // FAN_IN)
+        summed = summed.withColumn("part", F.col("part") % partitions).groupBy("g", "block", "part").applyInPandas(add, blocks)
+    summed = summed.groupBy("g", "block").applyInPandas(add, blocks)
     solved = summed.groupBy("g").applyInPandas(solve, "g int, beta array<double>, edf double, deviance double, n long, covariance array<double>")
     return sorted(solved.collect(), key=lambda r: r["g"])  # one row per smoothing value
 
@@ -267,6 +274,7 @@ def fit_gam(train: DataFrame, roles: ColumnRoles, n_splines: int = 10, optimize:
     rows = spread(train.select(
         column(roles.target).cast("double").alias("y"), *[_raw(t).alias(f"c{i}") for i, t in enumerate(terms)]
     ).filter(F.col("y").isNotNull()), train)
+    partitions = rows.rdd.getNumPartitions()
     grid = list(lambdas) if optimize else [DEFAULT_LAMBDA]
     p = 1 + sum(t.width for t in terms)
     penalty = np.zeros((p, p))
@@ -279,7 +287,8 @@ def fit_gam(train: DataFrame, roles: ColumnRoles, n_splines: int = 10, optimize:
     while active and iterations < MAX_ITER:
         iterations += 1
         still = []
-        for j, r in zip(active, _newton_step(rows, terms, betas[active], [grid[j] for j in active], penalty)):
+        steps = _newton_step(rows, terms, betas[active], [grid[j] for j in active], penalty, partitions)
+        for j, r in zip(active, steps):
             results[j], fresh = r, np.array(r["beta"])
             change = np.max(np.abs(fresh - betas[j])) / max(1.0, np.max(np.abs(betas[j])))
             betas[j] = fresh

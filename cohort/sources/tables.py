@@ -125,23 +125,24 @@ def file_stamp(spark: SparkSession, path: str) -> str:
     files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     row = files.agg(
-        F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"), F.max(F.unix_micros("modificationTime")).alias("time"),
-        F.md5(F.concat_ws("|", F.sort_array(F.collect_list(F.concat_ws(":", "path", "length", F.unix_micros("modificationTime")))))).alias("key"),
-    ).first()  # one entry per source file
-    return f"{stem}-{row['size']}-{row['key'][:12]}"
+        F.sum("length").alias("size"), F.max(F.unix_micros("modificationTime")).alias("time"),
+        F.hex(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).alias("key"),
+    ).first()
+    return f"{stem}-{row['size']}-{row['time']}-{row['key']}"
 
 
 def load_cached(spark: SparkSession, path: str, cache_dir: str, schema: StructType | str | None = None) -> CachedTable:
     """CSV through a Parquet copy that is rebuilt when the source changes.
 
-    The copy is written under a temporary name inside the cache and only a finished write
-    carries the success marker that makes it readable as a hit.
+    A note beside the copy is written last; without it the copy counts as unfinished.
     """
     target = f"{cache_dir.rstrip('/')}/{file_stamp(spark, path)}.parquet"
     try:
+        read_document(spark, target + ".done")
         return CachedTable(path, spark.read.parquet(target), target, True)
     except AnalysisException:
         write_parquet(nan_to_null(read_csv(spark, path, schema)), target)
+        write_document(spark, {"source": path}, target + ".done")
         return CachedTable(path, spark.read.parquet(target), target, False)
 
 

@@ -68,6 +68,12 @@ def test_gam_solves_the_penalised_equations(table):
     assert np.max(np.abs(gradient)) < 0.05 and model.stats["converged"]
 
 
+def test_gam_sums_by_tree(table, monkeypatch):
+    flat = gam.fit_gam(table, ROLES, 5, False)
+    monkeypatch.setattr(gam, "FAN_IN", 3)
+    assert np.allclose(gam.fit_gam(table, ROLES, 5, False).beta, flat.beta, atol=1e-8)
+
+
 def test_contributions_add_up(table):
     model = M.fit_logistic(table, ROLES)
     phi, names = explain.model_contributions(model, table)
