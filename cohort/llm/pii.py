@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohort.llm.text import read_table, slices
+from cohort.llm.text import process_cache, read_table, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "iban", "ssn", "account")
@@ -46,7 +46,7 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
-_machine: list[ahocorasick.Automaton] = []
+_machine = process_cache("pii")
 
 
 def _luhn(digits: str) -> bool:
@@ -162,8 +162,8 @@ def _after_cue(text: str, end: int, kind: str) -> tuple[int, int] | None:
 
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of one text, in code points, ordered by start and then by kind."""
-    if not _machine:
-        _machine.append(_automaton())
+    if "anchors" not in _machine:
+        _machine["anchors"] = _automaton()
     found: set[tuple[int, int, str, int]] = set()
 
     def add(kind: str, span: tuple[int, int] | None) -> None:
@@ -171,7 +171,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             found.add((span[0], _ORDER[kind], kind, span[1]))
 
     mail, dotted, carded = 0, 0, 0
-    for last, (anchor, width) in _machine[0].iter(text):
+    for last, (anchor, width) in _machine["anchors"].iter(text):
         if anchor == "digit":
             if last >= dotted:
                 groups = _groups(text, last, ".")

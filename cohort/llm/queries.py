@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from cohort.llm.bpe import op5_bpe_chunk_reuse
+from cohort.llm.decontaminate import OP7_SQL, op7_decontaminate_suffix_arrays
 from cohort.llm.pii import op9_pii_anchor_expansion
+from cohort.llm.secrets import op1_secrets_randomness_battery
 
 QUERIES = {f.__name__: f for f in (
-    op9_pii_anchor_expansion,
+    op1_secrets_randomness_battery, op5_bpe_chunk_reuse, op7_decontaminate_suffix_arrays, op9_pii_anchor_expansion,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontaminate_suffix_arrays": OP7_SQL}

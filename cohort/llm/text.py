@@ -6,6 +6,7 @@ decides what belongs to a word, and no step depends on how long a text is.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,24 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+class ProcessCache(dict):
+    """Memory of one worker process: it travels to tasks by name only, and outlives them there."""
+
+    def __init__(self, name: str):
+        super().__init__()
+        self.name = name
+
+    def __reduce__(self):
+        return process_cache, (self.name,)
+
+
+def process_cache(name: str) -> ProcessCache:
+    caches = sys.__dict__.setdefault("_cohort_process_caches", {})
+    if name not in caches:
+        caches[name] = ProcessCache(name)
+    return caches[name]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,18 +109,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(a, b - a)
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers = process_cache("powers")
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, _SEGMENT + 1)
+def _powers_of(base: np.uint64, n: int) -> np.ndarray:
+    """``base`` to the powers 0..n-1, modulo 2^64."""
+    if base not in _powers or len(_powers[base]) < n:
+        grown = np.full(max(n, _SEGMENT + 1), base, np.uint64)
+        grown[0] = 1
         with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _INVERSE)):
-                grown = np.full(size, base, np.uint64)
-                grown[0] = 1
-                _powers[k] = np.cumprod(grown)
-    return _powers[0][:n], _powers[1][:n]
+            _powers[base] = np.cumprod(grown)
+    return _powers[base][:n]
 
 
 class Words:
@@ -131,7 +149,7 @@ class Words:
                 low = self.start[at]
                 to = max(at + 1, int(np.searchsorted(self.end, low + _SEGMENT, side="right")))
                 piece = data[low: self.end[to - 1]]
-                power, inverse = _power_tables(len(piece) + 1)
+                power, inverse = _powers_of(_BASE, len(piece) + 1), _powers_of(_INVERSE, len(piece) + 1)
                 sums = np.zeros(len(piece) + 1, np.uint64)
                 np.cumsum(piece * power[:-1], out=sums[1:])
                 s, e = self.start[at:to] - low, self.end[at:to] - low
