@@ -1,6 +1,6 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash over 16 bytes cuts every text where its value meets a fixed pattern, so equal
+A rolling hash of the last 8 bytes cuts every text where its value meets a fixed pattern, so equal
 passages of different documents fall into equal chunks. A first pass counts chunk
 fingerprints. A second pass encodes, where they are read, the documents of which no chunk
 occurs twice, and hands out the chunks of the others; each distinct chunk among those is
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from cohort.llm.text import kept, mix, process_cache, read_table, slices, utf8
+from cohort.llm.text import bitmap, kept, marked, process_cache, read_table, slices, utf8
 
 CHUNK_BITS = 10
+LEAST_CHUNK = 64
 BITMAP_BITS = 26
 REMEMBERED = 200_000
-_WINDOW = 16
+_WINDOW = 8
 _SPACE = " \t\n\r"
 _STOPS = ".,;:!?"
 _FACTOR = 0x9E3779B97F4A7C15
@@ -57,7 +59,7 @@ class Coder:
         self.number = [str(k).encode() for k in range(size)]
         self.name = [n.encode("utf-8") for n in names]
         self.known: dict[str, tuple[int, ...]] = {}
-        self.forms: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _shortcut(self, word: str) -> tuple[str, str]:
         """The word as the tokenizer folds it, without stops that it cuts off in any case."""
@@ -70,35 +72,39 @@ class Coder:
         return word, ""
 
     def learn(self, words: set[str]) -> None:
-        if len(self.forms) > REMEMBERED:
-            self.forms.clear()
+        """See to it that the ids of all these words are known; words of late are kept, older ones go."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.forms]
-        cut = [self._shortcut(w) for w in new]
-        ask = [p for p in set(itertools.chain.from_iterable(cut)) if p and p not in self.known]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = words.difference(known)
+        again = new.intersection(older)
+        for word in again:
+            known[word] = older[word]
+        cut = [(w, *self._shortcut(w)) for w in new.difference(again)]
+        parts = {p for _, core, stops in cut for p in (core, stops)}.difference(known)
+        for part in parts.intersection(older):
+            known[part] = older[part]
+        ask = list(parts.difference(older))
         for part, found in zip(ask, self.inner.encode_batch_fast(ask, add_special_tokens=False)):
-            self.known[part] = tuple(found.ids)
-        self.known[""] = ()
-        for word, (core, stops) in zip(new, cut):
-            ids = self.known[core] + self.known[stops]
-            self.forms[word] = (len(ids), b" ".join([self.number[k] for k in ids]), b" ".join([self.name[k] for k in ids]))
-
-    def forms_of(self, text: str) -> list[tuple[int, bytes, bytes]]:
-        """``(tokens, ids in decimal, token names)`` of each word that has tokens."""
-        words = split(text)
-        self.learn(set(words))
-        forms = self.forms
-        return [f for f in [forms[w] for w in words] if f[0]]
+            known[part] = tuple(found.ids)
+        for word, core, stops in cut:
+            known[word] = known[core] + known[stops]
 
-    def ids_of(self, text: str) -> list[int]:
-        return [int(k) for _, numbers, _ in self.forms_of(text) for k in numbers.split()]
+    def ids_of(self, text: str, learned: bool = False) -> list[int]:
+        words = split(text)
+        if not learned:
+            self.learn(set(words))
+        return list(itertools.chain.from_iterable(map(self.known.__getitem__, words)))
 
-    def decoded(self, names: list[bytes], ids: list[bytes]) -> str:
+    def decoded(self, ids: list[int]) -> bytes:
         """What the tokenizer's own decode gives for the whole sequence."""
         if self.plain:  # without a decoder it joins the tokens by one space
-            return b" ".join(names).decode("utf-8")
-        return self.inner.decode([int(k) for part in ids for k in part.split()], skip_special_tokens=False)
+            return b" ".join(map(self.name.__getitem__, ids))
+        return self.inner.decode(ids, skip_special_tokens=False).encode("utf-8")
+
+    def finished(self, ids: list[int]) -> tuple[int, str, str]:
+        numbers = b" ".join(map(self.number.__getitem__, ids))
+        return len(ids), hashlib.sha256(numbers).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
 
 
 def split(text: str) -> list[str]:
@@ -106,27 +112,26 @@ def split(text: str) -> list[str]:
     return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
 
 
-def chunk_ends(raw: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) -> list[np.ndarray]:
-    """Byte ends of the chunks of every row, the row's own end included."""
-    cuts = np.zeros(0, np.int64)
-    if len(raw) > _WINDOW:
-        rolling = np.zeros(len(raw) - _WINDOW + 1, np.uint64)
+def chunks_of(raw: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) -> Iterator[list[bytes]]:
+    """The chunks of every row: cut where the hash of the last bytes ends in zeros, at least ``LEAST_CHUNK`` apart."""
+    data = raw.tobytes()
+    at = np.zeros(0, np.int64)
+    if len(raw) >= _WINDOW:
+        window = np.ndarray(len(data) - _WINDOW + 1, np.uint64, data, strides=(1,))  # the last 8 bytes, sliding
         with np.errstate(over="ignore"):
-            for k in range(_WINDOW):
-                rolling = rolling * np.uint64(_FACTOR) + raw[k: k + len(rolling)]
-        at = np.flatnonzero((mix(rolling) >> np.uint64(64 - bits)) == 0) + _WINDOW
+            at = np.flatnonzero((window * np.uint64(_FACTOR)) >> np.uint64(64 - bits) == 0) + _WINDOW
         at = at[at < len(raw)]
         at = at[(raw[at] & 0xC0) != 0x80]  # not inside a character
-        cuts = at[at - offsets[np.searchsorted(offsets, at, side="left") - 1] >= _WINDOW]  # the window lies in one row
-    edges = np.searchsorted(cuts, offsets, side="left")
-    return [np.r_[inner[inner > a], b] if b > a else inner[:0] for inner, a, b in ((cuts[edges[k]: edges[k + 1]], offsets[k], offsets[k + 1]) for k in range(len(offsets) - 1))]
-
-
-def chunks_of(raw: np.ndarray, offsets: np.ndarray, bits: int = CHUNK_BITS) -> Iterator[list[bytes]]:
-    """The chunks of every row."""
-    data = raw.tobytes()
-    for start, ends in zip(offsets[:-1].tolist(), chunk_ends(raw, offsets, bits)):
-        yield [data[a:b] for a, b in zip([start, *ends[:-1].tolist()], ends.tolist())]
+    edges = np.searchsorted(at, offsets, side="right")
+    for k, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        out = []
+        for cut in at[edges[k]: edges[k + 1]].tolist():
+            if start + LEAST_CHUNK <= cut < end:
+                out.append(data[start:cut])
+                start = cut
+        if start < end:
+            out.append(data[start:end])
+        yield out
 
 
 def _print(chunk: bytes) -> bytes:
@@ -147,13 +152,9 @@ def _count_prints(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def _bitmap(prints: DataFrame, bits: int) -> np.ndarray:
-    """Slots of the shared fingerprints; at most 2^(bits-5) words reach the driver."""
+    """Slots of the shared fingerprints: their leading bits."""
     slot = F.shiftrightunsigned(F.conv(F.hex(F.substring("print", 1, 7)), 16, 10).cast("long"), 56 - bits)
-    words = prints.select(F.shiftright(slot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    return bitmap(prints.select(slot.alias("slot")), "slot", bits)
 
 
 _coders = process_cache("coders")
@@ -163,20 +164,11 @@ def _coder(definition) -> Coder:
     """One coder per worker process and tokenizer, kept from task to task."""
     key = hash(definition.value)
     if key not in _coders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
         _coders[key] = Coder(definition.value)
     return _coders[key]
 
 
-def _finished(coder: Coder, parts: list[tuple[int, bytes, bytes]]) -> tuple[int, str, str, list[int]]:
-    numbers, names = [p[1] for p in parts], [p[2] for p in parts]
-    return (sum([p[0] for p in parts]), hashlib.sha256(b" ".join(numbers)).hexdigest(),
-            hashlib.sha256(coder.decoded(names, numbers).encode("utf-8")).hexdigest(), numbers)
-
-
-def _as_ids(numbers: list[bytes]) -> list[int]:
-    return [int(k) for part in numbers for k in part.split()]
-
-
 def _packed(ids: list[int], size: int) -> bytes:
     return np.array(ids, np.uint16 if size <= 1 << 16 else np.uint32).tobytes()
 
@@ -205,14 +197,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     shared = spark.sparkContext.broadcast(_bitmap(_count_prints(pair, chunk_bits), bitmap_bits))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, bitmap = _coder(definition), shared.value
+        coder, common_slots = _coder(definition), shared.value
         row = TaskContext.get().partitionId() << 40  # what this pass hands out is written once, so the number holds
         for batch in slices(batches, "text"):
             texts, rows = batch.column(1).to_pylist(), list(chunks_of(*utf8(batch.column(1)), chunk_bits))
             prints = [[_print(c) for c in r] for r in rows]
             flat = [p for r in prints for p in r]
             slot = _slot(flat, bitmap_bits) if flat else np.zeros(0, np.int64)
-            twice = ((bitmap[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool).tolist()
+            twice = marked(common_slots, slot).tolist()
             edges = np.cumsum([0, *map(len, rows)]).tolist()
             marks = [twice[a:b] for a, b in zip(edges, edges[1:])]
             coder.learn({w for t, mark in zip(texts, marks) if t and not any(mark) for w in split(t)})
@@ -220,8 +212,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
             for k, (chunks, own, mark) in enumerate(zip(rows, prints, marks)):
                 row += 1
                 if not any(mark):
-                    n, a, b, numbers = _finished(coder, coder.forms_of(texts[k] or ""))
-                    out.append((k, row, None, None, None, n, a, b, _as_ids(numbers) if with_ids else None))
+                    ids = coder.ids_of(texts[k] or "", learned=True)
+                    out.append((k, row, None, None, None, *coder.finished(ids), ids if with_ids else None))
                 else:
                     for place, (chunk, name, common) in enumerate(zip(chunks, own, mark)):
                         out.append((k, row, place, name if common else None, chunk.decode("utf-8"), None, None, None, None))
@@ -264,8 +256,8 @@ def _encode_chunks(pieces: DataFrame, definition) -> DataFrame:
     return distinct.mapInArrow(work, "print binary, head string, tail string, body binary, parted boolean")
 
 
-def put_together(coder: Coder, parts: list[dict]) -> list[tuple[int, bytes, bytes]]:
-    """Forms of a whole text from its chunks in order: ids as they are, joins encoded anew."""
+def put_together(coder: Coder, parts: list[dict]) -> list[int]:
+    """Ids of a whole text from its chunks in order: inner ids as they are, joins encoded anew."""
     out, open_text = [], ""
     for part in parts:
         if part["text"] is not None:
@@ -273,12 +265,10 @@ def put_together(coder: Coder, parts: list[dict]) -> list[tuple[int, bytes, byte
         elif not part["parted"]:
             open_text += part["head"]
         else:
-            out += coder.forms_of(open_text + part["head"])
-            ids = _unpacked(part["body"], len(coder.name))
-            if ids:
-                out.append((len(ids), b" ".join([coder.number[k] for k in ids]), b" ".join([coder.name[k] for k in ids])))
+            out += coder.ids_of(open_text + part["head"])
+            out += _unpacked(part["body"], len(coder.name))
             open_text = part["tail"]
-    return out + coder.forms_of(open_text)
+    return out + coder.ids_of(open_text)
 
 
 def _assemble(grouped: DataFrame, definition, key_type: str, with_ids: bool) -> DataFrame:
@@ -287,10 +277,11 @@ def _assemble(grouped: DataFrame, definition, key_type: str, with_ids: bool) ->
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 piece = batch.slice(start, 64)
-                out = [_finished(coder, put_together(coder, sorted(p, key=lambda c: c["place"]))) for p in piece.column(1).to_pylist()]
+                ids = [put_together(coder, sorted(p, key=lambda c: c["place"])) for p in piece.column(1).to_pylist()]
+                out = [coder.finished(i) for i in ids]
                 arrays = [piece.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out])]
                 if with_ids:
-                    arrays.append(pa.array([_as_ids(o[3]) for o in out], pa.list_(pa.int32())))
+                    arrays.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     return grouped.mapInArrow(work, _done_schema(key_type, with_ids))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohort.sources.tables import scratch_path
 
@@ -159,3 +159,22 @@ class Words:
 
     def per_row(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.rows)
+
+
+def slot_of(key, bits: int):
+    """Where a key falls in a bitmap of ``2^bits`` slots, as a Spark column."""
+    return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+
+
+def bitmap(slots: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bitmap of the slots that occur; at most 2^(bits-5) words reach the driver, whatever the input."""
+    words = slots.select(F.shiftright(column, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(column) % 32).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether each slot is set."""
+    return ((bits[slots >> 5] >> (slots & 31).astype(np.uint32)) & 1).astype(bool)
