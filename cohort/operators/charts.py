@@ -37,17 +37,25 @@ def box_stats(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFra
     )
 
 
+def _finite(value: str) -> Column:
+    """Null, NaN and infinite values belong to no bin."""
+    x = column(value).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
 def _range(df: DataFrame, value: str) -> tuple[float, float]:
+    """Smallest and largest finite value."""
     row = df.agg(F.min(column(value).cast("double")).alias("lo"), F.max(column(value).cast("double")).alias("hi")).first()
     return (0.0, 0.0) if row["lo"] is None else (row["lo"], row["hi"])
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the column's range; the maximum belongs to the last bin."""
+    df = df.filter(_finite(value))
     low, high = _range(df, value)
     width = (high - low) / bins or 1.0
     slot = F.least(F.floor((column(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counts = df.filter(column(value).isNotNull()).groupBy(*[column(b) for b in by], slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*[column(b) for b in by], slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     left = F.lit(low) + F.col("bin") * F.lit(width)
     return counts.select(*[column(b) for b in by], "bin", left.alias("left"), (left + F.lit(width)).alias("right"), "n")
 
@@ -63,11 +71,12 @@ def density(df: DataFrame, value: str, by: Sequence[str], bins: int = 200, point
 
     Each group contributes at most ``bins`` numbers, whatever its row count.
     """
+    df = df.filter(_finite(value))
     low, high = _range(df, value)
     width = (high - low) / bins or 1.0
     keys = [column(b) for b in by]
     slot = F.least(F.floor((column(value) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-    counted = df.filter(column(value).isNotNull()).groupBy(*keys, slot.alias("_slot")).agg(
+    counted = df.groupBy(*keys, slot.alias("_slot")).agg(
         F.count(F.lit(1)).alias("_w"), F.sum(column(value).cast("double")).alias("_s"),
         F.sum(column(value).cast("double") * column(value).cast("double")).alias("_ss"),
     )

@@ -250,17 +250,10 @@ def lookup(df: DataFrame, name: str, mapping: DataFrame, key: str, value: str, d
     return joined.withColumn(out, F.coalesce(F.col("_value"), F.lit(default))).drop("_key", "_value")
 
 
-MAX_WIDE_LEVELS = 10_000
-
-
 def column_levels(df: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
     """Sorted levels per column, for encodings that turn each level into a column."""
-    values = melt(df, names).filter(F.col("value").isNotNull()).distinct()
-    rows = values.limit(MAX_WIDE_LEVELS + 1).collect()
-    if len(rows) > MAX_WIDE_LEVELS:
-        raise ValueError(f"more than {MAX_WIDE_LEVELS} levels cannot become columns; use the vector encoder")
     out: dict[str, list[str]] = {c: [] for c in names}
-    for r in rows:
+    for r in melt(df, names).filter(F.col("value").isNotNull()).distinct().toLocalIterator():  # each becomes a column
         out[r["column"]].append(r["value"])
     return {c: sorted(v) for c, v in out.items()}
 
@@ -275,6 +268,23 @@ def one_hot(df: DataFrame, names: Sequence[str], levels: Mapping[str, Sequence[s
     return df.select(*[column(c) for c in df.columns if c not in names], *hot)
 
 
+def one_hot_sparse(df: DataFrame, key: str, names: Sequence[str], levels: DataFrame | None = None) -> DataFrame:
+    """The ones of a one-hot table in long form, ``(key, column, level, position)``, for any number of levels.
+
+    ``position`` counts the levels of all columns in the order of ``names``; a level that ``levels``
+    lacks has no row. Levels meet the rows by a join, so none of them passes through the driver.
+    """
+    levels = level_index(df, names) if levels is None else levels
+    sizes = {r["column"]: r["n"] for r in levels.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per column
+    before, start = {}, 0
+    for c in names:
+        before[c], start = start, start + sizes.get(c, 0)
+    offset = F.create_map(*[F.lit(x) for c in names for x in (c, before[c])])
+    placed = levels.select(F.col("column").alias("_c"), F.col("value").alias("_v"), (F.col("index") + offset[F.col("column")]).cast("long").alias("position"))
+    long = melt(df, names, [key]).filter(F.col("value").isNotNull())
+    return long.join(placed, (F.col("column") == F.col("_c")) & (F.col("value") == F.col("_v"))).select(column(key), "column", F.col("value").alias("level"), "position")
+
+
 def binary_codes(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Two-valued columns as 0/1 in sorted order; a column with another level count is omitted."""
     found = (

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions import distributions as D
 from cohort.functions.columns import column, count_if, ratio
-from cohort.operators.evaluate import MICRO, binary_metrics, micros
+from cohort.operators.evaluate import binary_metrics
 from cohort.operators.thresholds import optimal_threshold
 
 
@@ -67,7 +67,7 @@ def mcnemar(predictions: DataFrame, models: Sequence[str] | None = None) -> Data
 # ---------------------------------------------------------------- bootstrap
 
 def _replicates(cells: DataFrame, n_models: int, n_boot: int, seed: int) -> DataFrame:
-    """Bootstrap weights summed to ``(model, rep, micros, pred, pos, neg)``.
+    """Bootstrap weights summed to ``(model, rep, score, pred, pos, neg)``.
 
     A cell of ``n`` equal rows draws a Poisson(n) weight per replicate from a generator
     keyed by the cell's content, so the draw does not depend on partitioning or retries.
@@ -83,16 +83,16 @@ def _replicates(cells: DataFrame, n_models: int, n_boot: int, seed: int) -> Data
                 key = int.from_bytes(hashlib.md5(text).digest(), "big")
                 weights = np.random.Generator(np.random.Philox(key=key)).poisson(n, n_boot)
                 for m in range(n_models):
-                    slot = sums.setdefault((m, int(scores[m]), int(preds[m])), np.zeros((2, n_boot), np.int64))
+                    slot = sums.setdefault((m, float(scores[m]), int(preds[m])), np.zeros((2, n_boot), np.int64))
                     slot[int(y)] += weights
             for (m, score, pred), weights in sums.items():
                 yield pd.DataFrame({
-                    "model": np.int32(m), "rep": np.arange(n_boot, dtype=np.int32), "micros": np.int64(score),
+                    "model": np.int32(m), "rep": np.arange(n_boot, dtype=np.int32), "score": np.float64(score),
                     "pred": np.int32(pred), "pos": weights[1], "neg": weights[0],
                 })
 
-    drawn = cells.mapInPandas(draw, "model int, rep int, micros long, pred int, pos long, neg long")
-    return drawn.groupBy("model", "rep", "micros").agg(
+    drawn = cells.mapInPandas(draw, "model int, rep int, score double, pred int, pos long, neg long")
+    return drawn.groupBy("model", "rep", "score").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
         F.sum(F.when(F.col("pred") == 1, F.col("pos")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col("pred") == 1, F.col("neg")).otherwise(0)).alias("fp"),
@@ -101,7 +101,7 @@ def _replicates(cells: DataFrame, n_models: int, n_boot: int, seed: int) -> Data
 
 def _replicate_metrics(weights: DataFrame) -> DataFrame:
     """AUC, F1, precision and recall per (model, rep); replicates with one class drop out."""
-    up = Window.partitionBy("model", "rep").orderBy("micros").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("model", "rep").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     walked = weights.withColumn("_below", F.sum("neg").over(up) - F.col("neg"))
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     s = walked.groupBy("model", "rep").agg(
@@ -117,7 +117,7 @@ def _replicate_metrics(weights: DataFrame) -> DataFrame:
 
 def bootstrap_ci(scored: DataFrame, n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Mean, SD and percentile interval of AUC, F1, precision and recall."""
-    cells = scored.groupBy("y_true", F.array(micros()).alias("scores"), F.array(column("y_pred").cast("int")).alias("preds")).agg(
+    cells = scored.groupBy("y_true", F.array(column("y_score").cast("double")).alias("scores"), F.array(column("y_pred").cast("int")).alias("preds")).agg(
         F.count(F.lit(1)).alias("n"))
     metrics = _replicate_metrics(_replicates(cells, 1, n_boot, seed))
     low, high = (1 - level) / 2, (1 + level) / 2
@@ -134,7 +134,7 @@ def auc_bootstrap_test(predictions: DataFrame, first: str, second: str, n_boot:
     """Paired bootstrap of the AUC difference: mean, percentile CI95 and two-sided p."""
     wide = align_models(predictions, [first, second])
     cells = wide.groupBy(
-        "y_true", F.array(micros("score_0"), micros("score_1")).alias("scores"),
+        "y_true", F.array(F.col("score_0").cast("double"), F.col("score_1").cast("double")).alias("scores"),
         F.array(F.col("pred_0").cast("int"), F.col("pred_1").cast("int")).alias("preds"),
     ).agg(F.count(F.lit(1)).alias("n"))
     reps = _replicate_metrics(_replicates(cells, 2, n_boot, seed)).groupBy("rep").agg(

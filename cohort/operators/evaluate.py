@@ -1,8 +1,8 @@
 """Evaluation of scored tables: ``row_id, y_true, y_score, y_pred`` plus attributes.
 
-Scores carry six decimals, kept as integer micro-units. A group therefore has at most
-1,000,001 distinct scores, so after the map-side count per (group, score) every sorted
-window below works on a bounded table however many rows were scored.
+Scores are compared as they are, without rounding. Rows are first counted per (group, score)
+on the map side; distinct scores are then cut into range buckets, so no window sorts more than
+a bucket of one group however many different scores there are.
 """
 
 from __future__ import annotations
@@ -12,14 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions.columns import by_families, column, count_if, ratio
-from cohort.operators.rank import quantiles
-
-MICRO = 1_000_000
-
-
-def micros(score: str | Column = "y_score") -> Column:
-    return F.round(column(score).cast("double") * F.lit(float(MICRO))).cast("long")
-
+from cohort.operators.rank import bucket_sql, quantiles, range_bounds, running_totals
 
 def score_cells(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Row counts per (by, score): ``pos neg`` and the confusion cells at the given ``y_pred``."""
@@ -31,7 +24,7 @@ def score_cells(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             count_if(y & p).alias("tp"), count_if(~y & p).alias("fp"),
             count_if(y & ~p).alias("fn"), count_if(~y & ~p).alias("tn"),
         ]
-    return scored.groupBy(*[column(c) for c in by], micros().alias("micros")).agg(*aggs)
+    return scored.groupBy(*[column(c) for c in by], (column("y_score").cast("double") + F.lit(0.0)).alias("score")).agg(*aggs)
 
 
 def _rates(tp: Column, fp: Column, fn: Column, tn: Column, empty: float | None = 0.0) -> dict[str, Column]:
@@ -75,18 +68,13 @@ def binary_metrics(scored: DataFrame, by: Sequence[str] = (), min_size: int = 0)
     """
     keys = [column(c) for c in by]
     cells = score_cells(scored, by)
-    up = Window.partitionBy(*keys).orderBy("micros").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_rows = Window.partitionBy(*keys)
-    walked = cells.select(
-        "*",
-        F.sum("neg").over(up).alias("neg_upto"), F.sum("pos").over(up).alias("pos_upto"),
-        F.sum("pos").over(all_rows).alias("_p"), F.sum("neg").over(all_rows).alias("_n"),
-    )
+    bounds = range_bounds(scored, ["y_score"])["y_score"]
+    walked = running_totals(cells, "score", ["pos", "neg"], by, F.expr(bucket_sql("score", bounds)))
     # rows flagged at this score or above
-    tp_here = (F.col("_p") - F.col("pos_upto") + F.col("pos")).cast("double")
-    fp_here = (F.col("_n") - F.col("neg_upto") + F.col("neg")).cast("double")
-    score = F.col("micros").cast("double") / F.lit(float(MICRO))
-    below = (F.col("neg_upto") - F.col("neg")).cast("double") + F.col("neg").cast("double") / F.lit(2.0)
+    tp_here = (F.col("tot_pos") - F.col("cum_pos") + F.col("pos")).cast("double")
+    fp_here = (F.col("tot_neg") - F.col("cum_neg") + F.col("neg")).cast("double")
+    score = F.col("score")
+    below = (F.col("cum_neg") - F.col("neg")).cast("double") + F.col("neg").cast("double") / F.lit(2.0)
     sums = walked.groupBy(*keys).agg(
         F.sum("pos").alias("n_positive"), F.sum("neg").alias("n_negative"),
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("tn").alias("tn"),
@@ -114,7 +102,7 @@ def binary_metrics(scored: DataFrame, by: Sequence[str] = (), min_size: int = 0)
 
 
 def with_predictions(scored: DataFrame, threshold: float) -> DataFrame:
-    return scored.withColumn("y_pred", (micros() >= F.lit(int(round(threshold * MICRO)))).cast("int"))
+    return scored.withColumn("y_pred", (column("y_score").cast("double") >= F.lit(float(threshold))).cast("int"))
 
 
 def ranking_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -217,18 +205,18 @@ def regression_metrics(df: DataFrame, y_true: str = "y_true", y_pred: str = "y_p
 
 def _binned(scored: DataFrame, by: Sequence[str], n_bins: int, closed: str) -> DataFrame:
     """Bin sums per group; bin 0 holds scores that belong to no bin."""
-    m = F.col("micros")
+    edges, score = [k / n_bins for k in range(n_bins)], F.col("score")
     if closed == "left":
-        bin_no = F.least(F.floor(m * n_bins / F.lit(MICRO)) + 1, F.lit(n_bins))
+        bin_no = F.expr(bucket_sql("score", edges))  # edges at or below the score
     else:
-        bin_no = F.least(F.ceil(m * n_bins / F.lit(MICRO)), F.lit(n_bins))
+        bin_no = F.lit(n_bins) - F.expr(bucket_sql("-score", [-e for e in edges]))  # edges below the score
         if closed == "right":
             bin_no = F.greatest(bin_no, F.lit(1))
     cells = score_cells(scored.drop("y_pred"), by).withColumn("bin", bin_no.cast("int"))
     n = F.sum(F.col("pos") + F.col("neg"))
     return cells.groupBy(*[column(c) for c in by], "bin").agg(
         n.alias("n"), (F.sum("pos") / n).alias("prob_true"),
-        (F.sum(m * (F.col("pos") + F.col("neg"))).cast("double") / F.lit(float(MICRO)) / n).alias("prob_pred"),
+        (F.sum(score * (F.col("pos") + F.col("neg"))) / n).alias("prob_pred"),
     )
 
 

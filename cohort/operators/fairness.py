@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions.columns import by_families, column, count_if, labelled, ratio
-from cohort.operators.evaluate import micros, MICRO, subgroup_metrics
+from cohort.operators.evaluate import subgroup_metrics
 
 # fixed limits of the pass rules
 PARITY_LIMIT = 0.10
@@ -72,16 +73,15 @@ def disparate_impact(rates: DataFrame, floor: float = IMPACT_FLOOR) -> DataFrame
 def theil_index(scored: DataFrame, families: Mapping[str, str | Column], min_size: int = MIN_GROUP) -> DataFrame:
     """Inequality of scores overall and per group: mean of r ln r with r = score / mean."""
     long = by_families(scored, {"overall": F.lit("all"), **families}, ["y_score"])
-    cells = long.groupBy("family", "label", micros().alias("m")).agg(F.count(F.lit(1)).alias("k"))
-    group = Window.partitionBy("family", "label")
-    weighted = cells.select(
-        "*", F.sum("k").over(group).alias("n"),
-        (F.sum(F.col("m") * F.col("k")).over(group).cast("double") / F.sum("k").over(group)).alias("mean"),
-    )
-    raw = ratio(F.col("m"), F.col("mean"))
-    safe = F.when(raw > 0, raw).otherwise(F.lit(1e-10))
-    index = F.sum(F.when(F.col("mean") != 0, F.col("k") * safe * F.log(safe)).otherwise(F.lit(0.0))) / F.first("n")
-    out = weighted.groupBy("family", "label").agg(F.first("n").alias("n"), index.alias("theil"))
+    score = column("y_score").cast("double")
+    sums = long.groupBy("family", "label").agg(
+        F.count(score).alias("n"), F.sum(score).alias("_s"), F.sum(F.when(score > 0, score)).alias("_over"),
+        F.sum(F.when(score > 0, score * F.log(score))).alias("_log"), F.count(F.when(score <= 0, 1)).alias("_none"))
+    mean = F.col("_s") / F.col("n")
+    tiny = 1e-10  # a ratio of zero counts as this
+    above = F.coalesce((F.col("_log") - F.log(mean) * F.col("_over")) / mean, F.lit(0.0))
+    index = (above + F.col("_none") * F.lit(tiny * log(tiny))) / F.col("n")
+    out = sums.select("family", "label", "n", F.when(mean > 0, index).otherwise(F.lit(0.0)).alias("theil"))
     return out.filter((F.col("n") >= min_size) | (F.col("family") == "overall")).select(
         "*", labelled(F.col("theil"), [(0.1, "Low"), (0.3, "Moderate")], "High").alias("level")
     )

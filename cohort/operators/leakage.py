@@ -25,11 +25,6 @@ def sensitive_association(df: DataFrame, roles: ColumnRoles) -> dict[str, DataFr
     }
 
 
-def _owner(name: str, columns: list[str]) -> str:
-    """Source column of an encoded feature."""
-    return next(c for c in sorted(columns, key=len, reverse=True) if name == c or name.startswith(c + "_"))
-
-
 def _folded(df: DataFrame, roles: ColumnRoles, k: int) -> tuple[M.Design, DataFrame]:
     """The encoded table with its folds, kept for the many fits that follow."""
     design = M.fit_design(df, roles)
@@ -40,8 +35,7 @@ def _folded(df: DataFrame, roles: ColumnRoles, k: int) -> tuple[M.Design, DataFr
 def _without(design: M.Design, folds: DataFrame, dropped: str | None) -> DataFrame:
     if dropped is None:
         return folds
-    columns = design.roles.features("full")
-    keep = [i for i, n in enumerate(design.feature_names) if _owner(n, columns) != dropped]
+    keep = [i for i, owner in enumerate(design.owners) if owner != dropped]
     return M.slice_features(folds, design.feature_names, keep)
 
 

@@ -96,6 +96,7 @@ class Design:
     feature_names: list[str]
     roles: ColumnRoles
     max_levels: int = 0
+    owners: list[str] | None = None  # the source column of each feature
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
@@ -122,13 +123,13 @@ def fit_design(train: DataFrame, roles: ColumnRoles, one_hot: bool = True, scale
     for i, c in enumerate(numbers):
         filled = f"coalesce(try_cast({quoted(c)} AS DOUBLE), {fills.numeric[c]!r}D)"
         if scaling:
-            filled = f"({filled} - {scaling.mean[c]!r}D) / {scaling.std[c]!r}D"
-        parts.append(f"{filled} AS num_{i}".replace("- -", "+ "))
+            filled = f"({filled} - ({scaling.mean[c]!r}D)) / {scaling.std[c]!r}D"
+        parts.append(f"{filled} AS num_{i}")
     for i, c in enumerate(nominal):
         parts.append(f"coalesce(cast({quoted(c)} AS STRING), {text_literal(fills.text[c])}) AS nom_{i}")
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
     names, inputs = list(numbers), [f"num_{i}" for i in range(len(numbers))]
-    max_levels = 0
+    owners, max_levels = list(numbers), 0
     if nominal:
         raw = [f"nom_{i}" for i in range(len(nominal))]
         indexed = [f"idx_{i}" for i in range(len(nominal))]
@@ -145,7 +146,8 @@ def fit_design(train: DataFrame, roles: ColumnRoles, one_hot: bool = True, scale
         levels = model.stages[1].labelsArray
         max_levels = max(len(lv) for lv in levels) + 1
         names += [f"{c}_{v}" for c, lv in zip(nominal, levels) for v in lv] if one_hot else nominal
-    return Design(model, names, roles, max_levels)
+        owners += [c for c, lv in zip(nominal, levels) for _ in lv] if one_hot else nominal
+    return Design(model, names, roles, max_levels, owners)
 
 
 def with_class_weights(df: DataFrame, label: str = "y_true") -> tuple[DataFrame, float]:

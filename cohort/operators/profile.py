@@ -13,7 +13,7 @@ from cohort.operators.rank import medians, quantiles, value_cells
 # aggregate names of a group summary
 AGGREGATES = {
     "mean": F.avg, "std": F.stddev_samp, "count": F.count, "min": F.min, "max": F.max, "sum": F.sum,
-    "var": F.var_samp, "n_unique": F.count_distinct, "first": F.min, "last": F.max,
+    "var": F.var_samp, "n_unique": F.count_distinct,
 }
 DEFAULT_AGGREGATES = ["mean", "std", "median", "count", "min", "max"]
 
@@ -24,7 +24,8 @@ def aggregate_by_group(
     """Group summary ``{column}_{function}``.
 
     ``value`` alone gives the six default statistics. ``metrics`` maps a function name to a
-    column, or an alias to a ready aggregate Column; unknown names are skipped.
+    column, or an alias to a ready aggregate Column; unknown names are skipped. ``first`` and
+    ``last`` take a pair ``(column, order column)``, since rows of a table have no order of their own.
     """
     if metrics is None:
         if value is None:
@@ -34,6 +35,11 @@ def aggregate_by_group(
     for name, target in metrics.items():
         if isinstance(target, Column):
             aggs.append(target.alias(name))
+        elif name in ("first", "last"):
+            if isinstance(target, str):
+                raise ValueError(f"{name} needs a pair (column, order column)")
+            pick = F.min_by if name == "first" else F.max_by
+            aggs.append(pick(column(target[0]), column(target[1])).alias(f"{target[0]}_{name}"))
         elif name == "median":
             middles.append(target)
         elif name in AGGREGATES:

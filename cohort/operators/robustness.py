@@ -26,17 +26,18 @@ BREAKING_AUC = 0.70
 STABLE_RANGE = 0.05
 GRADES = [(0.05, "A"), (0.10, "B"), (0.20, "C"), (0.30, "D")]
 LAST_GRADE = "F"
+# In order: what starts a name, what it holds, what it holds in any case, or what it is.
 FEATURE_GROUPS = [
-    ("City", ["City_"], []),
-    ("Degree", ["Degree_"], []),
-    ("Gender", ["Gender_"], []),
-    ("Sleep", ["Sleep Duration_"], []),
-    ("Dietary", ["Dietary Habits_"], []),
-    ("Family_History", ["Family History"], []),
-    ("Academic", [], ["Academic Pressure", "Academic_Pressure"]),
-    ("Financial", [], ["Financial", "financial"]),
-    ("Work_Study", [], ["Work", "Hours"]),
-    ("Numeric", ["Age", "CGPA", "Study Satisfaction"], []),
+    ("City", {"starts": ["City_"]}),
+    ("Degree", {"starts": ["Degree_"]}),
+    ("Gender", {"starts": ["Gender_"]}),
+    ("Sleep", {"starts": ["Sleep Duration_"]}),
+    ("Dietary", {"starts": ["Dietary Habits_"]}),
+    ("Family_History", {"starts": ["Family History"]}),
+    ("Academic", {"holds": ["Academic Pressure", "Academic_Pressure"]}),
+    ("Financial", {"folded": ["financial"]}),
+    ("Work_Study", {"holds": ["Work", "Hours"]}),
+    ("Numeric", {"is": ["Age", "CGPA", "Study Satisfaction"]}),
 ]
 
 
@@ -83,9 +84,10 @@ def robustness_grade(noise: DataFrame) -> DataFrame:
 
 
 def feature_group(name: str, groups=FEATURE_GROUPS, other: str = "Other") -> str:
-    """First group whose prefix starts the name or whose part occurs in it."""
-    for group, prefixes, parts in groups:
-        if any(name.startswith(p) for p in prefixes) or any(p in name for p in parts):
+    """First group with a rule that the feature's name meets."""
+    tests = {"starts": name.startswith, "holds": name.__contains__, "folded": name.lower().__contains__, "is": name.__eq__}
+    for group, rules in groups:
+        if any(tests[kind](text) for kind, texts in rules.items() for text in texts):
             return group
     return other
 

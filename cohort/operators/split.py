@@ -13,7 +13,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohort.functions.columns import column
+from cohort.functions.columns import column, join_groups
 from cohort.functions.hashing import uniform
 from cohort.operators.rank import bucket_count
 
@@ -31,7 +31,7 @@ def hash_rank(df: DataFrame, key: str, tag: str, by: Sequence[str], out: str = "
     offsets = sizes.select(*keys, "_slot", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_slot").orderBy("_u", column(key))
     ranked = marked.withColumn("_inside", F.row_number().over(inside))
-    joined = ranked.join(offsets, [*by, "_slot"])
+    joined = join_groups(ranked, offsets, [*by, "_slot"])  # a null group is a group
     return joined.select(*[column(c) for c in df.columns], (F.col("_inside") + F.col("_before")).alias(out))
 
 
@@ -112,17 +112,21 @@ def stratified_folds(df: DataFrame, key: str, target: str, k: int = 5, tag: str
 
 
 def undersample(df: DataFrame, key: str, target: str, strategy: str | Mapping = "auto", tag: str = "under") -> DataFrame:
-    """Random rows of the larger classes down to the smallest class, or to given class sizes."""
+    """Random rows of the larger classes down to the smallest class, or to given class sizes.
+
+    Rows without a class are no class: they stay and do not set the size.
+    """
     ranked = hash_rank(df, key, tag, [target])
     sizes = df.groupBy(column(target)).agg(F.count(F.lit(1)).alias("_n"))
     if isinstance(strategy, Mapping):
         wanted = reduce(lambda c, kv: c.when(column(target) == kv[0], F.lit(int(kv[1]))), strategy.items(), F.when(F.lit(False), F.lit(0)))
         limits = sizes.select(column(target), F.least(F.coalesce(wanted, F.col("_n")), F.col("_n")).alias("_limit"))
     elif strategy in ("auto", "majority"):
-        limits = sizes.select(column(target), F.min("_n").over(Window.partitionBy()).alias("_limit"))  # one row per class
+        smallest = F.min(F.when(column(target).isNotNull(), F.col("_n"))).over(Window.partitionBy())  # one row per class
+        limits = sizes.select(column(target), F.when(column(target).isNull(), F.col("_n")).otherwise(smallest).alias("_limit"))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    return ranked.join(limits, target).filter(F.col("_rank") <= F.col("_limit")).select(*[column(c) for c in df.columns])
+    return join_groups(ranked, limits, [target]).filter(F.col("_rank") <= F.col("_limit")).select(*[column(c) for c in df.columns])
 
 
 def split_balance(df: DataFrame, columns: Sequence[str], split: str = "split") -> DataFrame:

@@ -7,12 +7,10 @@ Scores are counted per grid slot first; a sweep then accumulates a table of
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions.columns import by_families, column, count_if, ratio
-from cohort.operators.evaluate import MICRO, micros
 from cohort.operators.rank import bucket_sql
 
 
@@ -31,18 +29,17 @@ DECISION_GRID = [0.01 + i * 0.98 / 99 for i in range(100)]
 def _flagged(scored: DataFrame, thresholds: Sequence[float], by: Sequence[str]) -> DataFrame:
     """``(by, slot, tp, fp, P, N)``: rows at or above each threshold."""
     keys = [column(c) for c in by]
-    cuts = [ceil(t * MICRO - 1e-6) for t in thresholds]
-    slot = F.expr(bucket_sql("micros", cuts))  # how many thresholds lie at or below the score
+    slot = F.expr(bucket_sql("score", thresholds))  # how many thresholds lie at or below the score
     y = F.col("y_true") == 1
     counts = (
-        scored.select(*keys, "y_true", micros().alias("micros")).groupBy(*keys, slot.alias("slot"))
+        scored.select(*keys, "y_true", column("y_score").cast("double").alias("score")).groupBy(*keys, slot.alias("slot"))
         .agg(count_if(y).alias("pos"), count_if(~y).alias("neg"))
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    grid = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(cuts)))).alias("slot"))
+    grid = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(set(thresholds))))).alias("slot"))
     filled = grid.join(counts, [*by, "slot"], "left").fillna(0, ["pos", "neg"])
     down = Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = F.array(*[F.lit(float(t)) for t in thresholds])
+    values = F.array(*[F.lit(float(t)) for t in sorted(set(thresholds))])
     return filled.select(
         *keys, F.element_at(values, F.col("slot")).alias("threshold"),
         F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), "P", "N",

@@ -96,7 +96,9 @@ def load_deployment(spark: SparkSession, path: str) -> Deployment:
 def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Prediction input: CSV, or JSON (an array, or one object per line)."""
     if path.rstrip("/").endswith(".json"):
-        return read_json(spark, path, schema, multi_line=True)
+        head = spark.read.text(path).filter(F.trim("value") != "").first()
+        line = head["value"].strip() if head else ""
+        return read_json(spark, path, schema, multi_line=not (line.startswith("{") and line.endswith("}")))
     return read_csv(spark, path, schema)
 
 

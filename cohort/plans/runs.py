@@ -31,18 +31,22 @@ def holdout_run(
     df: DataFrame, roles: ColumnRoles, profile: str = "safe", models: Sequence[str] = ("logistic", "gam", "boosted"),
     params: Mapping[str, dict] | None = None, test_size: float = 0.2, k: int = 5, oof: bool = True, split: DataFrame | None = None,
     attributes: Mapping[str, str | Column] | None = None, preset: str = "quick",
+    budget: str = "default", top: int | None = None,
 ) -> dict[str, DataFrame]:
     """Fit every model on the train part and judge it on rows it never saw.
 
     Returns long tables keyed by model: ``metrics`` (splits oof and holdout), ``thresholds``,
     ``calibration``, ``subgroups``, ``importance`` and the scored ``predictions``. Preprocessing,
-    folds and early stopping use the train part only.
+    folds and early stopping use the train part only. ``budget="auto"`` scales iterations and splines
+    to the training rows; ``top`` cuts the importance tables.
     """
     roles = roles.for_profile(profile).present(df)
     marked = target_split(df, roles.row_id, roles.target, test_size) if split is None else df.join(split, roles.row_id)
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = marked.filter("split = 'train'").drop("split"), marked.filter("split = 'test'").drop("split")
-    chosen = {**M.training_params(train.count(), preset), **(params or {})}
+    if budget not in ("default", "auto"):
+        raise ValueError(f"unknown budget {budget!r}")
+    chosen = {**M.training_params(train.count() if budget == "auto" else None, preset), **(params or {})}
     folds = stratified_folds(train, roles.row_id, roles.target, k).persist(StorageLevel.MEMORY_AND_DISK)
 
     scored, importance = [], []
@@ -60,7 +64,7 @@ def holdout_run(
             table = M.feature_importance(fitted)
         else:
             continue
-        importance.append(table.limit(20).withColumn("model", F.lit(name)))  # the report shows the top 20
+        importance.append((table if top is None else table.limit(top)).withColumn("model", F.lit(name)))
     predictions = reduce(DataFrame.unionByName, scored).persist(StorageLevel.MEMORY_AND_DISK)
     holdout = predictions.filter("split = 'holdout'")
     picks = threshold_picks(threshold_sweep(holdout, SERVICE_GRID, ["model"]), ["model"])
@@ -102,6 +106,8 @@ def train_best(df: DataFrame, roles: ColumnRoles, path: str | None = None, polic
     report = compare_profiles(df, roles, params=params, **options)
     choice = compare.best_deployable(report["metrics"].filter("split = 'holdout'"), report["thresholds"], policy)
     best = choice.first()  # one row
+    if best is None:
+        raise ValueError("no model can be deployed: no candidate has a ROC-AUC on the holdout rows")
     settings = (params or {}).get(best["model"], {})
     deployment = fit_deployment(df, roles, best["model"], best["profile"], best["threshold"], policy, **settings)
     if path:

@@ -78,7 +78,7 @@ def run_history(reports: DataFrame) -> DataFrame:
         F.when(workflow == "compare", F.array_join(summary_keys, ", ")).otherwise(models).alias("models"),
         F.when(workflow == "compare", F.size(summary_keys)).otherwise(F.lit(0)).alias("delta_count"),
         F.when(workflow == "profile", length("$.warnings")).otherwise(F.lit(0)).alias("warning_count"),
-        F.array_join(F.slice(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")), 1, 8), ", ").alias("keys"),
+        F.array_join(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")), ", ").alias("keys"),
     )
 
 

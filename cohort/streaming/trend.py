@@ -25,9 +25,16 @@ def stream_trend(
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: int | None = None) -> None:
-    """Process everything available, then stop; progress survives in ``checkpoint``."""
+    """Process everything available, then stop; progress survives in ``checkpoint``.
+
+    After ``timeout`` seconds the query is stopped and an error says that the result is partial.
+    """
     query = (
         stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
-    query.awaitTermination(timeout)
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError(f"the stream did not finish within {timeout} s; {path} holds a part of it")
