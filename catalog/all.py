@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import comparison, evaluation, modelling, statistics, structure, systems, tables  # noqa: F401
+from catalog import comparison, edges, evaluation, modelling, statistics, structure, systems, tables  # noqa: F401

@@ -29,8 +29,8 @@ def _(spark, sf):
    d AS (SELECT count(*) AS n, avg(x-y) AS difference, stddev_samp(x-y)/sqrt(count(*)) AS se, sqrt((var_samp(x)+var_samp(y))/2) AS sd FROM p WHERE x IS NOT NULL AND y IS NOT NULL)
    SELECT n, difference, se, (n-1)::DOUBLE AS dof, difference/se AS t, difference/sd AS cohen_d FROM d""", "difference se t cohen_d", 4)
 def _(spark, sf):
-    orders = fixtures.table(spark, sf, "orders").filter("o_orderstatus in ('F', 'O')")
-    out = stats.t_test(orders, "o_totalprice", "o_orderstatus", paired=True, pair_key="o_custkey")
+    orders = fixtures.table(spark, sf, "orders")
+    out = stats.t_test(orders, "o_totalprice", "o_orderstatus", paired=True, pair_key="o_custkey", labels=["F", "O"])
     return rounded(out.drop("p", "ci95_low", "ci95_high"), 4)
 
 

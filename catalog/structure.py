@@ -16,11 +16,11 @@ def _points(spark, sf, dims=None):
     return neighbors.as_points(e, "vec_id", vec)
 
 
-def _labelled(spark, sf, dims=8):
+def _labelled(spark, sf):
     """Embeddings of label 0 against the rest: an unbalanced binary table."""
     e = fixtures.table(spark, sf, "embeddings")
     y = (F.col("label") == 0).cast("int").alias("y")
-    return e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, dims).cast("array<double>").alias("vec"), y)
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), y)
 
 
 _D = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1]-p[2])*(p[1]-p[2]))))"
@@ -41,9 +41,9 @@ def _(spark, sf):
     return rounded(neighbors.knn(neighbors.as_points(e, "vec_id", vec), 3))
 
 
-@query("neighbor_counts", f"WITH {_E(3)} SELECT a.id, count(*) AS n FROM e a JOIN e b ON {_D} <= 0.15 GROUP BY a.id")
+@query("neighbor_counts", f"WITH {_E(64)} SELECT a.id, count(*) AS n FROM e a JOIN e b ON {_D} <= 1.2 GROUP BY a.id")
 def _(spark, sf):
-    return neighbors.neighbor_counts(_points(spark, sf, 3), 0.15)
+    return neighbors.neighbor_counts(_points(spark, sf), 1.2)
 
 
 @query("smote_counts", """WITH n AS (SELECT (label=0)::INTEGER AS y, count(*) AS n FROM embeddings GROUP BY 1) SELECT y, false AS is_synthetic, n FROM n
@@ -57,13 +57,13 @@ def _(spark, sf):
     return resample.smote(_labelled(spark, sf)).filter("is_synthetic")
 
 
-@query("tomek_links", f"""WITH {_E(8)}, n AS (SELECT a.id, b.id AS nb, a.label=0 AS y, b.label=0 AS yb FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) = 1)
+@query("tomek_links", f"""WITH {_E(64)}, n AS (SELECT a.id, b.id AS nb, a.label=0 AS y, b.label=0 AS yb FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) = 1)
    SELECT n.id FROM n JOIN n m ON n.nb = m.id AND m.nb = n.id WHERE n.y <> n.yb""")
 def _(spark, sf):
     return resample.tomek_links(_labelled(spark, sf))
 
 
-@query("edited_neighbors", f"""WITH {_E(8)}, n AS (SELECT a.id, (a.label=0) <> (b.label=0) AS bad FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) <= 3)
+@query("edited_neighbors", f"""WITH {_E(64)}, n AS (SELECT a.id, (a.label=0) <> (b.label=0) AS bad FROM e a JOIN e b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {_D}, b.id) <= 3)
    SELECT id, (any_value(label)=0)::INTEGER AS y FROM e JOIN n USING (id) GROUP BY id HAVING NOT bool_or(bad)""")
 def _(spark, sf):
     return resample.edited_neighbors(_labelled(spark, sf)).select("id", "y")
@@ -146,16 +146,16 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([tuple(q.values())], "inertia double, calinski_harabasz double, davies_bouldin double"), 4)
 
 
-_EDGES = f"""{_E(2)}, core AS (SELECT a.id, any_value(a.v) AS v FROM e a JOIN e b ON {_D} <= 0.04 GROUP BY a.id HAVING count(*) >= 5)"""
+_EDGES = f"""{_E(64)}, core AS (SELECT a.id, any_value(a.v) AS v FROM e a JOIN e b ON {_D} <= 1.2 GROUP BY a.id HAVING count(*) >= 5)"""
 
 
-@query("dbscan", f"""WITH RECURSIVE {_EDGES}, link AS (SELECT a.id AS x, b.id AS y FROM core a JOIN core b ON {_D} <= 0.04),
+@query("dbscan", f"""WITH RECURSIVE {_EDGES}, link AS (SELECT a.id AS x, b.id AS y FROM core a JOIN core b ON {_D} <= 1.2),
    walk AS (SELECT id AS x, id AS root FROM core UNION SELECT link.y, walk.root FROM walk JOIN link ON walk.x = link.x WHERE walk.root < link.y),
    roots AS (SELECT x, min(root) AS root FROM walk GROUP BY x), num AS (SELECT root, (row_number() OVER (ORDER BY root) - 1)::INTEGER AS cluster FROM (SELECT DISTINCT root FROM roots)),
-   border AS (SELECT a.id, min(num.cluster) AS cluster FROM e a JOIN core b ON {_D} <= 0.04 JOIN roots ON roots.x = b.id JOIN num USING (root) WHERE a.id NOT IN (SELECT id FROM core) GROUP BY a.id)
+   border AS (SELECT a.id, min(num.cluster) AS cluster FROM e a JOIN core b ON {_D} <= 1.2 JOIN roots ON roots.x = b.id JOIN num USING (root) WHERE a.id NOT IN (SELECT id FROM core) GROUP BY a.id)
    SELECT e.id, coalesce(num.cluster, border.cluster, -1)::INTEGER AS cluster FROM e LEFT JOIN roots ON roots.x = e.id LEFT JOIN num USING (root) LEFT JOIN border ON border.id = e.id""")
 def _(spark, sf):
-    return cluster.dbscan(_points(spark, sf, 2), 0.04, 5)
+    return cluster.dbscan(_points(spark, sf), 1.2, 5)
 
 
 @query("dbscan_search")

@@ -6,12 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohort.functions.columns import column, count_if, join_groups, numeric_columns, string_columns
+from cohort.functions.columns import column, count_if, join_groups, melt, numeric_columns, string_columns
 from cohort.functions.hashing import uniform
 from cohort.operators import profile as P
 from cohort.operators.rank import quantiles, value_cells
 
 
+# Rows of (group, column) that may be sent to every task.
+FEW_GROUPS = 50_000
+
+
 def class_shares(df: DataFrame, target: str) -> DataFrame:
     """Donut data: class shares and the gap between the largest and the smallest."""
     shares = P.class_distribution(df, target)
@@ -22,9 +26,12 @@ def class_shares(df: DataFrame, target: str) -> DataFrame:
 def box_stats(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Five-number summary, mean, whiskers within 1.5 IQR and outlier count per column and group."""
     keys = [*by, "column"]
-    cells = value_cells(df, names, by)
-    quarts = quantiles(df, names, [0.25, 0.5, 0.75], by).drop("n")
-    joined = join_groups(cells, quarts, keys)
+    quarts = quantiles(df, names, [0.25, 0.5, 0.75], by).drop("n").persist()
+    if quarts.count() <= FEW_GROUPS:  # then rows meet their quartiles where they are read
+        rows = melt(df, names, by, cast="double").filter(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("n", F.lit(1).cast("long"))
+        joined = join_groups(rows, F.broadcast(quarts), keys)
+    else:
+        joined = join_groups(value_cells(df, names, by), quarts, keys)
     reach = F.lit(1.5) * (F.col("q75") - F.col("q25"))
     inside = (F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach)
     return joined.groupBy(*[column(k) for k in keys]).agg(

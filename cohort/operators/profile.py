@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -54,15 +54,18 @@ def aggregate_by_group(
     return out
 
 
+def _moments(df: DataFrame, names: Sequence[str], by: Sequence[str], parts: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """``(by, column, parts...)`` from one aggregate over the columns side by side; no row is repeated per column."""
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), *[part(column(c).cast("double")).alias(k) for k, part in parts.items()]) for c in names])
+    keys = [column(k) for k in by]
+    return df.groupBy(*keys).agg(rows.alias("_m")).select(*keys, F.explode("_m").alias("_m")).select(*keys, "_m.*")
+
+
 def describe(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Count, nulls, mean, SD, minimum, quartiles and maximum, one row per numeric column."""
     names = numeric_columns(df) if names is None else list(names)
-    long = melt(df, names, cast="double")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), count_if(F.col("value").isNull()).alias("null_count"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
+    moments = _moments(df, names, (), {
+        "count": F.count, "null_count": lambda x: F.count(F.when(x.isNull(), 1)), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     quarts = quantiles(df, names, [0.25, 0.5, 0.75]).drop("n")
     return moments.join(quarts, "column", "left")
 
@@ -70,14 +73,10 @@ def describe(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
 def descriptive_stats(df: DataFrame, names: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
     """``describe`` plus skewness and (excess) kurtosis, population form; optionally per group."""
     names = [c for c in numeric_columns(df) if c not in by] if names is None else list(names)
-    long = melt(df, names, by, cast="double")
     keys = [*by, "column"]
-    moments = long.groupBy(*[column(k) for k in keys]).agg(
-        F.count("value").alias("n"), count_if(F.col("value").isNull()).alias("missing"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"),
-    )
+    moments = _moments(df, names, by, {
+        "n": F.count, "missing": lambda x: F.count(F.when(x.isNull(), 1)), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+        "skew": F.skewness, "kurtosis": F.kurtosis})
     quarts = quantiles(df, names, [0.25, 0.5, 0.75], by).drop("n").withColumnRenamed("q50", "median")
     return join_groups(moments, quarts, keys, "left")
 

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions import distributions as D
-from cohort.functions.columns import column, count_if, labelled, melt, numeric_columns, ratio
+from cohort.functions.columns import column, count_if, join_groups, labelled, melt, numeric_columns, ratio
 from cohort.functions.linalg import in_task
 from cohort.operators.rank import bucket_sql, medians, mid_rank, range_bounds, ranked_cells, running_totals
 
@@ -52,12 +52,18 @@ def _t_columns(pairs: DataFrame, correction: bool | None) -> DataFrame:
 
 
 def t_test(
-    df: DataFrame, value: str, group: str, paired: bool = False, pair_key: str | None = None, correction: bool | None = None
+    df: DataFrame, value: str, group: str, paired: bool = False, pair_key: str | None = None, correction: bool | None = None,
+    labels: Sequence | None = None,
 ) -> DataFrame:
     """Two-sample t-test with CI95 and Cohen's d; groups in ascending order.
 
-    The paired test matches the two groups' rows on ``pair_key``.
+    ``labels`` names the two groups; the rows of others are not read. The paired test matches the
+    two groups' rows on ``pair_key``.
     """
+    if labels is not None:
+        if len(set(labels)) != 2:
+            raise ValueError("labels must name two groups")
+        df = df.filter(column(group).isin(list(labels)))
     if paired:
         if pair_key is None:
             raise ValueError("a paired test needs pair_key")
@@ -85,16 +91,14 @@ def t_test(
 def _one_way(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """ANOVA table from group counts, means and variances (a one-row group has no spread)."""
     n = F.col("n").cast("double")
-    s = moments.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"),
-        (F.sum(n * F.col("mean")) / F.sum("n")).alias("_grand"),
+    grand = moments.groupBy(*by).agg((F.sum(n * F.col("mean")) / F.sum("n")).alias("_grand"))
+    # without ``by`` the grand mean is one row, so sending it to every task is bounded
+    centred = join_groups(moments, grand, list(by)) if by else moments.join(F.broadcast(grand))
+    away = F.col("mean") - F.col("_grand")
+    t = centred.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(n * away * away).alias("ss_between"),
         F.sum((n - 1) * F.coalesce("var", F.lit(0.0))).alias("ss_within"),
-        F.collect_list(F.struct(n.alias("n"), F.col("mean").alias("mean"))).alias("_groups"),
     )
-    between = F.aggregate(
-        "_groups", F.lit(0.0), lambda acc, g: acc + g["n"] * (g["mean"] - F.col("_grand")) * (g["mean"] - F.col("_grand"))
-    )
-    t = s.select(*by, "k", "n", between.alias("ss_between"), "ss_within")
     d1, d2 = (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")
     f = ratio(ratio(F.col("ss_between"), d1), ratio(F.col("ss_within"), d2))
     return t.select(
@@ -382,12 +386,28 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "concordant", "discordant", tau.alias("r"))
 
 
+def _rank_correlations(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """All pairs at once for columns without gaps: each column is ranked a single time."""
+    ranks = ranked_cells(df, names).select("column", "value", mid_rank().alias("_r")).persist()
+    rows = df.select(*[(column(c).cast("double") + F.lit(0.0)).alias(f"_v{i}") for i, c in enumerate(names)])
+    for i, c in enumerate(names):
+        own = ranks.filter(F.col("column") == c).select(F.col("value").alias(f"_k{i}"), F.col("_r").alias(f"_r{i}"))
+        rows = rows.join(own, F.col(f"_v{i}") == F.col(f"_k{i}")).drop(f"_v{i}", f"_k{i}")
+    pairs = list(combinations(range(len(names)), 2))
+    table = F.array(*[F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), F.count(F.lit(1)).alias("n"), F.corr(f"_r{i}", f"_r{j}").alias("r")) for i, j in pairs])
+    return rows.agg(table.alias("_t")).select(F.explode("_t").alias("_t")).select("_t.*")
+
+
 def correlation(df: DataFrame, names: Sequence[str], method: str = "pearson") -> DataFrame:
     """Long correlation matrix ``(x, y, n, r)``, pairwise complete."""
     if method == "pearson":
         from cohort.operators.profile import correlation_matrix
 
         return correlation_matrix(df, names)
+    if method == "spearman":
+        present = [F.count(F.when(column(c).cast("double").isNull() | F.isnan(column(c).cast("double")), 1)) for c in names]
+        if not any(df.agg(*present).first()):
+            return _rank_correlations(df, names)
     fn = {"spearman": spearman, "kendall": kendall}[method]
     parts = [fn(df, a, b).select("x", "y", "n", "r") for a, b in combinations(names, 2)]
     return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="cohort-checkpoint-", dir="/tmp")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)  # ours alone, so it goes with the process
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured

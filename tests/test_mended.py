@@ -95,3 +95,46 @@ def test_sparse_one_hot_has_no_limit_on_levels(spark):
     assert ones.count() == 60000 and ones.agg(F.max("position")).first()[0] == 20001
     seen = clean.one_hot_sparse(table.limit(5), "id", ["d"], clean.level_index(table.filter("d = '0'"), ["d"]))
     assert {r.level for r in seen.collect()} == {"0"}
+
+
+def test_anova_over_very_many_groups(spark):
+    from cohort.operators import stats
+
+    table = spark.range(300_000).select((F.col("id") % 100_000).cast("string").alias("g"), ((F.col("id") * 7919) % 1000 / 10.0).alias("v"))
+    row = stats.anova_one_way(table, "v", "g").first()
+    groups = table.toPandas().groupby("g")["v"]
+    grand = table.agg(F.avg("v")).first()[0]
+    between = float(((groups.mean() - grand) ** 2 * groups.size()).sum())
+    assert row.k == 100_000 and abs(row.ss_between - between) < 1e-6 * between
+    plan = stats.anova_one_way(table, "v", "g")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_named_groups_of_a_t_test(spark):
+    from cohort.operators import stats
+
+    table = spark.createDataFrame([("abc"[k % 3], float(k * k % 17)) for k in range(60)], "g string, v double")
+    two = stats.t_test(table, "v", "g", labels=["c", "a"]).first()
+    every = stats.t_test(table, "v", "g").filter("label_a = 'a' and label_b = 'c'").first()
+    assert (two.label_a, two.label_b) == ("a", "c") and abs(two.t - every.t) < 1e-12
+    with pytest.raises(ValueError):
+        stats.t_test(table, "v", "g", labels=["a"])
+
+
+def test_rank_correlations_at_once_and_pair_by_pair(spark):
+    from cohort.operators import stats
+
+    table = spark.createDataFrame([(float(k * 37 % 101), float(k * k % 13), float(k % 4)) for k in range(300)], "a double, b double, c double")
+    at_once = {(r.x, r.y): (r.n, r.r) for r in stats.correlation(table, ["a", "b", "c"], "spearman").collect()}
+    for (x, y), (n, r) in at_once.items():
+        one = stats.spearman(table, x, y).first()
+        assert n == one.n and abs(r - one.r) < 1e-12
+    gaps = table.unionByName(spark.createDataFrame([(None, 1.0, 2.0)], table.schema))
+    assert {(r.x, r.y): r.n for r in stats.correlation(gaps, ["a", "b", "c"], "spearman").collect()} == {("a", "b"): 300, ("a", "c"): 300, ("b", "c"): 301}
+
+
+def test_box_stats_with_and_without_a_broadcast(spark, monkeypatch):
+    table = spark.createDataFrame([("xy"[k % 2], float(k * k % 50)) for k in range(90)] + [("x", 1e6), (None, 3.0), ("y", None), ("y", float("nan"))], "g string, v double")
+    sent = sorted(map(tuple, charts.box_stats(table, ["v"], ["g"]).collect()), key=str)
+    monkeypatch.setattr(charts, "FEW_GROUPS", 0)
+    assert sorted(map(tuple, charts.box_stats(table, ["v"], ["g"]).collect()), key=str) == sent
