@@ -193,13 +193,14 @@ def cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray,
 
 
 def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: executors need not have this package
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(**sent.value)
         for batch in slices(batches, "text"):
-            bits, letters = cross_entropies(sent.value, batch.column(batch.schema.get_field_index("text")).to_pylist())
+            bits, letters = cross_entropies(known, batch.column(batch.schema.get_field_index("text")).to_pylist())
             best = bits.argmin(axis=1)
-            names = [sent.value.langs[b] if n else None for b, n in zip(best, letters)]
+            names = [known.langs[b] if n else None for b, n in zip(best, letters)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(letters, pa.int64()), pa.array(names, pa.string()), pa.array(best, pa.int32()),
                  pa.array(bits[np.arange(len(bits)), best]), pa.array(list(bits), pa.list_(pa.float64()))], names=["key", "lang", "part", "letters", "pred", "best", "bits", "all_bits"])
