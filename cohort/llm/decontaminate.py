@@ -162,18 +162,19 @@ _ITEMS = "array<struct<item_id:string,n_words:long,doc_word:long,item_word:long>
 
 
 def _scan(docs: DataFrame, block: Tests) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(block))  # plain arrays: executors need not have this package
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         item_type = pa.list_(pa.struct([("item_id", pa.string()), ("n_words", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64())]))
+        tests = Tests(**sent.value)
         for batch in slices(batches, "text", SHARD_BYTES):
-            sizes, runs, best = search_shard(*utf8(batch.column(2)), sent.value)
+            sizes, runs, best = search_shard(*utf8(batch.column(2)), tests)
             hits, items = [[] for _ in sizes], [[] for _ in sizes]
             for row, start, end in runs.tolist():
                 hits[row].append({"start": start, "end": end})
             for row, item, n, a, b in best.itertuples(index=False):
-                items[row].append({"item_id": sent.value.ids[item], "n_words": int(n), "doc_word": int(a), "item_word": int(b)})
+                items[row].append({"item_id": tests.ids[item], "n_words": int(n), "doc_word": int(a), "item_word": int(b)})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(hits, hit_type), pa.array(items, item_type)],
                 names=["key", "print", "n_words", "hits", "items"])
