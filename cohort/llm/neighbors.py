@@ -28,7 +28,7 @@ PREFIX = 128
 SAMPLE = 8192
 #: Share of a shard that is reranked, and the least number.
 RERANKED = 0.10
-LEAST = 64
+LEAST = 512
 SHARD = 4096
 QUERY_BLOCK = 2048
 
