@@ -6,12 +6,15 @@ it; after as many rounds as there are bins, round ``t + k`` sends all shingles t
 so that every coordinate fills whatever the size of the set. Equal coordinates estimate the
 Jaccard similarity with concentration bounds, at about one hash per shingle for large sets.
 
-Equal sets are one class from the start. Classes that agree in a band meet in its bucket, and
-each is compared with the bucket's smallest class on the full sets; what a bucket then still
-holds apart is compared across its components. All comparisons of a bucket are joins on its
-key, so nothing collects a bucket, and pairs exist only for classes that are not yet joined.
-
-With 32 bands of 4 coordinates a pair at similarity 0.8 misses all buckets with probability 5e-8.
+Equal sets are one class from the start. Classes that agree in a band meet in its bucket. First
+each is compared on the full sets with the smallest class it meets most often, which joins most
+of a group of near copies at one comparison a class. What a bucket then still holds apart is
+compared in blocks of bounded size: sketches tell which class may belong to which component, and
+such a class is then compared with the full sets of all of that component. Blocks give out links
+only, so pairs that fail never become rows, however large a group of near misses is.
+
+With 32 bands of 4 coordinates a pair at similarity 0.8 misses all buckets with probability 5e-8,
+and shares fewer than 80 of the 128 coordinates with about the same probability.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,6 +34,10 @@ BAND = 4
 SHINGLE = 5
 PERCENT = 80
 BITMAP_BITS = 24
+#: Classes of either side in a block.
+BLOCK = 512
+#: Standard deviations below the threshold at which a pair of sketches is given up.
+DEVIATIONS = 5.0
 _TABLE = byte_table(separators=" \t\n\x0b\x0c\r")
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -97,13 +105,15 @@ def _sketches(pair: DataFrame, size: int) -> DataFrame:
             row, key = shingle_sets(*utf8(batch.column(1)), size)
             rows = batch.num_rows
             n = np.bincount(row, minlength=rows)
-            bands = band_keys(sketch(row, key, rows))
+            cells = sketch(row, key, rows)
+            bands = band_keys(cells)
+            bytes_ = mix(cells).astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, bands.shape[1], 0))], pa.int32()), pa.array(bands[n > 0].reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(_sums(row, key, rows, 1)), pa.array(_sums(row, key, rows, 2)), lists],
-                names=["key", "n", "set_a", "set_b", "bands"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(_sums(row, key, rows, 1)), pa.array(_sums(row, key, rows, 2)), lists, pa.array([b.tobytes() for b in bytes_], pa.binary())],
+                names=["key", "n", "set_a", "set_b", "bands", "sketch"])
 
-    return pair.mapInArrow(work, f"key {pair.schema['key'].dataType.simpleString()}, n long, set_a long, set_b long, bands array<long>")
+    return pair.mapInArrow(work, f"key {pair.schema['key'].dataType.simpleString()}, n long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
 def _sets(pair: DataFrame, needed: DataFrame, size: int) -> DataFrame:
@@ -149,49 +159,137 @@ def _roots(links: DataFrame) -> DataFrame:
     return kept(connected_components(links, nodes), "roots")
 
 
+def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pd.DataFrame]:
+    """Runs of rows that agree in the first ``keys`` columns, from rows sorted by them."""
+    rest = None
+    for batch in batches:
+        frame = batch.to_pandas()
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        names = list(frame.columns[:keys])
+        edges = np.flatnonzero((frame[names].to_numpy()[1:] != frame[names].to_numpy()[:-1]).any(axis=1)) + 1
+        for x, y in zip([0, *edges[:-1]], edges):
+            yield frame.iloc[x:y]
+        rest = frame.iloc[edges[-1]:] if len(edges) else frame
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _blocked(members: DataFrame, others: DataFrame, group: str) -> DataFrame:
+    """``(group, mb, sb, side, ...)``: every block of ``members`` beside every block of ``others`` of the group.
+
+    Both sides hold ``group``, ``rep`` and the same further columns. A block has about ``BLOCK`` rows,
+    so a group of any size becomes many small ones.
+    """
+    count = lambda rows, name: rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias(name))
+    sizes = kept(count(members, "nm").join(count(others, "ns"), group), "sizes")
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(sizes, group).withColumn("mb", place("nm")).withColumn("sb", every("ns")).withColumn("side", F.lit(0))
+    right = others.join(sizes, group).withColumn("sb", place("ns")).withColumn("mb", every("nm")).withColumn("side", F.lit(1))
+    columns = [group, "mb", "sb", "side", *[c for c in members.columns if c != group]]
+    both = left.select(*columns).unionByName(right.select(*columns))
+    return both.repartition(group, "mb", "sb").sortWithinPartitions(group, "mb", "sb")
+
+
+def _candidates(rows: DataFrame, stragglers: DataFrame, percent: int, kind: str) -> DataFrame:
+    """``(rep, target)``: classes and the components, not their own, that a sketch of some member says they may join.
+
+    Of two components the smaller one (or the one of the larger name) is moved.
+    """
+    share = percent / 100.0
+    least = int(np.floor(COORDINATES * share - DEVIATIONS * np.sqrt(COORDINATES * share * (1 - share))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for frame in _by_group(batches, 3):
+            side = frame["side"].to_numpy()
+            if not side.any() or side.all():
+                continue
+            sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
+            reps, roots, sizes = frame["rep"].to_numpy(), frame["root"].to_numpy(), frame["size"].to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for i in right:
+                near = left[(roots[left] != roots[i]) & ((sketches[left] == sketches[i]).sum(axis=1) >= least)]
+                moved = (sizes[i] < sizes[near]) | ((sizes[i] == sizes[near]) & (roots[i] > roots[near]))
+                seen.update((reps[i], r) for r in roots[near[moved]])
+                seen.update((r, roots[i]) for r in reps[near[~moved]])
+            if len(seen) > 100_000:
+                yield _pair_batch(seen, "rep", "target")
+                seen = set()
+        yield _pair_batch(seen, "rep", "target")
+
+    return _blocked(rows, stragglers, "bucket").mapInArrow(work, f"rep {kind}, target {kind}").distinct()
+
+
+def _pair_batch(pairs: set[tuple], *names: str) -> pa.RecordBatch:
+    table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], names=list(names))
+
+
+def _joined(members: DataFrame, moved: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links ``(a, b)`` between classes and members of the components they may join, on full sets."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links: set[tuple] = set()
+        for frame in _by_group(batches, 3):
+            side, reps = frame["side"].to_numpy(), frame["rep"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in frame["set"]]
+            left = np.flatnonzero(side == 0)
+            if not len(left) or not side.any():
+                continue
+            flat, sizes = np.concatenate([sets[k] for k in left]), np.array([len(sets[k]) for k in left])
+            begin = np.cumsum(sizes) - sizes
+            for i in np.flatnonzero(side == 1):
+                own = sets[i]
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                same = np.add.reduceat(hit.astype(np.int64), begin)
+                good = (100 * same >= percent * (sizes + len(own) - same)) & (reps[left] != reps[i])
+                links.update((reps[i], r) for r in reps[left[good]][:1])  # one link joins it to the component
+        yield _pair_batch(links, "a", "b")
+
+    return _blocked(members, moved, "target").mapInArrow(work, f"a {kind}, b {kind}").distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``(key, n_shingles, component_id)`` of every row.
+    """``(key, n_shingles, component_id)`` of every row; keys are whole numbers.
 
     ``component_id`` is the smallest key linked to the row over any number of links. Null, empty
     and wordless texts have no shingles and are linked with nothing; a row without a key has no
     component. Rows of one key count as one document: what is linked to any of them is linked to all.
     """
-    pair = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    pair = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     drawn = kept(_sketches(pair, shingle), "sketches")
-    classes = kept(drawn.filter("n > 0 and key is not null").groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.first("bands").alias("bands")), "classes")
+    classes = kept(drawn.filter("n > 0 and key is not null").groupBy("set_a", "set_b", "n").agg(
+        F.min("key").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     posted = classes.select("rep", F.explode("bands").alias("bucket")).distinct()
     met = kept(posted.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("bucket", "lead"), "buckets")
     posted = kept(posted.join(met, "bucket"), "posted")
-    sets = kept(_sets(pair, posted.select(F.col("rep").alias("key")).distinct(), shingle), "sets")
+    reps = kept(posted.select("rep").distinct(), "reps")
+    sets = kept(_sets(pair, reps.select(F.col("rep").alias("key")), shingle), "sets")
 
     to_lead = posted.filter("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("n"))
     most = to_lead.groupBy("rep").agg(F.max_by("lead", F.col("n")).alias("lead"))
-    tried = kept(most.select(F.col("rep").alias("a"), F.col("lead").alias("b")), "tried")
-    links = kept(_verified(tried, sets, percent), "links")
-    roots = _roots(links)
-    left = _apart(to_lead.select(F.col("rep").alias("a"), F.col("lead").alias("b")), roots).join(tried, ["a", "b"], "left_anti")
-    more = kept(_verified(left, sets, percent), "links")
-    links = links.unionByName(more)
+    links = kept(_verified(most.select(F.col("rep").alias("a"), F.col("lead").alias("b")), sets, percent), "links")
     roots = _roots(links)
 
-    placed = posted.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "lead", F.coalesce("root", "rep").alias("root"))
-    mixed = kept(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket"), "mixed")
-    rest = kept(placed.join(mixed, "bucket").filter("rep <> lead"), "rest")
-    x, y = rest.select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra")), rest.select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"))
-    across = x.join(y, "bucket").filter("a < b and ra <> rb").select("a", "b").distinct()
-    roots = _roots(links.unionByName(kept(_verified(across, sets, percent), "links")))
+    placed = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+    size = kept(placed.groupBy("root").agg(F.count("*").alias("size")), "size")
+    placed = kept(placed.join(size, "root"), "placed")
+    in_bucket = posted.select("bucket", "rep").join(placed, "rep")
+    by_root = kept(in_bucket.groupBy("bucket", "root").agg(F.count("*").alias("n")), "roots")
+    mixed = kept(by_root.groupBy("bucket").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("k > 1").select("bucket", "main"), "mixed")
+    look = classes.groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    rows = kept(in_bucket.join(mixed, "bucket").join(look, "rep").select("bucket", "rep", "root", "size", "sketch", (F.col("root") != F.col("main")).alias("aside")), "rows")
+    moved = kept(_candidates(rows.drop("aside"), rows.filter("aside").drop("aside"), percent, "long"), "moved")
+    whole = sets.withColumnRenamed("key", "rep")
+    members = placed.select("rep", F.col("root").alias("target")).join(moved.select("target").distinct(), "target").join(whole, "rep").select("target", "rep", "set")
+    more = kept(_joined(members, moved.join(whole, "rep").select("target", "rep", "set"), percent, "long"), "links")
+    roots = _roots(links.unionByName(more))
 
     named = kept(classes.select("set_a", "set_b", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("root", "rep").alias("root")), "named")
     by_set = drawn.select("key", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
     return by_set.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("root", "key")).alias("component_id"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs not yet in one component."""
-    named = pairs.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
-    return named.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one of the smallest key; rows without a key stay."""
     dropped = groups(docs, key, text, shingle, percent).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_dropped")).distinct()

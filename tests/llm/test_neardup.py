@@ -71,3 +71,16 @@ def test_sketch_fills_and_estimates():
     filled = (cells != neardup._EMPTY).all(axis=1)
     assert filled.tolist() == [True, False, True, True, True]
     assert abs(np.mean(cells[3] == cells[4]) - 0.8) < 0.08
+
+
+def test_a_drifting_group_is_joined_as_brute_force_does(spark, monkeypatch):
+    rng = random.Random(12)
+    words = ["w%d" % k for k in range(4000)]
+    base, texts = rng.choices(words, k=120), []
+    for _ in range(220):
+        share = rng.choice([0.01, 0.05, 0.09, 0.14, 0.2])
+        texts.append(" ".join(w if rng.random() > share else rng.choice(words) for w in base))
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    assert run(spark, rows, 2) == brute(rows, 2)
