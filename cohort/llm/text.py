@@ -167,11 +167,22 @@ def slot_of(key, bits: int):
 
 
 def bitmap(slots: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Bitmap of the slots that occur; at most 2^(bits-5) words reach the driver, whatever the input."""
-    words = slots.select(F.shiftright(column, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(column) % 32).cast("int")).alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    """Bitmap of the slots that occur: ``2^(bits-3)`` bytes reach the driver, in pieces made by the tasks."""
+    piece = min(bits, 16)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for number in np.unique(at >> piece).tolist():
+                own = at[at >> piece == number] & ((1 << piece) - 1)
+                np.bitwise_or.at(pieces.setdefault(number, np.zeros(1 << (piece - 5), np.uint32)), own >> 5, np.uint32(1) << (own & 31).astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([b.tobytes() for b in pieces.values()], pa.binary())], names=["number", "bits"])
+
+    dealt = slots.select(F.col(column).cast("long").alias("slot")).repartition(F.shiftright("slot", piece))
     out = np.zeros(1 << (bits - 5), np.uint32)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    for row in dealt.mapInArrow(work, "number long, bits binary").collect():
+        out[row.number << (piece - 5): (row.number + 1) << (piece - 5)] = np.frombuffer(row.bits, np.uint32)
     return out
 
 
