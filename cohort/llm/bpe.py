@@ -77,13 +77,14 @@ class Coder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = words.difference(known)
-        again = new.intersection(older)
-        for word in again:
-            known[word] = older[word]
-        cut = [(w, *self._shortcut(w)) for w in new.difference(again)]
+        for word in new:
+            if word in older:
+                known[word] = older[word]
+        cut = [(w, *self._shortcut(w)) for w in new.difference(older)]
         parts = {p for _, core, stops in cut for p in (core, stops)}.difference(known)
-        for part in parts.intersection(older):
-            known[part] = older[part]
+        for part in parts:
+            if part in older:
+                known[part] = older[part]
         ask = list(parts.difference(older))
         for part, found in zip(ask, self.inner.encode_batch_fast(ask, add_special_tokens=False)):
             known[part] = tuple(found.ids)
@@ -240,9 +241,10 @@ def _encode_chunks(pieces: DataFrame, definition) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(definition)
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
+        for batch in slices(batches, "text"):
+            out, texts = [], batch.column(1).to_pylist()
+            coder.learn({w for t in texts for w in split(t)})
+            for text in texts:
                 first = next((k for k, c in enumerate(text) if c in _SPACE), None)
                 if first is None:
                     out.append((text, "", b"", False))
