@@ -208,8 +208,11 @@ def _candidates(rows: DataFrame, stragglers: DataFrame, percent: int, kind: str)
             sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
             reps, roots, sizes = frame["rep"].to_numpy(), frame["root"].to_numpy(), frame["size"].to_numpy()
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            bands = sketches.reshape(len(frame), -1, BAND)
+            common = (bands == bands[0]).all(axis=(0, 2)).argmax()
             for i in right:
                 near = left[(roots[left] != roots[i]) & ((sketches[left] == sketches[i]).sum(axis=1) >= least)]
+                near = near[(bands[near] == bands[i]).all(axis=2).argmax(axis=1) == common]  # each pair where it first meets
                 moved = (sizes[i] < sizes[near]) | ((sizes[i] == sizes[near]) & (roots[i] > roots[near]))
                 seen.update((reps[i], r) for r in roots[near[moved]])
                 seen.update((r, roots[i]) for r in reps[near[~moved]])
