@@ -208,11 +208,10 @@ def _candidates(rows: DataFrame, stragglers: DataFrame, percent: int, kind: str)
             sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
             reps, roots, sizes = frame["rep"].to_numpy(), frame["root"].to_numpy(), frame["size"].to_numpy()
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            bands = sketches.reshape(len(frame), -1, BAND)
-            common = (bands == bands[0]).all(axis=(0, 2)).argmax()
+            bands, bucket = np.stack(list(frame["bands"])), frame["bucket"].iloc[0]
             for i in right:
                 near = left[(roots[left] != roots[i]) & ((sketches[left] == sketches[i]).sum(axis=1) >= least)]
-                near = near[(bands[near] == bands[i]).all(axis=2).argmax(axis=1) == common]  # each pair where it first meets
+                near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == bucket]  # each pair where it first meets, by whole band keys
                 moved = (sizes[i] < sizes[near]) | ((sizes[i] == sizes[near]) & (roots[i] > roots[near]))
                 seen.update((reps[i], r) for r in roots[near[moved]])
                 seen.update((r, roots[i]) for r in reps[near[~moved]])
@@ -280,8 +279,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     in_bucket = posted.select("bucket", "rep").join(placed, "rep")
     by_root = kept(in_bucket.groupBy("bucket", "root").agg(F.count("*").alias("n")), "roots")
     mixed = kept(by_root.groupBy("bucket").agg(F.count("*").alias("k"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("k > 1").select("bucket", "main"), "mixed")
-    look = classes.groupBy("rep").agg(F.first("sketch").alias("sketch"))
-    rows = kept(in_bucket.join(mixed, "bucket").join(look, "rep").select("bucket", "rep", "root", "size", "sketch", (F.col("root") != F.col("main")).alias("aside")), "rows")
+    look = classes.select("rep", "sketch", "bands")  # a key of several texts is in a bucket with those that are
+    looked = in_bucket.join(mixed, "bucket").join(look, "rep").filter(F.array_contains("bands", F.col("bucket")))
+    rows = kept(looked.select("bucket", "rep", "root", "size", "sketch", "bands", (F.col("root") != F.col("main")).alias("aside")), "rows")
     moved = kept(_candidates(rows.drop("aside"), rows.filter("aside").drop("aside"), percent, "long"), "moved")
     whole = sets.withColumnRenamed("key", "rep")
     members = placed.select("rep", F.col("root").alias("target")).join(moved.select("target").distinct(), "target").join(whole, "rep").select("target", "rep", "set")

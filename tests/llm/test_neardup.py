@@ -84,3 +84,28 @@ def test_a_drifting_group_is_joined_as_brute_force_does(spark, monkeypatch):
     rng.shuffle(rows)
     monkeypatch.setattr(neardup, "BLOCK", 40)
     assert run(spark, rows, 2) == brute(rows, 2)
+
+
+def test_a_pair_meets_in_its_first_common_bucket_though_bytes_agree_before(spark):
+    rng = np.random.default_rng(5)
+    look = rng.integers(0, 256, neardup.COORDINATES, dtype=np.uint8).tobytes()
+    bands = np.arange(100, 132)
+    other = np.where(np.isin(np.arange(32), (3, 7)), bands, bands + 1000)  # sketch bytes agree everywhere, keys in two bands
+    third = rng.integers(0, 256, neardup.COORDINATES, dtype=np.uint8)
+    for band in (3, 7):
+        third[band * neardup.BAND:(band + 1) * neardup.BAND] = np.frombuffer(look, np.uint8)[band * neardup.BAND:(band + 1) * neardup.BAND]
+    rows = [(int(bucket), rep, rep, 1, own_look, own.tolist()) for bucket in (103, 107) for rep, own_look, own in ((1, look, bands), (2, look, other), (3, third.tobytes(), other))]
+    frame = spark.createDataFrame(rows, "bucket long, rep long, root long, size long, sketch binary, bands array<long>")
+    found = neardup._candidates(frame, frame.filter("rep = 2"), 80, "long").collect()
+    assert [tuple(r) for r in found] == [(2, 1)]
+
+
+def test_every_text_of_a_key_is_compared(spark):
+    rng = random.Random(8)
+    words = ["w%d" % k for k in range(4000)]
+    one, two, rows = rng.choices(words, k=150), rng.choices(words, k=150), []
+    for k in range(60):
+        for base in (one, two):
+            share = rng.choice([0.01, 0.05, 0.09, 0.14])
+            rows.append((k if k % 7 == 0 else 100 + len(rows), " ".join(w if rng.random() > share else rng.choice(words) for w in base)))
+    assert run(spark, rows, 2) == brute(rows, 2)
