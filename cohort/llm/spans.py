@@ -7,8 +7,10 @@ key and place, and the sentences of every other occurrence are removed.
 A first pass only counts hashes. The repeated ones reach a second pass as a bitmap of fixed
 size, and only occurrences of these travel with their place and a 128-bit name.
 
-Very long sentences are cut after words chosen by their hash, so that a passage without stops,
-or one glued to other text at its ends, still falls into the same parts everywhere.
+Very long sentences are cut after words chosen by their hash. Passages that begin and end inside
+sentences are found by windows of twenty words, whatever the sentences: of every sixteen windows in
+a row the one of the smallest hash is named, so any 35 words in common hold a common named window,
+and all but fifteen words at either end of a longer passage lie in some. Their words are removed.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm.text import Words, bitmap, byte_table, kept, marked, mix, read_table, slices, utf8
+from cohort.llm.text import Words, bitmap, byte_table, chain, kept, marked, mix, read_table, slices, utf8
 
 SENTENCES = 2
 WORDS = 20
 LONG = 24
+#: Windows in a row of which one is named; a power of two.
+WINNOW = 16
 BITMAP_BITS = 26
 _TABLE = byte_table(words="0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BLANK = np.isin(np.arange(256), [ord(c) for c in " \t\n\x0b\x0c\r"])
 #: UTF-8 of the full-width stops.
 _WIDE = ((0xE3, 0x80, 0x82), (0xEF, 0xBC, 0x81), (0xEF, 0xBC, 0x9F))
@@ -95,14 +100,57 @@ def runs(found: Sentences, least: int = SENTENCES, words: int = WORDS) -> tuple[
     return first, count, names[0], names[1]
 
 
+def windows(words: Words, size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, name, name2)`` of the named windows of ``size`` words; ``first`` counts words over all rows."""
+    n = len(words.key) - size + 1
+    if n < 1:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none.astype(np.uint64)
+    names = []
+    for salt in (3, 3 << 40):
+        part, total, done, length, rest = mix(words.key ^ np.uint64(salt)), None, 0, 1, size
+        while rest:  # a window is joined from parts whose lengths are powers of two
+            if rest & 1:
+                own = part[done: done + n]
+                total = own if total is None else chain(total[:n], own)
+                done += length
+            rest >>= 1
+            if rest:
+                part, length = chain(part[:-length], part[length:]), 2 * length
+        names.append(mix(total))
+    name = names[0]
+    inside = words.row[:n] == words.row[size - 1:]
+    low = np.where(inside, name, _TOP)
+    reach = 1
+    while reach < WINNOW:
+        low[:-reach] = np.minimum(low[:-reach], low[reach:].copy()) if reach < n else low[:-reach]
+        reach *= 2
+    start = np.searchsorted(words.row, words.row[:n], side="left")
+    stop = np.searchsorted(words.row, words.row[:n], side="right") - size + 1
+    place = np.arange(n)
+    whole = inside & ((place + WINNOW <= stop) | (place == start))  # a row of fewer windows names one
+    top = np.where(whole, low, np.uint64(0))
+    reach = 1
+    while reach < WINNOW:
+        top[reach:] = np.maximum(top[reach:], top[:-reach].copy()) if reach < n else top[reach:]
+        reach *= 2
+    first = np.flatnonzero(inside & (name == top))
+    return first, name[first], names[1][first]
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """``(key, print, places)`` of the rows that hold a non-first occurrence; ``places`` are sentence numbers to remove."""
+    """``(key, print, places, windows)`` of the rows that hold a non-first occurrence.
+
+    ``places`` are the sentences to remove, ``windows`` the first words of windows of ``words`` words to remove.
+    """
     pair = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).cast("string").alias("text"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            _, _, name, _ = runs(sentences(*utf8(batch.column(0))), least, words)
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64))], names=["name"])
+            raw, offsets = utf8(batch.column(0))
+            _, _, name, _ = runs(sentences(raw, offsets), least, words)
+            _, more, _ = windows(Words(raw, offsets, _TABLE), words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[name, more].view(np.int64))], names=["name"])
 
     counted = pair.select("text").mapInArrow(names, "name long").groupBy("name").count().filter("count > 1")
     slots = counted.select(F.shiftrightunsigned("name", 64 - BITMAP_BITS).alias("slot"))
@@ -110,54 +158,66 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = sentences(*utf8(batch.column(2)))
+            raw, offsets = utf8(batch.column(2))
+            found, apart = sentences(raw, offsets), Words(raw, offsets, _TABLE)
             first, count, name, more = runs(found, least, words)
+            word, *names = windows(apart, words)
+            row, place = np.r_[found.row[first], apart.row[word]], np.r_[found.place[first], -1 - (word - np.searchsorted(apart.row, apart.row[word], side="left"))]
+            count, name, more = np.r_[count, np.zeros(len(word), np.int64)], np.r_[name, names[0]], np.r_[more, names[1]]
             use = marked(wanted.value, (name >> np.uint64(64 - BITMAP_BITS)).astype(np.int64))
-            first, count, name, more = first[use], count[use], name[use], more[use]
-            rows = pa.array(found.row[first])
+            row, place, count, name, more = row[use], place[use], count[use], name[use], more[use]
+            rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(name.view(np.int64)), pa.array(more.view(np.int64)), pa.array(found.place[first], pa.int32()), pa.array(count, pa.int32())],
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(name.view(np.int64)), pa.array(more.view(np.int64)), pa.array(place, pa.int32()), pa.array(count, pa.int32())],
                 names=["key", "print", "name", "more", "place", "count"])
 
     kind = pair.schema["key"].dataType.simpleString()
     spots = kept(pair.mapInArrow(places, f"key {kind}, print long, name long, more long, place int, count int"), "spots")
-    spot = F.struct("key", "print", "place")
+    spot = F.struct("key", "print", F.abs("place").alias("place"))  # words are numbered -1, -2, ... from the first
     firsts = kept(spots.groupBy("name", "more").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).filter("low < high").select("name", "more", "low"), "firsts")
     others = spots.join(firsts, ["name", "more"]).filter(spot != F.col("low"))
-    return others.select("key", "print", F.explode(F.sequence("place", F.col("place") + F.col("count") - 1)).alias("place")).groupBy("key", "print").agg(F.collect_set("place").alias("places"))
+    parts = F.when(F.col("count") > 0, F.sequence("place", F.col("place") + F.greatest(F.col("count"), F.lit(1)) - 1)).otherwise(F.array("place"))
+    all_ = others.select("key", "print", F.explode(parts).alias("place")).groupBy("key", "print").agg(F.collect_set("place").alias("all"))
+    return all_.select("key", "print", F.filter("all", lambda x: x >= 0).alias("places"), F.transform(F.filter("all", lambda x: x < 0), lambda x: -1 - x).alias("windows"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """``(key, n_sentences, n_removed, removed, text)`` of every row; ``removed`` holds byte ranges of the old text.
 
-    Null texts stay null, with no sentences. Rows that agree in key and text are one document and
+    ``n_removed`` counts sentences that are gone as a whole. Null texts stay null, with no sentences. Rows that agree in key and text are one document and
     are cut alike; null keys come first in the order of occurrences.
     """
     pair = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("print"), F.col(text).cast("string").alias("text"))
     cut = repeated(docs, key, text, least, words).withColumnsRenamed({"key": "_key", "print": "_print"})
-    rows = pair.join(cut, F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print")), "left").select("key", "text", "places")
+    rows = pair.join(cut, F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print")), "left").select("key", "text", "places", "windows")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = sentences(*utf8(batch.column(1)))
+            raw, offsets = utf8(batch.column(1))
+            found, apart = sentences(raw, offsets), Words(raw, offsets, _TABLE)
             edges = np.searchsorted(found.row, np.arange(batch.num_rows + 1))
+            begin = np.searchsorted(apart.row, np.arange(batch.num_rows + 1))
             counts, removed, texts = [], [], []
-            for a, b, old, places in zip(edges[:-1], edges[1:], batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not places:
+            for k, (a, b, old, places, wins) in enumerate(zip(edges[:-1], edges[1:], *(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                if not places and not wins:
                     counts.append((b - a, 0))
                     removed.append([])
                     texts.append(old)
                     continue
+                bounds = np.r_[apart.start[begin[k]: begin[k + 1]] - offsets[k], offsets[k + 1] - offsets[k]]  # a word goes with what follows it
+                bounds[0] = 0
+                spans = sorted([(int(found.start[a + p]), int(found.end[a + p])) for p in places] + [(int(bounds[w]), int(bounds[w + words])) for w in wins])
                 data, out, at, ranges = old.encode("utf-8"), [], 0, []
-                for k in sorted(places):
-                    start, end = int(found.start[a + k]), int(found.end[a + k])
-                    out.append(data[at:start])
-                    at = end
-                    if ranges and ranges[-1]["end"] == start:
-                        ranges[-1]["end"] = end
+                for start, end in spans:
+                    if ranges and start <= ranges[-1]["end"]:
+                        ranges[-1]["end"] = max(ranges[-1]["end"], end)
                     else:
                         ranges.append({"start": start, "end": end})
-                counts.append((b - a, len(places)))
+                for r in ranges:
+                    out.append(data[at:r["start"]])
+                    at = r["end"]
+                inside = np.searchsorted([r["start"] for r in ranges], found.start[a:b], side="right") - 1
+                counts.append((b - a, int(((inside >= 0) & (np.array([r["end"] for r in ranges])[inside] >= found.end[a:b])).sum())))
                 removed.append(ranges)
                 texts.append(b"".join([*out, data[at:]]).decode("utf-8"))
             yield pa.RecordBatch.from_arrays(

@@ -99,3 +99,38 @@ def test_a_passage_without_stops_is_cut_alike():
     rows = found.row[spans.runs(found)[0]]
     shared = set(name[rows == 0].tolist()) & set(name[rows == 1].tolist())
     assert len(shared) >= 0.5 * (rows == 0).sum() > 3
+
+
+def glued(rng, size, low, high):
+    """Two texts that share ``size`` words, glued into other sentences at both ends."""
+    def prose(n):
+        out, rest = [], rng.randint(low, high)
+        for _ in range(n):
+            rest -= 1
+            out.append("w%d" % rng.randrange(90000) + ("." if not rest and high < 90 else ""))
+            rest = rest or rng.randint(low, high)
+        return out
+
+    shared = prose(size)
+    shared[0], shared[-1] = shared[0].strip("."), shared[-1].strip(".")
+    return shared, [" ".join(["q%d" % rng.randrange(90000) for _ in range(rng.randint(1, 30))] + shared + ["z%d" % rng.randrange(90000) for _ in range(rng.randint(1, 30))]) for _ in range(2)]
+
+
+def test_a_passage_glued_at_both_ends_is_removed(spark):
+    rng = random.Random(6)
+    rows, shares = [], []
+    for case in range(240):
+        shared, texts = glued(rng, rng.randint(51, 60), *rng.choice([(18, 24), (20, 30), (6, 14), (99, 99)]))
+        shares.append(shared)
+        rows += [(2 * case + n, t) for n, t in enumerate(texts)]
+    out = {r.doc_id: r for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    texts = dict(rows)
+    for case, shared in enumerate(shares):
+        assert out[2 * case].text == texts[2 * case]
+        left = [w for w in out[2 * case + 1].text.split() if w in shared]
+        assert len(left) <= 2 * (spans.WINNOW - 1), case
+        data = texts[2 * case + 1].encode()
+        for r in reversed(out[2 * case + 1].removed):
+            data = data[:r["start"]] + data[r["end"]:]
+        assert data.decode() == out[2 * case + 1].text
+        assert [w for w in texts[2 * case + 1].split() if w not in shared] == [w for w in out[2 * case + 1].text.split() if w not in shared]
