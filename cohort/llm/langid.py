@@ -2,8 +2,10 @@
 
 Counts of character 4-grams per language come from one pass over all learning texts; the
 continuation counts of the lower orders, the context totals and the discounts are group-bys
-over them. Grams are folded by hash into a fixed number of slots per order, so the model has
-a proven size however large the corpus: sorted slot arrays with one column per language.
+over them. All are kept by whole gram in tables that grow with the corpus. Texts are scored
+against one block of the tables after another: a block holds a range of the two letters before
+the last, has sorted arrays of bounded size with one column per language, and adds the
+log-probabilities of the grams in its range; sums over blocks make the score.
 
 A text's score under a language is its cross-entropy per character; the lowest wins. Texts
 whose best cross-entropy lies above what nearly all calibration texts of that language and
@@ -21,10 +23,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm.text import kept, mix, process_cache, read_table, slices
+from cohort.llm.text import kept, process_cache, read_table, slices
 
 ORDER = 4
-SLOT_BITS = 20
+#: Counts (grams x languages) of a block of the model.
+CELLS = 1 << 22
 UNKNOWN = "und"
 #: Share of calibration texts that the limits let pass, and the room above their quantile.
 PASSING = 0.999
@@ -96,27 +99,25 @@ def _count(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def slot(gram: np.ndarray, order: int) -> np.ndarray:
-    return (mix(gram.view(np.uint64) + np.uint64(order) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
 @dataclass
 class Model:
-    """Per order: sorted slots of grams with counts, and of contexts with totals and kinds, by language."""
+    """Per order: sorted grams with counts, and contexts with totals and kinds, by language; of the pairs from low to below high."""
 
     langs: list[str]
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     discount: np.ndarray
     symbols: np.ndarray
+    low: int = 0
+    high: int = 1 << 32
 
     def log_probability(self, gram: np.ndarray) -> np.ndarray:
         """log2 of the interpolated probability of the last symbol of each gram, one column per language."""
         p = np.tile(1.0 / (self.symbols + 1.0), (len(gram), 1))
         for order in range(1, ORDER + 1):
             own = gram & np.uint64((1 << (16 * order)) - 1) if order < 4 else gram
-            total, kinds = _lookup(self.contexts[order - 1], slot(own >> np.uint64(16), -order & 0xFF))
-            (n,) = _lookup(self.grams[order - 1], slot(own, order))
+            total, kinds = _lookup(self.contexts[order - 1], own >> np.uint64(16))
+            (n,) = _lookup(self.grams[order - 1], own)
             d, some = self.discount[order - 1], total > 0
             known = np.where(some, total, 1.0)
             p = np.where(some, np.minimum(1.0, (np.maximum(n - d, 0) + d * kinds * p) / known), p)
@@ -132,8 +133,41 @@ def _lookup(table: tuple, wanted: np.ndarray) -> list[np.ndarray]:
     return [np.where(hit, c[at], 0.0) for c in columns]
 
 
-def fit(texts: DataFrame) -> Model:
-    """The model of ``(lang, text)`` rows; what reaches the driver is bounded by slots x orders x languages."""
+@dataclass
+class Counts:
+    """Tables ``(lang, ord, gram, pair, n)`` and ``(..., n, kinds)`` of grams and contexts; ``lang`` is a number."""
+
+    langs: list[str]
+    grams: DataFrame
+    contexts: DataFrame
+    discount: np.ndarray
+    symbols: np.ndarray
+
+    def blocks(self) -> list[tuple[int, int]]:
+        """Ranges of pairs whose grams fit a block."""
+        long = self.grams.filter("ord >= 3")
+        rows = long.count()
+        n = -(-rows * len(self.langs) // CELLS)
+        if n < 2:
+            return [(0, 1 << 32)]
+        cuts = long.agg(F.percentile_approx("pair", [k / n for k in range(1, n)], max(10000, 20 * n)).alias("cuts")).first().cuts
+        edges = [0, *sorted({c for c in cuts if c > 0}), 1 << 32]
+        return list(zip(edges[:-1], edges[1:]))
+
+    def model(self, low: int = 0, high: int = 1 << 32) -> Model:
+        near = ((F.col("ord") == 1) | (F.col("ord") == 2) & F.shiftright("pair", 16).between(low >> 16, (high - 1) >> 16)
+                | (F.col("ord") > 2) & (F.col("pair") >= low) & (F.col("pair") < high))
+        return Model(self.langs, _arrays(self.grams.filter(near), len(self.langs), ["n"]), _arrays(self.contexts.filter(near), len(self.langs), ["n", "kinds"]),
+                     self.discount, self.symbols, low, high)
+
+
+def pairs(gram):
+    """The two letters before the last, the nearer one first, as a number below 2^32; of arrays."""
+    return ((gram >> np.uint64(16)) & np.uint64(0xFFFF)) << np.uint64(16) | ((gram >> np.uint64(32)) & np.uint64(0xFFFF))
+
+
+def count(texts: DataFrame) -> Counts:
+    """The counts of ``(lang, text)`` rows; the driver receives one row per language and order."""
     counts = kept(_count(texts), "grams")
     orders, above = [counts.withColumn("ord", F.lit(ORDER))], counts
     for order in range(ORDER - 1, 0, -1):
@@ -143,7 +177,6 @@ def fit(texts: DataFrame) -> Model:
     for more in orders[1:]:
         grams = grams.unionByName(more)
     grams = kept(grams, "orders")
-    contexts = grams.groupBy("lang", "ord", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     rare = grams.groupBy("lang", "ord").agg(
         F.sum((F.col("n") == 1).cast("long")).alias("once"), F.sum((F.col("n") == 2).cast("long")).alias("twice"), F.count("*").alias("kinds")).toPandas()
     langs = sorted(rare["lang"].unique())
@@ -154,29 +187,29 @@ def fit(texts: DataFrame) -> Model:
             discount[r.ord - 1, column[r.lang]] = r.once / (r.once + 2.0 * r.twice)
         if r.ord == 1:
             symbols[column[r.lang]] = r.kinds
-    return Model(langs, _slots(grams, column, 0, ["n"]), _slots(contexts, column, 1, ["n", "kinds"]), discount, symbols)
+    number = F.array_position(F.array(*[F.lit(lang) for lang in langs]).cast("array<string>"), F.col("lang")).cast("int") - 1
+    letter = lambda k: F.shiftrightunsigned("gram", 16 * k).bitwiseAND(0xFFFF)
+    pair = lambda k: F.shiftleft(letter(k), 16).bitwiseOR(letter(k + 1)).alias("pair")
+    contexts = grams.groupBy("lang", "ord", F.shiftrightunsigned("gram", 16).alias("gram")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    return Counts(langs, grams.select(number.alias("lang"), "ord", "gram", pair(1), "n"), kept(contexts.select(number.alias("lang"), "ord", "gram", pair(0), "n", "kinds"), "contexts"), discount, symbols)
 
 
-def _slots(grams: DataFrame, column: dict[str, int], context: int, values: list[str]) -> list[tuple]:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram, order = batch.column(2).to_numpy(), batch.column(1).to_numpy()
-            at = np.zeros(len(gram), np.int64)
-            for k in range(1, ORDER + 1):
-                own = order == k
-                at[own] = slot(gram[own], -k & 0xFF if context else k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at), *batch.columns[3:]], names=["lang", "ord", "slot", *values])
-
-    placed = grams.select("lang", "ord", "gram", *values).mapInArrow(work, "lang string, ord int, slot long, " + ", ".join(f"{v} long" for v in values))
-    found = placed.groupBy("lang", "ord", "slot").agg(*[F.sum(v).alias(v) for v in values]).toPandas()
+def fit(texts: DataFrame) -> Model:
+    """The model of ``(lang, text)`` rows as one block."""
+    return count(texts).model()
+
+
+def _arrays(rows: DataFrame, langs: int, values: list[str]) -> list[tuple]:
+    found = rows.select("lang", "ord", "gram", *values).toPandas()
     out = []
     for order in range(1, ORDER + 1):
         part = found[found["ord"] == order]
-        keys = np.unique(part["slot"].to_numpy(np.int64))
-        row, lang = np.searchsorted(keys, part["slot"].to_numpy(np.int64)), part["lang"].map(column).to_numpy(np.int64)
+        gram = part["gram"].to_numpy(np.int64).view(np.uint64)
+        keys = np.unique(gram)
+        row, lang = np.searchsorted(keys, gram), part["lang"].to_numpy(np.int64)
         tables = []
         for v in values:
-            table = np.zeros((len(keys), len(column)), np.float32)
+            table = np.zeros((len(keys), langs), np.float32)
             table[row, lang] = part[v].to_numpy()
             tables.append(table)
         out.append((keys, *tables))
@@ -184,28 +217,46 @@ def _slots(grams: DataFrame, column: dict[str, int], context: int, values: list[
 
 
 def cross_entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bits per character of each text under each language, and letters of each text."""
+    """Bits per character of each text under each language, of the grams in the model's range, and letters of each text."""
     row, gram, letters = grams_of(texts)
+    sizes = np.maximum(np.bincount(row, minlength=len(texts)), 1)
+    if model.low or model.high < 1 << 32:
+        own = pairs(gram)
+        own = (own >= np.uint64(model.low)) & (own < np.uint64(model.high))
+        row, gram = row[own], gram[own]
     known, kinds = pd.factorize(gram)
     logs = model.log_probability(kinds.astype(np.uint64)) if len(kinds) else np.zeros((0, len(model.langs)))
-    sizes = np.maximum(np.bincount(row, minlength=len(texts)), 1)
     return np.column_stack([-np.bincount(row, weights=logs[known, k], minlength=len(texts)) / sizes for k in range(len(model.langs))]), letters
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays: executors need not have this package
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(**sent.value)
-        for batch in slices(batches, "text"):
-            bits, letters = cross_entropies(known, batch.column(batch.schema.get_field_index("text")).to_pylist())
-            best = bits.argmin(axis=1)
-            names = [known.langs[b] if n else None for b, n in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(letters, pa.int64()), pa.array(names, pa.string()), pa.array(best, pa.int32()),
-                 pa.array(bits[np.arange(len(bits)), best]), pa.array(list(bits), pa.list_(pa.float64()))], names=["key", "lang", "part", "letters", "pred", "best", "bits", "all_bits"])
-
-    return rows.mapInArrow(work, f"key {rows.schema['key'].dataType.simpleString()}, lang string, part long, letters long, pred string, best int, bits double, all_bits array<double>")
+def _scored(rows: DataFrame, counts: Counts) -> DataFrame:
+    """``(key, lang, part, letters, pred, best, bits, all_bits)`` of every row."""
+    kind = rows.schema["key"].dataType.simpleString()
+    blocks, found = counts.blocks(), None
+    for number, (low, high) in enumerate(blocks):
+        sent = rows.sparkSession.sparkContext.broadcast(vars(counts.model(low, high)))  # plain arrays: executors need not have this package
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = Model(**sent.value)
+            for batch in slices(batches, "text"):
+                bits, letters = cross_entropies(known, batch.column(batch.schema.get_field_index("text")).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(letters, pa.int64()), pa.array(list(bits), pa.list_(pa.float64()))], names=["key", "lang", "part", "print", "letters", "all_bits"])
+
+        printed = rows.select("key", "lang", "part", F.xxhash64("text").alias("print"), "text")
+        part = printed.mapInArrow(work, f"key {kind}, lang string, part long, print long, letters long, all_bits array<double>").withColumn("block", F.lit(number))
+        if len(blocks) > 1:
+            part = kept(part, "block")
+            sent.unpersist()
+        found = part if found is None else found.unionByName(part)
+    if len(blocks) > 1:  # rows that agree in everything have equal bits: once for each block, as often as they occur
+        names = ["key", "lang", "part", "print", "letters"]
+        once = found.groupBy(*names, "block").agg(F.first("all_bits").alias("all_bits"), F.count("*").alias("copies"))
+        sums = [F.sum(F.col("all_bits")[k]) for k in range(len(counts.langs))]
+        found = once.groupBy(*names).agg(F.array(*sums).alias("all_bits"), F.max("copies").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    best = F.array_position("all_bits", F.array_min("all_bits")).cast("int") - 1
+    named = found.withColumn("best", best).withColumn("bits", F.array_min("all_bits"))
+    pred = F.when(F.col("letters") > 0, F.element_at(F.array(*[F.lit(lang) for lang in counts.langs]), F.col("best") + 1))
+    return named.select("key", "lang", "part", "letters", pred.alias("pred"), "best", "bits", "all_bits")
 
 
 def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", part=None) -> DataFrame:
@@ -220,7 +271,7 @@ def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     part = F.crc32(F.col(key).cast("string")) % 4 if part is None else part
     rows = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), part.alias("part"), F.col(text).cast("string").alias("text"))
-    model = fit(rows.filter("part in (0, 1) and lang is not null and text is not null").select("lang", "text"))
+    model = count(rows.filter("part in (0, 1) and lang is not null and text is not null").select("lang", "text"))
     if not model.langs:
         return rows.select(F.col("key").alias(key), F.coalesce(F.col("part") == 2, F.lit(False)).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(True).alias("rejected"))
     scored = kept(_scored(rows, model), "scores")
@@ -235,7 +286,7 @@ def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         F.coalesce(F.col("pred").isNull() | (F.col("bits") > limit), F.lit(False)).alias("rejected"))
 
 
-def _calibrated(scored: DataFrame, model: Model) -> tuple[float, dict[str, float]]:
+def _calibrated(scored: DataFrame, model: Counts) -> tuple[float, dict[str, float]]:
     """The sharpness of the score, and the highest usual cross-entropy by language and length."""
     known = scored.filter("part = 3 and lang is not null and pred is not null")
     right = F.array_position(F.array(*[F.lit(lang) for lang in model.langs]), F.col("lang"))

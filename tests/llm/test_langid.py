@@ -93,3 +93,25 @@ def test_prediction_ignores_the_label_and_empty_tables(spark):
     assert sorted(map(tuple, langid.predict(docs).collect())) == sorted(map(tuple, langid.predict(other).collect()))
     assert langid.predict(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs.withColumn("lang", docs.lang.substr(9, 1)).selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def test_many_grams_keep_their_own_counts(spark):
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(30000)) for _ in range(20)]
+    model = langid.fit(spark.createDataFrame([("zz", t) for t in texts], "lang string, text string"))
+    learned = {t[k:k + 4] for t in texts for k in range(len(t) - 3)}
+    fresh = [g for g in ("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(4)) for _ in range(5000)) if g not in learned]
+    codes = np.array([sum(ord(c) << (16 * (3 - k)) for k, c in enumerate(g)) for g in fresh], np.uint64)
+    (n,) = langid._lookup(model.grams[3], codes)
+    assert not n.any() and len(model.grams[3][0]) > 590_000
+
+
+def test_blocks_give_the_scores_of_one_model(spark, monkeypatch):
+    rows = corpus(150) + [(7, "the house", "aa"), (7, "the house", "aa"), (None, "мир", None), (8, None, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted([tuple(r) for r in langid.predict(docs).collect()], key=str)
+    monkeypatch.setattr(langid, "CELLS", 400)
+    parts = sorted([tuple(r) for r in langid.predict(docs).collect()], key=str)
+    assert len(whole) == len(parts) == len(rows)
+    for a, b in zip(whole, parts):
+        assert a[:3] == b[:3] and a[5] == b[5] and np.allclose([x or 0.0 for x in a[3:5]], [x or 0.0 for x in b[3:5]])
