@@ -29,10 +29,11 @@ ORDER = 4
 #: Counts (grams x languages) of a block of the model.
 CELLS = 1 << 22
 UNKNOWN = "und"
-#: Share of calibration texts that the limits let pass, and the room above their quantile.
-PASSING = 0.999
+#: Distance of a limit from the median, in upper quartile distances (the 99.9 % point of a normal curve), and the room above.
+TAIL = 4.58
 ROOM = 1.25
-FEWEST = 100
+#: Rows that what a cell borrows counts as.
+BORROWED = 20.0
 BETAS = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 _START = 1
 _MERGE = 1 << 21
@@ -277,8 +278,9 @@ def predict(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     scored = kept(_scored(rows, model), "scores")
     beta, limits = _calibrated(scored, model)
     usual = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<string,double>")
-    named = scored.withColumn("_size", F.concat_ws(":", "pred", F.floor(F.log2(F.greatest("letters", F.lit(1))))))
-    limit = F.coalesce(F.try_element_at(usual, F.col("_size")), F.try_element_at(usual, F.col("pred")))
+    longest = max((int(x.rsplit(":", 1)[1]) for x in limits), default=0)
+    named = scored.withColumn("_size", F.concat_ws(":", "pred", F.least(F.floor(F.log2(F.greatest("letters", F.lit(1)))), F.lit(longest))))
+    limit = F.try_element_at(usual, F.col("_size"))
     score = 1.0 / F.aggregate("all_bits", F.lit(0.0), lambda s, b: s + F.exp(F.lit(-beta) * (b - F.col("bits"))))
     return named.select(
         F.col("key").alias(key), F.coalesce(F.col("part") == 2, F.lit(False)).alias("held_out"), F.coalesce("pred", F.lit(UNKNOWN)).alias("lang_pred"),
@@ -294,14 +296,36 @@ def _calibrated(scored: DataFrame, model: Counts) -> tuple[float, dict[str, floa
     losses = known.agg(*loss).first()
     values = [x if x is not None else np.inf for x in losses]
     beta = BETAS[int(np.argmin(values))] if np.isfinite(values).any() else 1.0
-    by_size = known.groupBy("pred", F.floor(F.log2(F.greatest("letters", F.lit(1)))).alias("size"))
-    table = by_size.agg(F.count("*").alias("n"), F.percentile_approx("bits", PASSING, 10000).alias("high"), F.max("bits").alias("top")).collect()  # languages x lengths
-    limits: dict[str, float] = {}
-    for r in table:
-        limits[r.pred] = max(limits.get(r.pred, 0.0), r.top * ROOM)
-        if r.n >= FEWEST:
-            limits[f"{r.pred}:{r.size}"] = r.high * ROOM
-    return beta, limits
+    by_size = known.groupBy("pred", F.floor(F.log2(F.greatest("letters", F.lit(1)))).cast("int").alias("size"))
+    table = by_size.agg(F.count("*").alias("n"), F.percentile_approx("bits", [0.5, 0.75], 10000).alias("q")).collect()  # languages x lengths
+    return beta, _limits([(r.pred, r.size, r.n, r.q[0], r.q[1] - r.q[0]) for r in table], model.langs)
+
+
+def _limits(cells: list[tuple], langs: list[str]) -> dict[str, float]:
+    """The limit of every language and length from ``(language, length, rows, median, upper quartile distance)``.
+
+    A curve over all languages goes from the longest texts down, each length shrunk towards the next
+    longer one and never towards a shorter one. A language's own cells are shrunk towards the curve
+    times its level, so sparse cells and languages without rows have limits by the same rule.
+    """
+    if not cells:
+        return {}
+    curve: dict[int, np.ndarray] = {}
+    longest = max(c[1] for c in cells)
+    for size in range(longest, -1, -1):
+        own = np.array([(n, n * mid, n * wide) for _, at, n, mid, wide in cells if at == size]).reshape(-1, 3).sum(axis=0)
+        above = BORROWED if size < longest else 0.0
+        curve[size] = (own[1:] + above * curve.get(size + 1, np.zeros(2))) / (own[0] + above)
+    limits = {}
+    for lang in langs:
+        mine = {at: (n, np.array([mid, wide])) for own, at, n, mid, wide in cells if own == lang}
+        rows, total = BORROWED, BORROWED
+        for size in curve:  # from the longest down
+            n, q = mine.get(size, (0, np.zeros(2)))
+            rows, total = rows + n, total + n * q[0] / max(curve[size][0], 1e-9)
+            mid, wide = (n * q + BORROWED * total / rows * curve[size]) / (n + BORROWED)
+            limits[f"{lang}:{size}"] = float(ROOM * (mid + TAIL * wide))
+    return limits
 
 
 def _loss(right, beta: float):

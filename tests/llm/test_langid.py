@@ -115,3 +115,23 @@ def test_blocks_give_the_scores_of_one_model(spark, monkeypatch):
     assert len(whole) == len(parts) == len(rows)
     for a, b in zip(whole, parts):
         assert a[:3] == b[:3] and a[5] == b[5] and np.allclose([x or 0.0 for x in a[3:5]], [x or 0.0 for x in b[3:5]])
+
+
+def test_long_texts_of_an_unlearned_language_are_rejected_on_a_sparse_table(spark):
+    rng = random.Random(4)
+    rows = corpus(300) + [(1000 + k, rng.choice(["z", "q", "zq", "xk"]), "aa") for k in range(60)]  # letters and junk among the calibration texts
+    long = [(2000 + k, " ".join("".join(rng.choices("qzxkvjwy", k=rng.randint(3, 9))) for _ in range(600)), None) for k in range(5)]
+    own = [(3000 + k, " ".join(rng.choices(WORDS[lang], k=600)), None) for k, lang in enumerate(WORDS)]
+    out = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows + long + own, "doc_id long, text string, lang string")).collect()}
+    assert all(out[k].rejected for k, _, _ in long)
+    assert not any(out[k].rejected for k, _, _ in own)
+    assert not any(out[k].rejected for k in range(300))
+
+
+def test_limits_follow_one_rule_and_never_borrow_from_shorter_texts():
+    long = [("aa", 8, 40, 2.0, 0.1), ("bb", 8, 300, 2.2, 0.1)]
+    with_short = langid._limits(long + [("aa", 0, 500, 9.0, 2.0)], ["aa", "bb", "cc"])
+    assert all(with_short[cell] == langid._limits(long, ["aa", "bb"])[cell] for cell in ("aa:8", "bb:8"))
+    assert with_short["cc:8"] < 4 < with_short["aa:0"]
+    few, more = (langid._limits([("aa", 8, n, 2.0, 0.1), ("bb", 8, 300, 2.2, 0.1)], ["aa"])["aa:8"] for n in (99, 100))
+    assert abs(few - more) < 0.01
