@@ -119,8 +119,9 @@ def test_blocks_give_the_scores_of_one_model(spark, monkeypatch):
 
 def test_long_texts_of_an_unlearned_language_are_rejected_on_a_sparse_table(spark):
     rng = random.Random(4)
-    rows = corpus(300) + [(1000 + k, rng.choice(["z", "q", "zq", "xk"]), "aa") for k in range(60)]  # letters and junk among the calibration texts
-    long = [(2000 + k, " ".join("".join(rng.choices("qzxkvjwy", k=rng.randint(3, 9))) for _ in range(600)), None) for k in range(5)]
+    junk = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 4 == 3][:3]  # calibration rows
+    rows = corpus(300) + [(k, "the with ᚠᚢᚦᚱᚲᚠᚦᚢᚱᚲᚲᚱ", "aa") for k in junk]
+    long = [(2000 + k, " ".join("".join(rng.choices("theandwrsogi", k=rng.randint(3, 9))) for _ in range(600)), None) for k in range(5)]
     own = [(3000 + k, " ".join(rng.choices(WORDS[lang], k=600)), None) for k, lang in enumerate(WORDS)]
     out = {r.doc_id: r for r in langid.predict(spark.createDataFrame(rows + long + own, "doc_id long, text string, lang string")).collect()}
     assert all(out[k].rejected for k, _, _ in long)
