@@ -118,7 +118,7 @@ def balanced(docs: DataFrame, key: str = "doc_id", text: str = "text", linked_by
         if moved is None:
             break
         units = moved
-    buckets = max(1, n_rows // (BUCKET * shards))
+    buckets = max(4 * shards, n_rows // BUCKET)
     home = units.select(*_GROUP, "part", "total", F.col("shard").alias("home"))
     placed = rows.join(home, [*_GROUP, "part"], "left").select(
         "key", "size", "crc", "row", F.coalesce("total", F.lit(1)).alias("total"), F.coalesce("home", F.lit(shards)).alias("home"), F.pmod(F.xxhash64("row", F.lit(7)), F.lit(buckets)).cast("int").alias("bucket"))

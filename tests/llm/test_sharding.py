@@ -73,11 +73,11 @@ def test_empty_table(spark):
 
 
 def test_other_links_and_cut(spark):
-    rows = [(k, f"t{k}", k % 40, "x" if k % 3 else None, 2) for k in range(400)]
+    rows = [(k, f"t{k}", k % 300, "x" if k % 3 else None, 2) for k in range(3000)]
     frame = spark.createDataFrame(rows, SCHEMA)
     out = sharding.balanced(frame, linked_by=["part"]).join(frame.select("doc_id", "part"), "doc_id")
     links = sharding.cut_links(out, ["part"]).first()
-    assert links.n_links == 360 and links.n_cut <= 60
+    assert links.n_links == 2700 and links.n_cut <= 900  # by hash alone about 2,000
     assert sharding.balanced(frame, linked_by=["part", "home"]).filter("group_size = 1").count() == frame.filter("home is null").count()
 
 
