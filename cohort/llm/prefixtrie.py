@@ -111,7 +111,8 @@ class DoubleArray:
         self.check[0], self.end = -2, 1
         state, length = np.zeros(len(edges) - 1, np.int64), np.diff(edges)
         active, level = np.flatnonzero(length > 0), 0
-        holes, at = np.zeros(0, np.int64), 0
+        self.holes = holes = np.zeros(0, np.int64)
+        self.seen, at = 1, 0
         while len(active):
             parent, child = state[active], ids[edges[active] + level]
             new = np.r_[True, (parent[1:] != parent[:-1]) | (child[1:] != child[:-1])]
@@ -122,10 +123,11 @@ class DoubleArray:
             crowded = np.flatnonzero(count > 1)
             for k in crowded:
                 own = c[begin[k]: begin[k] + count[k]]
-                slot[begin[k]: begin[k] + count[k]] = self._fit(own, holes[at: at + 8])
+                slot[begin[k]: begin[k] + count[k]] = self._fit(own)
                 self._take(slot[begin[k]: begin[k] + count[k]], p[begin[k]], own[0])
             if len(crowded):
                 holes, at = np.flatnonzero(self.check[: self.end] == -1), 0
+                self.holes, self.seen = holes, self.end
             single = begin[count == 1]
             inner = min(len(single), len(holes) - at)
             free = np.r_[holes[at: at + inner], np.arange(self.end, self.end + len(single) - inner)]
@@ -137,14 +139,20 @@ class DoubleArray:
             level += 1
             active = active[length[active] > level]
 
-    def _fit(self, children: np.ndarray, holes: np.ndarray) -> np.ndarray:
-        """Free slots for all children of a state: from one of the given holes on, or beyond all that is taken."""
-        for hole in holes:
-            wanted = hole + children - children[0]
-            low = wanted[wanted < self.end]
-            if (self.check[low] == -1).all():
-                return wanted
-        return self.end + children - children[0]
+    def _fit(self, children: np.ndarray) -> np.ndarray:
+        """Free slots for all children of a state: among the first holes or some spread over all of them, else beyond all that is taken."""
+        wide = children - children.min()
+        for fresh in (False, True):
+            if fresh:
+                if self.end < self.seen + 4096:
+                    break
+                self.holes, self.seen = np.flatnonzero(self.check[: self.end] == -1), self.end
+            n = len(self.holes)
+            for k in dict.fromkeys([*range(min(4, n)), *(np.arange(12) * n // 12).tolist()] if n else []):
+                wanted = self.holes[k] + wide
+                if (self.check[wanted[wanted < self.end]] == -1).all():
+                    return wanted
+        return self.end + wide
 
     def _take(self, slots: np.ndarray, parent, child) -> None:
         if not len(slots):
@@ -180,6 +188,14 @@ def _shard(tokens: np.ndarray, edges: np.ndarray, first: np.ndarray, adds: dict[
     fresh = np.r_[True, (lanes[0][1:] != lanes[0][:-1]) | (lanes[1][1:] != lanes[1][:-1])] if len(order) else np.zeros(0, bool)
     ids = np.empty(len(order), np.int64)
     ids[order] = np.cumsum(fresh) - 1
+    length = np.diff(edges)
+    inner = np.arange(len(ids)) - np.repeat(edges[:-1], length)
+    seen = np.full(int(fresh.sum()), len(ids))
+    np.minimum.at(seen, ids[np.argsort(inner, kind="stable")], np.arange(len(ids)))
+    by_seen = np.argsort(seen)  # ids go by first appearance, level by level, so children of a state lie close together
+    rank = np.empty(len(seen), np.int64)
+    rank[by_seen] = np.arange(len(seen))
+    ids = rank[ids]
     trie = DoubleArray(ids, edges)
     states = trie.walk(ids, edges)
 
@@ -191,7 +207,7 @@ def _shard(tokens: np.ndarray, edges: np.ndarray, first: np.ndarray, adds: dict[
     turn = trie.base[trie.check[used[1:]]]
     size = np.zeros(len(used), np.int64)
     size[node] = tokens["size"]
-    low, high = np.r_[lanes[0][fresh], np.uint64(0)], np.r_[lanes[1][fresh], np.uint64(0)]
+    low, high = (np.r_[lane[fresh][by_seen], np.uint64(0)] for lane in lanes)
     turn = np.r_[-1, used[1:] - turn]  # dense id of the last turn
 
     boundary = np.zeros(len(used), bool)
@@ -199,7 +215,6 @@ def _shard(tokens: np.ndarray, edges: np.ndarray, first: np.ndarray, adds: dict[
         boundary[0] = True
         for k in (0, len(edges) - 2):
             boundary[node[edges[k]: edges[k + 1]]] = True
-    length = np.diff(edges)
     reach = length - first + 1  # entries of the add arrays of each sequence
     inner = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
     at = np.repeat(first, reach) + inner
