@@ -18,7 +18,6 @@ document the longer way.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import os
 from collections.abc import Iterator
 
@@ -35,7 +34,9 @@ from cohort.llm.text import bitmap, kept, marked, process_cache, read_table, sli
 CHUNK_BITS = 10
 LEAST_CHUNK = 64
 BITMAP_BITS = 26
-REMEMBERED = 200_000
+#: Bytes of words and ids that a worker remembers, in each of two generations.
+REMEMBERED = 1 << 24
+_OVERHEAD = 200
 _WINDOW = 8
 _SPACE = " \t\n\r"
 _STOPS = ".,;:!?"
@@ -58,8 +59,10 @@ class Coder:
         self.plain = self.inner.decoder is None
         self.number = [str(k).encode() for k in range(size)]
         self.name = [n.encode("utf-8") for n in names]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.type = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _shortcut(self, word: str) -> tuple[str, str]:
         """The word as the tokenizer folds it, without stops that it cuts off in any case."""
@@ -73,9 +76,10 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """See to it that the ids of all these words are known; words of late are kept, older ones go."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED:
+            self.known, self.older, self.held = {}, self.known, 0
         known, older = self.known, self.older
+        before = len(known)
         new = words.difference(known)
         for word in new:
             if word in older:
@@ -87,15 +91,16 @@ class Coder:
                 known[part] = older[part]
         ask = list(parts.difference(older))
         for part, found in zip(ask, self.inner.encode_batch_fast(ask, add_special_tokens=False)):
-            known[part] = tuple(found.ids)
+            known[part] = np.array(found.ids, self.type).tobytes()
         for word, core, stops in cut:
-            known[word] = known[core] + known[stops]
+            known[word] = known[core] + known[stops] if stops else known[core]
+        self.held += _OVERHEAD * (len(known) - before) + sum(len(w) for w in new)
 
     def ids_of(self, text: str, learned: bool = False) -> list[int]:
         words = split(text)
         if not learned:
             self.learn(set(words))
-        return list(itertools.chain.from_iterable(map(self.known.__getitem__, words)))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.type).tolist()
 
     def decoded(self, ids: list[int]) -> bytes:
         """What the tokenizer's own decode gives for the whole sequence."""

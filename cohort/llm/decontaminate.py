@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm.text import Words, byte_table, chain, read_table, slices, utf8
+from cohort.llm.text import Words, byte_table, chain, read_table, slices, spare, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -222,10 +222,11 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     A document is judged by its own text: rows of one key with different texts are judged apart.
     """
-    judged = docs.withColumn("_print", F.xxhash64(F.col(text)))
-    pair = judged.select(F.struct(F.col(key).alias("id"), F.col("_print").alias("print")).alias("_key"), F.col(text).alias("_text"))
-    bad = find_matches(pair, items, "_key", "_text").filter(F.size("hits") > 0).select(F.col("_key.id").alias("_bad"), F.col("_key.print").alias("_of")).distinct()
-    return judged.join(bad, judged[key].eqNullSafe(F.col("_bad")) & (F.col("_print") == F.col("_of")), "left_anti").drop("_print")
+    mark, bad_key, bad_mark = spare(docs, "_print", "_bad", "_of")
+    judged = docs.withColumn(mark, F.xxhash64(F.col(text)))
+    pair = judged.select(F.struct(F.col(key).alias("id"), F.col(mark).alias("print")).alias("_key"), F.col(text).alias("_text"))
+    bad = find_matches(pair, items, "_key", "_text").filter(F.size("hits") > 0).select(F.col("_key.id").alias(bad_key), F.col("_key.print").alias(bad_mark)).distinct()
+    return judged.join(bad, F.col(key).eqNullSafe(F.col(bad_key)) & (F.col(mark) == F.col(bad_mark)), "left_anti").drop(mark)
 
 
 def op7_decontaminate_suffix_arrays(spark, sf_dir: str) -> DataFrame:

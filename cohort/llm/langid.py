@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm.text import kept, process_cache, read_table, slices
+from cohort.llm.text import kept, process_cache, read_table, slices, spare
 
 ORDER = 4
 #: Counts (grams x languages) of a block of the model.
@@ -336,10 +336,11 @@ def _loss(right, beta: float):
 
 def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rows that are rejected; a row is judged by its own text."""
-    judged = docs.withColumn("_print", F.xxhash64(F.col(text)))
-    rows = judged.select(F.struct(F.col(key).alias("id"), F.col("_print").alias("print")).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), (F.crc32(F.col(key).cast("string")) % 4).alias("_part"))
-    bad = predict(rows, "_key", "_text", "_lang", F.col("_part")).filter("rejected").select(F.col("_key.id").alias("_bad"), F.col("_key.print").alias("_of")).distinct()
-    return judged.join(bad, judged[key].eqNullSafe(F.col("_bad")) & (F.col("_print") == F.col("_of")), "left_anti").drop("_print")
+    mark, bad_key, bad_mark = spare(docs, "_print", "_bad", "_of")
+    judged = docs.withColumn(mark, F.xxhash64(F.col(text)))
+    rows = judged.select(F.struct(F.col(key).alias("id"), F.col(mark).alias("print")).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), (F.crc32(F.col(key).cast("string")) % 4).alias("_part"))
+    bad = predict(rows, "_key", "_text", "_lang", F.col("_part")).filter("rejected").select(F.col("_key.id").alias(bad_key), F.col("_key.print").alias(bad_mark)).distinct()
+    return judged.join(bad, F.col(key).eqNullSafe(F.col(bad_key)) & (F.col(mark) == F.col(bad_mark)), "left_anti").drop(mark)
 
 
 def op6_langid_kneser_ney(spark, sf_dir: str) -> DataFrame:

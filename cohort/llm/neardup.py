@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohort.llm.text import Words, bitmap, byte_table, chain, kept, marked, mix, read_table, slices, slot_of, utf8
+from cohort.llm.text import Words, bitmap, byte_table, chain, kept, marked, mix, read_table, slices, slot_of, spare, utf8
 from cohort.operators.cluster import connected_components
 
 COORDINATES = 128
@@ -295,8 +295,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group, the one of the smallest key; rows without a key stay."""
-    dropped = groups(docs, key, text, shingle, percent).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(key) == F.col("_dropped"), "left_anti")
+    [gone] = spare(docs, "_dropped")
+    dropped = groups(docs.select(F.col(key).alias("id"), F.col(text).alias("body")), "id", "body", shingle, percent).filter("id <> component_id").select(F.col("id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(key) == F.col(gone), "left_anti")
 
 
 def op4_minhash_fast_similarity(spark, sf_dir: str) -> DataFrame:

@@ -51,6 +51,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def byte_table(separators: str | None = None, words: str | None = None, fold: bool = True) -> np.ndarray:
     """256 entries: 0 for a separator byte, else the byte itself (A-Z folded to a-z).
 
@@ -107,6 +118,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 _powers = process_cache("powers")
