@@ -4,8 +4,8 @@ Texts fall into sentences; from every sentence on, and up to every sentence, the
 at least two sentences and twenty words is hashed. Runs that occur more than once keep their first occurrence, by
 key and place, and the sentences of every other occurrence are removed.
 
-A first pass only counts hashes. The repeated ones reach a second pass as a bitmap of fixed
-size, and only occurrences of these travel with their place and a 128-bit name.
+A first pass only counts hashes. The repeated ones reach a second pass as a bitmap sized by their
+number, and only occurrences of these travel with their place and a 128-bit name.
 
 Very long sentences are cut after words chosen by their hash. Passages that begin and end inside
 sentences are found by windows of twenty words, whatever the sentences: of every sixteen windows in
@@ -29,7 +29,8 @@ WORDS = 20
 LONG = 24
 #: Windows in a row of which one is named; a power of two.
 WINNOW = 16
-BITMAP_BITS = 26
+#: Bits of the bitmap: eight slots a repeated hash, between these; the largest is 64 MB.
+BITMAP_BITS = (20, 29)
 _TABLE = byte_table(words="0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -152,9 +153,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
             _, more, _ = windows(Words(raw, offsets, _TABLE), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[name, more].view(np.int64))], names=["name"])
 
-    counted = pair.select("text").mapInArrow(names, "name long").groupBy("name").count().filter("count > 1")
-    slots = counted.select(F.shiftrightunsigned("name", 64 - BITMAP_BITS).alias("slot"))
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(slots, "slot", BITMAP_BITS))
+    counted = kept(pair.select("text").mapInArrow(names, "name long").groupBy("name").count().filter("count > 1").select("name"), "names")
+    bits = min(max(BITMAP_BITS[0], (8 * counted.count()).bit_length()), BITMAP_BITS[1])
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(counted.select(F.shiftrightunsigned("name", 64 - bits).alias("slot")), "slot", bits))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -164,7 +165,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
             word, *names = windows(apart, words)
             row, place = np.r_[found.row[first], apart.row[word]], np.r_[found.place[first], -1 - (word - np.searchsorted(apart.row, apart.row[word], side="left"))]
             count, name, more = np.r_[count, np.zeros(len(word), np.int64)], np.r_[name, names[0]], np.r_[more, names[1]]
-            use = marked(wanted.value, (name >> np.uint64(64 - BITMAP_BITS)).astype(np.int64))
+            use = marked(wanted.value, (name >> np.uint64(64 - bits)).astype(np.int64))
             row, place, count, name, more = row[use], place[use], count[use], name[use], more[use]
             rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -174,7 +175,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     kind = pair.schema["key"].dataType.simpleString()
     spots = kept(pair.mapInArrow(places, f"key {kind}, print long, name long, more long, place int, count int"), "spots")
     spot = F.struct("key", "print", F.abs("place").alias("place"))  # words are numbered -1, -2, ... from the first
-    firsts = kept(spots.groupBy("name", "more").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).filter("low < high").select("name", "more", "low"), "firsts")
+    firsts = spots.groupBy("name", "more").agg(F.min(spot).alias("low"))
     others = spots.join(firsts, ["name", "more"]).filter(spot != F.col("low"))
     parts = F.when(F.col("count") > 0, F.sequence("place", F.col("place") + F.greatest(F.col("count"), F.lit(1)) - 1)).otherwise(F.array("place"))
     all_ = others.select("key", "print", F.explode(parts).alias("place")).groupBy("key", "print").agg(F.collect_set("place").alias("all"))

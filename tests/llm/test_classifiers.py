@@ -36,7 +36,7 @@ def test_chain_on_held_out_rows(spark):
     frame, marks = frames(spark, docs, labels)
     marks = marks.select("doc_id", (1 - F.col("quality")).alias("low"), "toxic")
     chain = toxicity.fit(frame, marks.filter("doc_id < 400"), ["low", "toxic"])
-    assert len(chain.models) == 2 and chain.models[1].numFeatures == chain.models[0].numFeatures + 1
+    assert len(chain.models) == 2 and len(chain.models[1]) == len(chain.models[0]) + 1
     out = {r.doc_id: r for r in toxicity.score(frame, chain, ["low", "toxic"]).collect()}
     truth = {k: t for k, _, t in labels}
     held = [k for k in truth if k >= 400]
