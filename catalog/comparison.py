@@ -88,6 +88,28 @@ def _(spark, sf):
     return rounded(compare.bootstrap_ci(fixtures.scored(spark, sf)))
 
 
+_PLACED = """SELECT *, (sum((y_true=0)::INT) OVER (PARTITION BY model ORDER BY y_score) - sum((y_true=0)::INT) OVER (PARTITION BY model, y_score)/2.0)/sum((y_true=0)::INT) OVER (PARTITION BY model) AS below,
+   (sum(y_true) OVER (PARTITION BY model) - sum(y_true) OVER (PARTITION BY model ORDER BY y_score) + sum(y_true) OVER (PARTITION BY model, y_score)/2.0)/sum(y_true) OVER (PARTITION BY model) AS above FROM models"""
+
+
+@query("auc_variance", f"""WITH {MODELS}, p AS ({_PLACED}), s AS (SELECT sum(y_true)::BIGINT AS n_pos, sum(1-y_true)::BIGINT AS n_neg, avg(below) FILTER (y_true=1) AS auc,
+   var_samp(below) FILTER (y_true=1)/sum(y_true) + var_samp(above) FILTER (y_true=0)/sum(1-y_true) AS variance FROM p WHERE model='first')
+   SELECT n_pos, n_neg, auc, variance*1e6 AS variance_ppm, sqrt(variance) AS se, greatest(auc-1.959963984540054*sqrt(variance), 0.0) AS ci_lower, least(auc+1.959963984540054*sqrt(variance), 1.0) AS ci_upper FROM s""",
+   "auc variance_ppm se ci_lower ci_upper")
+def _(spark, sf):
+    out = compare.auc_variance(fixtures.scored(spark, sf))
+    return rounded(out.withColumn("variance_ppm", F.col("variance") * 1e6).drop("variance"))
+
+
+@query("auc_difference", f"""WITH {MODELS}, p AS ({_PLACED}), w AS (SELECT a.y_true, a.below AS b1, b.below AS b2, a.above AS a1, b.above AS a2 FROM p a JOIN p b USING (row_id) WHERE a.model='first' AND b.model='second')
+   SELECT 'first' AS model1, 'second' AS model2, avg(b1) FILTER (y_true=1) AS auc1, avg(b2) FILTER (y_true=1) AS auc2, avg(b1-b2) FILTER (y_true=1) AS auc_diff,
+     (var_samp(b1-b2) FILTER (y_true=1)/sum(y_true) + var_samp(a1-a2) FILTER (y_true=0)/sum(1-y_true))*1e6 AS variance_ppm,
+     avg(b1-b2) FILTER (y_true=1)/sqrt(var_samp(b1-b2) FILTER (y_true=1)/sum(y_true) + var_samp(a1-a2) FILTER (y_true=0)/sum(1-y_true)) AS z FROM w""", "auc1 auc2 auc_diff variance_ppm z")
+def _(spark, sf):
+    out = compare.auc_difference_test(fixtures.scored_models(spark, sf), "first", "second")
+    return rounded(out.withColumn("variance_ppm", F.col("variance") * 1e6).drop("variance", "p"))
+
+
 _SWEEP = """sweep AS (SELECT model, t/100.0::DOUBLE AS threshold, 2.0*count(*) FILTER (y_true=1 AND round(y_score*100)>=t)/(sum(y_true)+count(*) FILTER (round(y_score*100)>=t)) AS f1 FROM models, range(10,90) g(t) GROUP BY model, t)"""
 
 

@@ -14,8 +14,8 @@ S = f"WITH {SURVEY}"
 SAFE = ROLES.for_profile("safe")
 FULL = ROLES.for_profile("full")
 # feature groups of the survey fixture
-GROUPS = [("City", ["city_"], []), ("Gender", ["gender_"], []), ("Priority", ["priority_"], []), ("Family", ["family_history"], []),
-          ("Sensitive", ["sensitive"], []), ("Numeric", ["age", "balance", "price", "pressure"], [])]
+GROUPS = [("City", {"starts": ["city_"]}), ("Gender", {"starts": ["gender_"]}), ("Priority", {"starts": ["priority_"]}), ("Family", {"starts": ["family_history"]}),
+          ("Sensitive", {"starts": ["sensitive"]}), ("Numeric", {"starts": ["age", "balance", "price", "pressure"]})]
 
 
 def _survey(spark, sf):

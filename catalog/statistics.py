@@ -57,6 +57,26 @@ def _(spark, sf):
     return rounded(stats.anova_two_way(_lines(spark, sf), "l_extendedprice", "l_returnflag", "l_linestatus"), 4)
 
 
+# Three levels of status leave a 2 x 2 system; with even degrees of freedom p is a finite sum.
+_TAIL = "list_sum(list_transform(range(0, (df/2)::BIGINT), lambda k: exp(dw/2*ln(dw/(dw+df*f)) + lgamma(dw/2+k) - lgamma(dw/2) - lgamma(k+1.0) + k*ln(1-dw/(dw+df*f)))))"
+
+
+@query("anova_two_way_orders", f"""WITH y AS (SELECT o_orderpriority AS a, o_orderstatus AS b, (o_totalprice - avg(o_totalprice) OVER ())/1000 AS y FROM orders),
+   c AS MATERIALIZED (SELECT a, b, count(*)::DOUBLE AS n, avg(y) AS y, coalesce(var_samp(y), 0) AS v FROM y GROUP BY 1, 2),
+   d AS (SELECT *, (b='O')::INT AS u, (b='P')::INT AS w FROM c), e AS (SELECT *, sum(n) OVER g AS na, sum(n*y) OVER g/sum(n) OVER g AS ya, sum(n*u) OVER g/sum(n) OVER g AS ua, sum(n*w) OVER g/sum(n) OVER g AS wa FROM d WINDOW g AS (PARTITION BY a)),
+   s AS (SELECT sum(n*(u-ua)*(u-ua)) AS uu, sum(n*(u-ua)*(w-wa)) AS uw, sum(n*(w-wa)*(w-wa)) AS ww, sum(n*(u-ua)*(y-ya)) AS uy, sum(n*(w-wa)*(y-ya)) AS wy, sum(n*(y-ya)*(y-ya)) AS ra FROM e),
+   r AS (SELECT ra, ra - (uy*(ww*uy-uw*wy) + wy*(uu*wy-uw*uy))/(uu*ww-uw*uw) AS both_ FROM s),
+   b AS (SELECT sum(n*pow(y-yb,2)) AS rb FROM (SELECT *, sum(n*y) OVER (PARTITION BY b)/sum(n) OVER (PARTITION BY b) AS yb FROM c)),
+   k AS (SELECT count(DISTINCT a)::DOUBLE AS ka, count(DISTINCT b)::DOUBLE AS kb, count(*)::DOUBLE AS cells, sum(n) - count(*) AS dw, sum((n-1)*v) AS sw FROM c),
+   t AS (SELECT 'o_orderpriority' AS source, rb - both_ AS ss, ka - 1 AS df, dw, sw FROM r, b, k UNION ALL SELECT 'o_orderstatus', ra - both_, kb - 1, dw, sw FROM r, k
+     UNION ALL SELECT 'o_orderpriority * o_orderstatus', both_, cells - ka - kb + 1, dw, sw FROM r, k),
+   f AS (SELECT *, ss/df AS ms, (ss/df)/(sw/dw) AS f FROM t)
+   SELECT source, ss, df, ms, f, {_TAIL} AS p, ss/(ss+sw) AS partial_eta_squared FROM f UNION ALL SELECT 'Residual', sw, dw, sw/dw, NULL, NULL, NULL FROM k""", "ss df ms f p partial_eta_squared", 4)
+def _(spark, sf):
+    orders = fixtures.table(spark, sf, "orders").withColumn("thousands", F.col("o_totalprice") / 1000)
+    return rounded(stats.anova_two_way(orders, "thousands", "o_orderpriority", "o_orderstatus"), 4)
+
+
 @query("tukey_hsd")
 def _(spark, sf):
     return rounded(stats.tukey_hsd(fixtures.table(spark, sf, "events"), "value", "event_type"), 4)

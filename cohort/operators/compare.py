@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohort.functions import distributions as D
 from cohort.functions.columns import column, count_if, ratio
 from cohort.operators.evaluate import binary_metrics
+from cohort.operators.rank import bucket_sql, range_bounds, running_totals
 from cohort.operators.thresholds import optimal_threshold
 
 
@@ -66,55 +67,173 @@ def mcnemar(predictions: DataFrame, models: Sequence[str] | None = None) -> Data
 
 # ---------------------------------------------------------------- bootstrap
 
+#: Cells whose weights are drawn at once, times replicates.
+DRAWS = 1 << 22
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result depends on all bits of ``x``."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _poisson(keys: np.ndarray, n: np.ndarray, n_boot: int) -> np.ndarray:
+    """Poisson(n) weights, a row per key and a column per replicate; functions of key and replicate alone."""
+    with np.errstate(over="ignore"):
+        bits = _hashed(keys[:, None] + _GOLD * np.arange(1, n_boot + 1, dtype=np.uint64)[None, :])
+    uniform = (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    out = np.empty(uniform.shape, np.int64)
+    for size in np.unique(n):
+        rows = n == size
+        reach = int(size + 12 * np.sqrt(size) + 30)
+        steps = np.arange(1, reach + 1)
+        below = max(0, int(size - 12 * np.sqrt(size) - 30))
+        logs = np.r_[0.0, np.cumsum(np.log(size) - np.log(steps))] - size
+        out[rows] = below + np.searchsorted(np.cumsum(np.exp(logs[below:])), uniform[rows], side="right")
+    return out
+
+
+#: What a score range hands on, a row of replicates each: sums, and both classes at its first and at its last score.
+_SUMS = ("P", "N", "tp", "fp", "wins", "first_pos", "first_neg", "last_pos", "last_neg")
+
+
+def _merged(parts: list[tuple[float, float, np.ndarray]]) -> np.ndarray:
+    """Sums of neighbouring score ranges ``(first score, last score, sums)`` in ascending order."""
+    _, high, total = parts[0][0], parts[0][1], parts[0][2].copy()
+    for low, top, part in parts[1:]:
+        total[4] += part[4] + part[0] * total[1]  # positives here beat all negatives below
+        if low == high:  # a score that the cut goes through: ties count half, both ways
+            total[4] += total[7] * part[6] / 2 - part[5] * total[8] / 2
+        total[:4] += part[:4]
+        total[7:] = part[7:] + (total[7:] if low == top == high else 0)
+        high = top
+    return total
+
+
+def _walked(score: np.ndarray, y: np.ndarray, pred: np.ndarray, weights: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Sums of cells in ascending order of their scores."""
+    pos, neg = weights * (y == 1)[:, None], weights * (y == 0)[:, None]
+    first = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    pos_at, neg_at = np.add.reduceat(pos, first), np.add.reduceat(neg, first)
+    below = np.cumsum(neg_at, axis=0) - neg_at
+    chosen = (pred == 1)[:, None]
+    return float(score[0]), float(score[-1]), np.array([
+        pos_at.sum(axis=0), neg_at.sum(axis=0), (pos * chosen).sum(axis=0), (neg * chosen).sum(axis=0), (pos_at * (below + neg_at / 2)).sum(axis=0), pos_at[0], neg_at[0], pos_at[-1], neg_at[-1]])
+
+
 def _replicates(cells: DataFrame, n_models: int, n_boot: int, seed: int) -> DataFrame:
-    """Bootstrap weights summed to ``(model, rep, score, pred, pos, neg)``.
+    """``(model, rep, P, N, tp, fp, wins)`` of every bootstrap replicate.
 
-    A cell of ``n`` equal rows draws a Poisson(n) weight per replicate from a generator
-    keyed by the cell's content, so the draw does not depend on partitioning or retries.
-    Each batch adds its cells up before anything is shuffled.
+    A cell of ``n`` equal rows draws a Poisson(n) weight per replicate from a hash of the cell's content,
+    so the draw does not depend on partitioning or retries, and is the same for all models. Cells are sorted by
+    score across the cluster; a task walks its range and hands on one row of sums per model, whatever the
+    number of cells. Ranges are joined in order: the sums of two neighbours give those of both.
     """
-    import hashlib
+    key = F.xxhash64(F.lit(seed), "y_true", "scores", "preds")
+    found = None
 
-    def draw(batches):
+    def walk(batches):
+        held, model, place = None, 0, 0
         for frame in batches:
-            sums: dict[tuple, np.ndarray] = {}
-            for y, scores, preds, n in zip(frame["y_true"], frame["scores"], frame["preds"], frame["n"]):
-                text = f"{seed}|{y}|{list(scores)}|{list(preds)}".encode()
-                key = int.from_bytes(hashlib.md5(text).digest(), "big")
-                weights = np.random.Generator(np.random.Philox(key=key)).poisson(n, n_boot)
-                for m in range(n_models):
-                    slot = sums.setdefault((m, float(scores[m]), int(preds[m])), np.zeros((2, n_boot), np.int64))
-                    slot[int(y)] += weights
-            for (m, score, pred), weights in sums.items():
-                yield pd.DataFrame({
-                    "model": np.int32(m), "rep": np.arange(n_boot, dtype=np.int32), "score": np.float64(score),
-                    "pred": np.int32(pred), "pos": weights[1], "neg": weights[0],
-                })
-
-    drawn = cells.mapInPandas(draw, "model int, rep int, score double, pred int, pos long, neg long")
-    return drawn.groupBy("model", "rep", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-        F.sum(F.when(F.col("pred") == 1, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("pred") == 1, F.col("neg")).otherwise(0)).alias("fp"),
-    )
-
-
-def _replicate_metrics(weights: DataFrame) -> DataFrame:
+            if not len(frame):
+                continue
+            model, place = int(frame["model"].iloc[0]), int(frame["part"].iloc[0])
+            n, keys = frame["n"].to_numpy(np.int64), frame["key"].to_numpy(np.int64).view(np.uint64)
+            y, pred, score = frame["y_true"].to_numpy(), frame["pred"].to_numpy(), frame["score"].to_numpy(float)
+            step = max(1, DRAWS // n_boot)
+            for a in range(0, len(frame), step):
+                cut = slice(a, a + step)
+                more = _walked(score[cut], y[cut], pred[cut], _poisson(keys[cut], n[cut], n_boot).astype(np.float64))
+                held = more if held is None else (held[0], more[1], _merged([held, more]))
+        if held is not None:
+            yield pd.DataFrame({"model": np.int32([model]), "part": np.int32([place]), "low": [held[0]], "high": [held[1]], "sums": [held[2].tobytes()]})
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("part")
+        total = _merged([(low, high, np.frombuffer(x).reshape(len(_SUMS), n_boot)) for low, high, x in zip(frame["low"], frame["high"], frame["sums"])])
+        return pd.DataFrame({"model": frame["model"].iloc[0], "rep": np.arange(n_boot, dtype=np.int32), **dict(zip(_SUMS[:5], total))})
+
+    for m in range(n_models):
+        own = cells.select(F.lit(m).alias("model"), F.col("scores")[m].alias("score"), F.col("preds")[m].alias("pred"), "y_true", "n", key.alias("key"))
+        ranged = own.repartitionByRange("score", "key").sortWithinPartitions("score", "key").withColumn("part", F.spark_partition_id())
+        sums = ranged.mapInPandas(walk, "model int, part int, low double, high double, sums binary")
+        found = sums if found is None else found.unionByName(sums)
+    return found.groupBy("model").applyInPandas(join, "model int, rep int, P double, N double, tp double, fp double, wins double")  # a row per range
+
+
+def _replicate_metrics(sums: DataFrame) -> DataFrame:
     """AUC, F1, precision and recall per (model, rep); replicates with one class drop out."""
-    up = Window.partitionBy("model", "rep").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = weights.withColumn("_below", F.sum("neg").over(up) - F.col("neg"))
-    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    s = walked.groupBy("model", "rep").agg(
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
-        F.sum(pos * (F.col("_below") + neg / 2.0)).alias("wins"),
-    ).filter((F.col("P") > 0) & (F.col("N") > 0))
+    s = sums.filter((F.col("P") > 0) & (F.col("N") > 0))
     return s.select(
-        "model", "rep", (F.col("wins") / (F.col("P").cast("double") * F.col("N"))).alias("roc_auc"),
+        "model", "rep", (F.col("wins") / (F.col("P") * F.col("N"))).alias("roc_auc"),
         ratio(F.lit(2.0) * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P"), 0.0).alias("f1"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp"), 0.0).alias("precision"), ratio(F.col("tp"), F.col("P"), 0.0).alias("recall"),
     )
 
 
+# ---------------------------------------------------------------- variance in closed form
+
+def _placements(scored: DataFrame, score: str) -> DataFrame:
+    """``(score, above, below)`` per distinct score: what share of positives it does not beat, and of negatives it beats (ties half)."""
+    value = column(score).cast("double")
+    cells = scored.filter(value.isNotNull()).groupBy(value.alias("score")).agg(count_if(F.col("y_true") == 1).alias("pos"), count_if(F.col("y_true") == 0).alias("neg"))
+    bounds = range_bounds(scored, [score])[score]
+    walked = running_totals(cells, "score", ["pos", "neg"], bucket=F.expr(bucket_sql("score", bounds)))
+    return walked.select(
+        "score", ratio(F.col("tot_pos") - F.col("cum_pos") + F.col("pos") / 2.0, F.col("tot_pos")).alias("above"),
+        ratio(F.col("cum_neg") - F.col("neg") / 2.0, F.col("tot_neg")).alias("below"), "pos", "neg")
+
+
+def auc_variance(scored: DataFrame) -> DataFrame:
+    """AUC with the placement-value variance, standard error and normal 95 % interval; one row.
+
+    The variance is that of the positives' placements among negatives over their number, plus the
+    same for negatives; null with fewer than two rows of a class. From counts per distinct score.
+    """
+    cells = _placements(scored, "y_score")
+    one = cells.agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * F.col("below")).alias("up"),
+        F.sum(F.col("pos") * (F.col("below") - 0.5) ** 2).alias("up2"), F.sum(F.col("neg") * (F.col("above") - 0.5) ** 2).alias("down2"))
+    auc = ratio(F.col("up"), F.col("n_pos"))
+    one = one.withColumn("auc", auc)
+
+    def spread(squares: str, n: str) -> Column:  # sums are taken about a half, so little is lost
+        return F.when(F.col(n) > 1, (F.col(squares) - F.col(n) * (F.col("auc") - 0.5) ** 2) / (F.col(n) - 1) / F.col(n))
+
+    both = spread("up2", "n_pos") + spread("down2", "n_neg")
+    one = one.withColumn("variance", F.when(both < 0, 0.0).otherwise(both))
+    half = F.lit(1.959963984540054) * F.sqrt("variance")
+    return one.select("n_pos", "n_neg", "auc", "variance", F.sqrt("variance").alias("se"), *[
+        F.when(half.isNotNull(), side).alias(name) for side, name in ((F.greatest(F.col("auc") - half, F.lit(0.0)), "ci_lower"), (F.least(F.col("auc") + half, F.lit(1.0)), "ci_upper"))])
+
+
+def auc_difference_test(predictions: DataFrame, first: str, second: str) -> DataFrame:
+    """Two models on the same rows: AUC difference, its placement-value variance, z and two-sided p; one row.
+
+    Rows with equal truth and equal scores are one cell; each cell looks up the placements of its two scores.
+    """
+    wide = align_models(predictions, [first, second])
+    cells = wide.groupBy("y_true", F.col("score_0").cast("double").alias("score_0"), F.col("score_1").cast("double").alias("score_1")).agg(F.count(F.lit(1)).alias("n"))
+    for k in range(2):
+        found = _placements(wide, f"score_{k}").select(F.col("score").alias(f"_s{k}"), F.col("above").alias(f"above_{k}"), F.col("below").alias(f"below_{k}"))
+        cells = cells.join(found, F.col(f"score_{k}") == F.col(f"_s{k}"))
+    place = [F.when(F.col("y_true") == 1, F.col(f"below_{k}")).otherwise(F.col(f"above_{k}")) for k in range(2)]
+    gap = place[0] - place[1]
+    by_class = cells.groupBy("y_true").agg(
+        F.sum("n").alias("n"), *[(F.sum(F.col("n") * place[k]) / F.sum("n")).alias(f"auc_{k}") for k in range(2)],
+        F.sum(F.col("n") * gap).alias("gap"), F.sum(F.col("n") * gap * gap).alias("gap2"))
+    spread = F.when(F.col("n") > 1, (F.col("gap2") - F.col("gap") ** 2 / F.col("n")) / (F.col("n") - 1) / F.col("n"))
+    one = by_class.agg(
+        *[F.max(F.when(F.col("y_true") == 1, F.col(f"auc_{k}"))).alias(f"auc{k + 1}") for k in range(2)],
+        F.when(F.count(spread) == 2, F.greatest(F.sum(spread), F.lit(0.0))).alias("variance"))
+    difference = F.col("auc1") - F.col("auc2")
+    z = ratio(difference, F.sqrt("variance"))
+    out = one.select(F.lit(first).alias("model1"), F.lit(second).alias("model2"), "auc1", "auc2", difference.alias("auc_diff"), "variance", z.alias("z"))
+    return out.withColumn("p", F.when(F.col("z").isNotNull(), D.normal_two_sided_p(F.col("z"))))
+
+
 def bootstrap_ci(scored: DataFrame, n_boot: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Mean, SD and percentile interval of AUC, F1, precision and recall."""
     cells = scored.groupBy("y_true", F.array(column("y_score").cast("double")).alias("scores"), F.array(column("y_pred").cast("int")).alias("preds")).agg(

@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions.columns import column, join_groups, melt, numeric_columns, quoted
+from cohort.session import cut_lineage
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -93,6 +94,20 @@ def running_totals(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "_rank", part: str = "_part") -> DataFrame:
+    """Add the row number (from 1) in the given order over all rows, and the range of the sort a row fell into.
+
+    A sort across the cluster, written to the checkpoint folder so that the numbers hold; the counts of
+    the ranges, one row each, join the parts. Ties are in any order: break them in ``order``.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()  # partition number and place in it
+    held = cut_lineage(ranged.withColumn("_at", at).withColumn(part, F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)))
+    counts = held.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(part).alias("_of"), (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(part)) - F.col("_n")).alias("_before"))
+    return held.join(F.broadcast(before), F.col(part) == F.col("_of")).withColumn(out, F.col("_before") + F.col("_at") + 1).drop("_of", "_before", "_at")
+
+
 def column_bucket(bounds: Mapping[str, Sequence], name: str, value: str, literal: Callable[..., str] = _number) -> Column:
     """Bucket of a long-form value by the bounds of its own column."""
     parts = " ".join(f"WHEN {text_literal(c)} THEN {bucket_sql(quoted(value), b, literal)}" for c, b in bounds.items())

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohort.functions.columns import column, join_groups
 from cohort.functions.hashing import uniform
-from cohort.operators.rank import bucket_count
+from cohort.operators.rank import bucket_count, numbered
+from cohort.session import cut_lineage
 
 
 def hash_rank(df: DataFrame, key: str, tag: str, by: Sequence[str], out: str = "_rank", slots: int | None = None) -> DataFrame:
@@ -60,21 +61,24 @@ def detect_strata(df: DataFrame, limit: int = 10) -> list[str]:
 
 
 def _quotas(sizes: DataFrame, share: float) -> DataFrame:
-    """Test rows per stratum: proportional, largest remainders first, summing to the exact size."""
-    whole = Window.partitionBy()  # one row per stratum
+    """Test rows per stratum: proportional, largest remainders first, summing to the exact size.
+
+    Strata are numbered by a sort across the cluster, so any number of them will do.
+    """
+    sizes = cut_lineage(sizes.select("_stratum", "_n"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
     big = "decimal(38,0)"
-    total = F.sum("_n").over(whole)
-    exact = F.ceil(F.round(F.lit(float(share)) * total, 9)).cast(big)
-    sized = sizes.select("_stratum", "_n", total.cast(big).alias("_total"), exact.alias("_test"))
+    test = F.ceil(F.round(F.lit(float(share)) * F.lit(total), 9))
+    sized = sizes.select("_stratum", "_n", F.lit(total).cast(big).alias("_total"), test.cast(big).alias("_test"))
     product = F.col("_n").cast(big) * F.col("_test")
     base = sized.select("*", F.floor(product / F.col("_total")).cast("long").alias("_guess"), product.alias("_product"))
     # decimal division may round up at the last digit; correct it with exact integers
     over = F.col("_guess").cast(big) * F.col("_total") > F.col("_product")
     exact_base = base.withColumn("_base", F.when(over, F.col("_guess") - 1).otherwise(F.col("_guess"))).withColumn(
         "_rest", F.col("_product") - F.col("_base").cast(big) * F.col("_total"))
-    left = exact_base.withColumn("_left", F.col("_test").cast("long") - F.sum("_base").over(whole))
-    order = whole.orderBy(F.desc("_rest"), "_stratum")
-    return left.select("_stratum", (F.col("_base") + (F.row_number().over(order) <= F.col("_left")).cast("long")).alias("_quota"))
+    placed = numbered(exact_base.select("_stratum", "_base", "_rest", F.col("_test").cast("long").alias("_test")), [F.desc("_rest"), F.col("_stratum")])
+    left = placed.agg((F.max("_test") - F.sum("_base")).alias("n")).first()["n"]
+    return placed.select("_stratum", (F.col("_base") + (F.col("_rank") <= F.lit(left or 0)).cast("long")).alias("_quota"))
 
 
 def stratified_split(

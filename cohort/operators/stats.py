@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohort.functions import distributions as D
 from cohort.functions.columns import column, count_if, join_groups, labelled, melt, numeric_columns, ratio
 from cohort.functions.linalg import in_task
-from cohort.operators.rank import bucket_sql, medians, mid_rank, range_bounds, ranked_cells, running_totals
+from cohort.operators.rank import bucket_sql, medians, mid_rank, numbered, range_bounds, ranked_cells, running_totals
+from cohort.session import cut_lineage
 
 
 def stars(p: Column) -> Column:
@@ -113,54 +114,78 @@ def anova_one_way(df: DataFrame, value: str, group: str) -> DataFrame:
     return table.withColumn("p", D.f_p(F.col("f"), F.col("df_between"), F.col("df_within")))
 
 
-MAX_CELLS = 200_000
+#: Additive fits end when the residual of the normal equations has fallen to this share.
+FIT_TOLERANCE = 1e-11
 
 
-def _type_two(labels, counts, means):
-    """Type II sums of squares of both factors and of the interaction, from the cells."""
-    root, means = np.sqrt(np.array(counts, float)), np.array(means, float)
+def _level_effects(cells: DataFrame) -> DataFrame:
+    """``(b, effect)`` of the additive fit ``y ~ a + b`` over cells ``(a, b, n, y)``, by conjugate gradients.
 
-    def dummies(pos):
-        levels = sorted({lab[pos] for lab in labels})
-        return np.array([[float(lab[pos] == lv) for lv in levels[1:]] for lab in labels]).reshape(len(labels), -1), len(levels)
-
-    def rss(*blocks):
-        x = np.hstack([np.ones((len(labels), 1)), *blocks]) * root[:, None]
-        y = means * root
-        return float(np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2))
-
-    (xa, ka), (xb, kb) = dummies(0), dummies(1)
-    both = rss(xa, xb)
-    return rss(xb) - both, rss(xa) - both, both, ka, kb
+    Factor a is eliminated: a step takes level means of a of the direction and sums them over b, so the
+    data are two grouped sums and joins of the cells per step. The directions are as many rows as b
+    has levels, and only two numbers a step reach the driver.
+    """
+    base_a = cells.groupBy("a").agg(F.sum("n").alias("n_a"), F.sum(F.col("n") * F.col("y")).alias("s_a"))
+    base_b = cells.groupBy("b").agg(F.sum("n").alias("n_b"))
+    with_a = cells.join(base_a, "a")
+    state = with_a.groupBy("b").agg(F.sum(F.col("n") * (F.col("y") - F.col("s_a") / F.col("n_a"))).alias("r"))
+    state = cut_lineage(state.join(base_b, "b").select("b", "n_b", F.lit(0.0).alias("effect"), "r", F.col("r").alias("p")))
+    start = rest = state.agg(F.sum(F.col("r") ** 2)).first()[0] or 0.0
+    levels = state.count()
+    for _ in range(2 * levels + 50):  # exact arithmetic needs one step a level
+        if rest <= FIT_TOLERANCE**2 * start or rest == 0.0:
+            return state.select("b", "effect")
+        means = cells.join(state.select("b", "p"), "b").groupBy("a").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("m"))
+        taken = cells.join(means, "a").groupBy("b").agg(F.sum(F.col("n") * F.col("m")).alias("t"))
+        state = state.join(taken, "b").withColumn("q", F.col("n_b") * F.col("p") - F.col("t"))
+        state = cut_lineage(state.select("b", "n_b", "effect", "r", "p", "q"))
+        curve = state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if not curve > 0:
+            return state.select("b", "effect")
+        step = rest / curve
+        state = state.withColumn("effect", F.col("effect") + F.lit(step) * F.col("p")).withColumn("r", F.col("r") - F.lit(step) * F.col("q"))
+        new = state.agg(F.sum(F.col("r") ** 2)).first()[0]
+        state = state.select("b", "n_b", "effect", "r", (F.col("r") + F.lit(new / rest) * F.col("p")).alias("p"))
+        rest = new
+    raise RuntimeError("the additive fit did not settle")
 
 
 def anova_two_way(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
     """Two factors with interaction, Type II sums of squares, from cell means and counts.
 
-    The least-squares fits see one row per (a, b) cell, never the data rows.
+    Cells stay distributed, whatever their number; the additive fit sees them once a step.
     """
-    cells = (
-        df.filter(column(value).isNotNull() & column(a).isNotNull() & column(b).isNotNull())
-        .groupBy(column(a).cast("string").alias("a"), column(b).cast("string").alias("b"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(column(value)).alias("mean"), F.coalesce(F.var_samp(column(value)), F.lit(0.0)).alias("var"))
-        .limit(MAX_CELLS + 1).collect()
-    )
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} factor cells")
-    within = float(sum((c["n"] - 1) * c["var"] for c in cells))
-    labels = [(c["a"], c["b"]) for c in cells]
-    ss_a, ss_b, both, ka, kb = in_task(
-        df.sparkSession, _type_two, labels, [c["n"] for c in cells], [c["mean"] for c in cells])
-    total = int(sum(c["n"] for c in cells))
-    df_within = float(total - len(cells))
-    df_inter = float(len(cells) - ka - kb + 1)
-    rows = []
-    for source, ss, dof in ((a, ss_a, ka - 1.0), (b, ss_b, kb - 1.0), (f"{a} * {b}", both, df_inter)):
+    y, known = column(value).cast("double"), column(value).isNotNull() & column(a).isNotNull() & column(b).isNotNull()
+    rows = df.filter(known)
+    middle = rows.agg(F.avg(y)).first()[0] or 0.0
+    cells = cut_lineage(rows.groupBy(column(a).cast("string").alias("a"), column(b).cast("string").alias("b")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.avg(y - F.lit(middle)).alias("y"), F.coalesce(F.var_samp(y), F.lit(0.0)).alias("var")))
+    sizes = cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.sum((F.col("n") - 1) * F.col("var")).alias("within"),
+                      F.count_distinct("a").alias("ka"), F.count_distinct("b").alias("kb")).first()
+    flip = sizes["kb"] > sizes["ka"]  # the factor of fewer levels is solved for, the other one eliminated
+    turned = cells.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "y") if flip else cells.select("a", "b", "n", "y")
+
+    def left(parts: DataFrame, key: str, rest: Column) -> DataFrame:
+        """Cells with ``rest`` less its weighted mean within each level of ``key``."""
+        means = parts.groupBy(key).agg((F.sum(F.col("n") * rest) / F.sum("n")).alias("_m"))
+        return parts.join(means, key).withColumn("rest", rest - F.col("_m")).drop("_m")
+
+    def total(parts: DataFrame) -> float:
+        return float(parts.agg(F.sum(F.col("n") * F.col("rest") ** 2)).first()[0] or 0.0)
+
+    only_a, only_b = total(left(turned, "a", F.col("y"))), total(left(turned, "b", F.col("y")))
+    fitted = turned.join(_level_effects(turned), "b")
+    both = total(left(fitted, "a", F.col("y") - F.col("effect")))
+    ss_a, ss_b = (only_b - both, only_a - both) if not flip else (only_a - both, only_b - both)
+    within = float(sizes["within"] or 0.0)
+    df_within = float((sizes["n"] or 0) - sizes["cells"])
+    table = []
+    for source, ss, dof in ((a, ss_a, sizes["ka"] - 1.0), (b, ss_b, sizes["kb"] - 1.0), (f"{a} * {b}", both, sizes["cells"] - sizes["ka"] - sizes["kb"] + 1.0)):
         f = (ss / dof) / (within / df_within) if dof > 0 and df_within > 0 and within > 0 else None
         p = float(D.f_sf(f, dof, df_within)[0]) if f is not None else None
-        rows.append((source, ss, dof, ss / dof if dof else None, f, p, ss / (ss + within) if ss + within else None))
-    rows.append(("Residual", within, df_within, within / df_within if df_within else None, None, None, None))
-    return df.sparkSession.createDataFrame(rows, "source string, ss double, df double, ms double, f double, p double, partial_eta_squared double")
+        table.append((source, ss, dof, ss / dof if dof else None, f, p, ss / (ss + within) if ss + within else None))
+    table.append(("Residual", within, df_within, within / df_within if df_within else None, None, None, None))
+    return df.sparkSession.createDataFrame(table, "source string, ss double, df double, ms double, f double, p double, partial_eta_squared double")
 
 
 def tukey_hsd(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -179,17 +204,29 @@ def pairwise_t_tests(df: DataFrame, value: str, group: str, method: str = "bonfe
     """All group pairs by t-test with Bonferroni or Holm correction."""
     tests = _t_columns(_pairs(group_moments(df, value, group)), None)
     tests = tests.withColumn("p", D.t_two_sided_p(F.col("t"), F.col("dof")))
-    whole = Window.partitionBy()  # one row per pair of groups
-    m = F.count(F.lit(1)).over(whole)
-    if method == "bonferroni":
-        adjusted = F.least(F.col("p") * m, F.lit(1.0))
-        return tests.withColumn("p_adjusted", adjusted)
-    if method != "holm":
+    if method not in ("bonferroni", "holm"):
         raise ValueError(f"unknown correction {method!r}")
-    order = whole.orderBy("p", "label_a", "label_b")
-    step = F.least(F.col("p") * (m - F.row_number().over(order) + 1), F.lit(1.0))
-    stepped = tests.withColumn("_step", step)
-    return stepped.withColumn("p_adjusted", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
+    tests = cut_lineage(tests)
+    m = tests.filter(F.col("p").isNotNull()).count()
+    if method == "bonferroni":
+        return tests.withColumn("p_adjusted", F.least(F.col("p") * m, F.lit(1.0)))
+    return holm(tests, ["label_a", "label_b"], m)
+
+
+def holm(tests: DataFrame, ties: list[str], m: int) -> DataFrame:
+    """``p_adjusted`` by Holm's step-down rule: running maxima of ``p`` times the tests that are left.
+
+    Tests are numbered by a sort across the cluster; the largest step of the ranges before joins the
+    running maximum within a range, so no task holds all tests. Tests without a p get none and count for nothing.
+    """
+    placed = numbered(tests.filter(F.col("p").isNotNull()), [F.col("p"), *map(F.col, ties)])
+    stepped = placed.withColumn("_step", F.least(F.col("p") * (F.lit(m) - F.col("_rank") + 1), F.lit(1.0)))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    tops = stepped.groupBy(F.col("_part").alias("_of")).agg(F.max("_step").alias("_top"))  # one row a range
+    tops = tops.select("_of", F.coalesce(F.max("_top").over(earlier), F.lit(0.0)).alias("_over"))
+    inside = Window.partitionBy("_part").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    out = stepped.join(F.broadcast(tops), F.col("_part") == F.col("_of")).withColumn("p_adjusted", F.greatest(F.max("_step").over(inside), F.col("_over")))
+    return out.select(*tests.columns, "p_adjusted").unionByName(tests.filter(F.col("p").isNull()).withColumn("p_adjusted", F.lit(None).cast("double")))
 
 
 def post_hoc(df: DataFrame, value: str, group: str, method: str = "tukey") -> DataFrame:
