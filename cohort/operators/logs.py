@@ -1,6 +1,6 @@
 """Analytics over many run logs, one row per log: ``path, content``.
 
-All parsing is built-in string and array functions on the row, so a log never leaves it.
+Parsing is built-in string and array functions. What depends on earlier lines works on line rows.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from cohort.functions.columns import join_groups
 from cohort.sources.artifacts import file_name, file_stem
 
 # Fixed values of the log format.
@@ -114,46 +115,50 @@ def _from_dict(text: Column, schema: str) -> Column:
     return F.from_json(_literal_json(text), schema, {"allowSingleQuotes": "true", "allowNonNumericNumbers": "true"})
 
 
-def model_metrics(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+#: Lines of a log over which a window carries the last model; carries of the parts join them.
+CARRY_LINES = 4096
+
+
+def _last_model(rows: DataFrame, size: int) -> DataFrame:
+    """Add ``_now``, the model named last on this or an earlier line: within parts of ``size`` lines, then over the parts."""
+    cut = rows.withColumn("_part", F.floor(F.col("_pos") / size))
+    tops = cut.groupBy("path", "_part").agg(F.max_by("_named", F.when(F.col("_named").isNotNull(), F.col("_pos"))).alias("_top"))
+    earlier = Window.partitionBy("path").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    tops = tops.select("path", "_part", F.last("_top", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy("path", "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    joined = join_groups(cut, tops, ["path", "_part"])
+    return joined.withColumn("_now", F.coalesce(F.last("_named", ignorenulls=True).over(inside), F.col("_carried"))).drop("_part", "_carried")
+
+
+def model_metrics(parsed: DataFrame, keep: Sequence[str] = (), carry_lines: int = CARRY_LINES) -> DataFrame:
     """``(path, keep..., model, roc_auc, f1)`` from ``label: {...}`` lines, or else from prose.
 
     In prose a metric belongs to the model named last on this or an earlier line; a
-    model keeps the first value seen of each metric.
+    model keeps the first value seen of each metric. Of printed dicts the last of a label counts.
+    A log is looked at line by line; only lines that name a model or a metric go on.
     """
     schema = "holdout struct<roc_auc:double,f1:double>, roc_auc double, f1 double"
-    labelled = F.filter(lines("body"), lambda l: F.contains(l, F.lit("{")))
-    named = F.transform(labelled, lambda l: F.struct(
-        F.lower(F.regexp_replace(F.substring_index(l, "{", 1), r"^[\s:-]+|[\s:-]+$", "")).alias("model"),
-        _from_dict(strip(l.substr(F.locate("{", l), F.length(l))), schema).alias("d")))
-    pairs = F.transform(named, lambda x: F.struct(
-        x["model"].alias("model"),
-        F.when(x["d"]["holdout"].isNotNull(), x["d"]["holdout"]["roc_auc"]).otherwise(x["d"]["roc_auc"]).alias("roc_auc"),
-        F.when(x["d"]["holdout"].isNotNull(), x["d"]["holdout"]["f1"]).otherwise(x["d"]["f1"]).alias("f1")))
-    printed = F.filter(pairs, lambda x: (F.length(x["model"]) > 0) & (x["roc_auc"].isNotNull() | x["f1"].isNotNull()))
-
-    def mention(l: Column) -> Column:
-        low = F.lower(l)
-        return (F.when(F.contains(low, F.lit("logistic")), "logistic").when(F.contains(low, F.lit("catboost")), "catboost")
-                .when(low.rlike(r"\bgam\b"), "gam").when(F.contains(low, F.lit("dummy")), "dummy"))
-
-    found = lambda l, rx: F.when(l.rlike(rx), F.regexp_extract(l, rx, 1).try_cast("double"))
-    item = "struct<model:string,roc_auc:double,f1:double>"
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(state: Column, l: Column) -> Column:
-        now = F.coalesce(mention(l), state["now"])
-        here = F.struct(now.alias("model"), found(l, ROC).alias("roc_auc"), found(l, F1).alias("f1"))
-        hit = now.isNotNull() & (here["roc_auc"].isNotNull() | here["f1"].isNotNull())
-        return F.struct(now.alias("now"), F.when(hit, F.concat(state["out"], F.array(here))).otherwise(state["out"]).alias("out"))
-
-    prose = F.aggregate(lines("body"), start, step, lambda s: s["out"])
+    each = parsed.select("path", *keep, F.posexplode(lines("body")).alias("_pos", "_line"))
+    line, low = F.col("_line"), F.lower("_line")
+    label = F.lower(F.regexp_replace(F.substring_index(line, "{", 1), r"^[\s:-]+|[\s:-]+$", ""))
+    dicts = each.filter(F.contains(line, F.lit("{"))).select(
+        "path", *keep, "_pos", label.alias("model"), _from_dict(strip(line.substr(F.locate("{", line), F.length(line))), schema).alias("d"))
+    held = F.col("d.holdout").isNotNull()
+    printed = dicts.select(
+        "path", *keep, F.lit(1).alias("_kind"), "_pos", "model", *[F.when(held, F.col(f"d.holdout.{c}")).otherwise(F.col(f"d.{c}")).alias(c) for c in ("roc_auc", "f1")])
+    named = (F.when(F.contains(low, F.lit("logistic")), "logistic").when(F.contains(low, F.lit("catboost")), "catboost")
+             .when(low.rlike(r"\bgam\b"), "gam").when(F.contains(low, F.lit("dummy")), "dummy"))
+    found = lambda rx: F.when(line.rlike(rx), F.regexp_extract(line, rx, 1).try_cast("double"))
+    told = each.select("path", *keep, "_pos", named.alias("_named"), found(ROC).alias("roc_auc"), found(F1).alias("f1")).filter(
+        F.col("_named").isNotNull() | F.col("roc_auc").isNotNull() | F.col("f1").isNotNull())
+    prose = _last_model(told, carry_lines).select("path", *keep, F.lit(0).alias("_kind"), "_pos", F.col("_now").alias("model"), "roc_auc", "f1")
+    rows = printed.unionByName(prose).filter((F.length("model") > 0) & (F.col("roc_auc").isNotNull() | F.col("f1").isNotNull()))
     # the last printed dict of a label counts, the first value in prose
-    rows = parsed.select("path", *keep, printed.alias("_printed"), prose.alias("_prose"))
-    use_printed = F.size("_printed") > 0
-    chosen = rows.select("path", *keep, use_printed.alias("_last"), F.posexplode(F.when(use_printed, F.col("_printed")).otherwise(F.col("_prose"))).alias("_pos", "_m"))
     pick = lambda c: F.when(
-        F.first("_last"), F.max_by(F.col(f"_m.{c}"), F.col("_pos"))).otherwise(F.min_by(F.col(f"_m.{c}"), F.when(F.col(f"_m.{c}").isNotNull(), F.col("_pos"))))
-    return chosen.groupBy("path", *keep, F.col("_m.model").alias("model")).agg(pick("roc_auc").alias("roc_auc"), pick("f1").alias("f1"))
+        F.col("_kind") == 1, F.max_by(c, F.col("_pos"))).otherwise(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))))
+    models = rows.groupBy("path", *keep, "_kind", "model").agg(pick("roc_auc").alias("roc_auc"), pick("f1").alias("f1"))
+    best = models.withColumn("_best", F.max("_kind").over(Window.partitionBy("path")))  # as many rows as a log names models
+    return best.filter(F.col("_kind") == F.col("_best")).drop("_kind", "_best")
 
 
 def training_facts(parsed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
