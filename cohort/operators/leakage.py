@@ -32,24 +32,29 @@ def _folded(df: DataFrame, roles: ColumnRoles, k: int) -> tuple[M.Design, DataFr
     return design, folds.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _without(design: M.Design, folds: DataFrame, dropped: str | None) -> DataFrame:
-    if dropped is None:
-        return folds
-    keep = [i for i, owner in enumerate(design.owners) if owner != dropped]
-    return M.slice_features(folds, design.feature_names, keep)
+def _cv_auc(design: M.Design, folds: DataFrame, trainer: M.Trainer, k: int, dropped: list[str | None], workers: int = 4) -> list[tuple[float, float]]:
+    """Mean and SD over folds of the AUC without each column (None: with all); logistic models are fitted together."""
+    keeps = [tuple(i for i, owner in enumerate(design.owners) if owner != d) for d in dropped]
+    if isinstance(trainer, M.LogisticTrainer):
+        fits = [M.Fit(str(j), keep, fold, C=trainer.C) for j, keep in enumerate(keeps) for fold in range(k)]
+        scores = M.metrics_of(folds, fits).groupBy("model").agg(F.avg("roc_auc").alias("m"), F.stddev_pop("roc_auc").alias("s"))
+        found = {r["model"]: (r["m"], r["s"]) for r in scores.collect()}  # one row per column
+        return [found[str(j)] for j in range(len(dropped))]
 
+    def one(keep):
+        table = M.slice_features(folds, design.feature_names, keep)
+        row = M.fold_metrics(M.out_of_fold(table, trainer, k)).agg(F.avg("roc_auc").alias("m"), F.stddev_pop("roc_auc").alias("s")).first()
+        return row["m"], row["s"]
 
-def _cv_auc(table: DataFrame, trainer: M.Trainer, k: int) -> tuple[float, float]:
-    row = M.fold_metrics(M.out_of_fold(table, trainer, k)).agg(F.avg("roc_auc").alias("m"), F.stddev_pop("roc_auc").alias("s")).first()
-    return row["m"], row["s"]
+    return M.run_parallel([lambda keep=keep: one(keep) for keep in keeps], workers)
 
 
 def with_and_without(df: DataFrame, roles: ColumnRoles, k: int = 5, trainer: M.Trainer | None = None) -> DataFrame:
     """Cross-validated AUC with and without the sensitive column on the same folds."""
     design, folds = _folded(df, roles, k)
     trainer = trainer or M.logistic_trainer()
-    tasks = [lambda d=d: _cv_auc(_without(design, folds, d), trainer, k) for d in (None, roles.sensitive)]
-    (full, full_sd), (safe, safe_sd) = M.run_parallel(tasks)
+    (full, full_sd), (safe, safe_sd) = _cv_auc(design, folds, trainer, k, [None, roles.sensitive])
+    folds.unpersist()
     row = (full, full_sd, safe, safe_sd, full - safe, (full - safe) / full * 100.0)
     return df.sparkSession.createDataFrame(
         [row], "with_auc double, with_std double, without_auc double, without_std double, auc_drop double, auc_drop_pct double")
@@ -69,8 +74,8 @@ def drop_one_column(df: DataFrame, roles: ColumnRoles, k: int = 5, trainer: M.Tr
     design, folds = _folded(df, roles, k)
     trainer = trainer or M.logistic_trainer()
     columns = design.roles.features("full")
-    tasks = [lambda c=c: _cv_auc(_without(design, folds, c), trainer, k)[0] for c in [None, *columns]]
-    base, *rest = M.run_parallel(tasks, workers)
+    base, *rest = [mean for mean, _ in _cv_auc(design, folds, trainer, k, [None, *columns], workers)]
+    folds.unpersist()
     rows = [("baseline", None, base, 0.0, 0.0)] + [("drop", c, a, base - a, (base - a) / base * 100.0) for c, a in zip(columns, rest)]
     return df.sparkSession.createDataFrame(
         rows, "test string, dropped string, roc_auc double, auc_delta double, auc_delta_pct double").orderBy(F.desc("auc_delta"), "dropped")

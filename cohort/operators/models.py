@@ -27,6 +27,7 @@ from cohort.functions.columns import column, quoted
 from cohort.functions.hashing import uniform
 from cohort.operators.clean import learn_fills, learn_scaling
 from cohort.operators.evaluate import binary_metrics, regression_metrics, with_predictions
+from cohort.operators.many import Fit, fit_many, metrics_of, score_many
 from cohort.operators.rank import text_literal
 from cohort.operators.split import hash_rank, stratified_folds
 from cohort.roles import ColumnRoles
@@ -184,13 +185,21 @@ def validation_rows(df: DataFrame, key: str, label: str, share: float = 0.1) ->
     return ranked.withColumn("is_validation", (F.col("_rank") % max(2, round(1 / share))) == 0).drop("_rank")
 
 
-def logistic_trainer(C: float = 1.0, max_iter: int = 1000) -> Trainer:
-    def fit(train: DataFrame, test: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class LogisticTrainer:
+    """A trainer that experiments may also fit many at once (``operators.many``)."""
+
+    C: float = 1.0
+    max_iter: int = 1000
+
+    def __call__(self, train: DataFrame, test: DataFrame) -> DataFrame:
         weighted, total = with_class_weights(train)
-        model = logistic_estimator(total, C, max_iter).fit(weighted)
+        model = logistic_estimator(total, self.C, self.max_iter).fit(weighted)
         return _scored(model.transform(test))
 
-    return fit
+
+def logistic_trainer(C: float = 1.0, max_iter: int = 1000) -> LogisticTrainer:
+    return LogisticTrainer(C, max_iter)
 
 
 def boosted_trainer(iterations: int = 20, depth: int = 4, learning_rate: float = 0.1, max_bins: int = 64, **extra) -> Trainer:
@@ -348,6 +357,9 @@ def out_of_fold(table: DataFrame, trainer: Trainer, k: int = 5, tag: str = "fold
     """Every row scored by the model that did not see it: ``row_id, y_true, y_score, y_pred, fold``."""
     folds = table if "fold" in table.columns else stratified_folds(table, "row_id", "y_true", k, tag)
     folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
+    if isinstance(trainer, LogisticTrainer):
+        fitted = fit_many(folds, [Fit("model", left_out=i, C=trainer.C) for i in range(k)])
+        return score_many(folds, fitted).select("row_id", "y_true", "y_score", "y_pred", "fold")
 
     def one(i: int) -> Callable[[], DataFrame]:
         return lambda: trainer(folds.filter(F.col("fold") != i), folds.filter(F.col("fold") == i)).withColumn("fold", F.lit(i))
@@ -396,6 +408,14 @@ def sample_params(space: Mapping[str, tuple], n: int, seed: int = 42) -> list[di
     return out
 
 
+def _cv_scores(folds: DataFrame, trainers: Sequence[LogisticTrainer], k: int, metric: str) -> list[tuple[float, float]]:
+    """Mean and SD over folds of each trainer's metric, all models fitted together."""
+    fits = [Fit(str(i), left_out=fold, C=t.C) for i, t in enumerate(trainers) for fold in range(k)]
+    rows = metrics_of(folds, fits).groupBy("model").agg(F.avg(metric).alias("m"), F.stddev_pop(metric).alias("s")).collect()  # one per trainer
+    found = {r["model"]: (r["m"], r["s"]) for r in rows}
+    return [found[str(i)] for i in range(len(trainers))]
+
+
 def search_params(
     table: DataFrame, make_trainer: Callable[..., Trainer], space: Mapping[str, tuple] = SEARCH_SPACE, n_trials: int = 20, k: int = 5,
     metric: str = "f1", seed: int = 42, workers: int = 2,
@@ -406,6 +426,7 @@ def search_params(
     """
     folds = stratified_folds(table, "row_id", "y_true", k).persist(StorageLevel.MEMORY_AND_DISK)
     trials = sample_params(space, n_trials, seed)
+    trainers = [make_trainer(**p) for p in trials]
 
     def one(params: dict) -> Callable[[], tuple]:
         def run():
@@ -414,7 +435,10 @@ def search_params(
             return row["mean"], row["std"]
         return run
 
-    results = run_parallel([one(p) for p in trials], workers)
+    if all(isinstance(t, LogisticTrainer) for t in trainers):
+        results = _cv_scores(folds, trainers, k, metric)
+    else:
+        results = run_parallel([one(p) for p in trials], workers)
     rows = [(i, {n: float(v) for n, v in p.items()}, m, s) for i, (p, (m, s)) in enumerate(zip(trials, results))]
     out = table.sparkSession.createDataFrame(rows, "trial int, params map<string,double>, mean_score double, std_score double")
     best = max(zip(trials, results), key=lambda t: t[1][0])[0]

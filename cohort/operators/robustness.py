@@ -1,7 +1,8 @@
 """How stable is a trainer under folds, noise, missing features and wrong labels?
 
 All experiments take an assembled ``row_id, y_true, features`` table and a trainer
-``Callable[[train, test], scored]``; refits are independent Spark jobs run side by side.
+``Callable[[train, test], scored]``. Logistic refits share one scan per iteration; those of other
+trainers are independent Spark jobs run side by side.
 """
 
 from __future__ import annotations
@@ -54,18 +55,31 @@ def _auc_f1(scored: DataFrame) -> tuple[float, float]:
     return row["roc_auc"], row["f1"]
 
 
-def noisy(table: DataFrame, level: float, tag: str = "noise") -> DataFrame:
+def _auc_f1_many(table: DataFrame, fits: Sequence[M.Fit]) -> list[tuple[float, float]]:
+    """The same for models fitted together and scored on the clean table."""
+    found = {r["model"]: (r["roc_auc"], r["f1"]) for r in M.metrics_of(table, fits).collect()}  # one row per model
+    return [found[f.name] for f in fits]
+
+
+def noisy(table: DataFrame, level: float, tag: str = "noise", out: str = "features") -> DataFrame:
     """Gaussian noise of SD ``level`` on every feature, drawn from (row, feature) hashes."""
     x = F.col("_x")
     draws = F.transform(x, lambda v, i: v + F.lit(float(level)) * normal(F.concat(F.col("row_id").cast("string"), F.lit(":"), i.cast("string")), tag))
-    return table.withColumn("_x", vector_to_array("features")).withColumn("features", array_to_vector(draws)).drop("_x")
+    return table.withColumn("_x", vector_to_array("features")).withColumn(out, array_to_vector(draws)).drop("_x")
 
 
 def noise_test(table: DataFrame, trainer: M.Trainer, levels: Sequence[float] = NOISE_LEVELS, workers: int = 4) -> DataFrame:
     """Train on noisy features, score the clean ones: AUC and F1 drop per level, breaking point, grade."""
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = [lambda: _auc_f1(trainer(table, table))] + [lambda v=v: _auc_f1(trainer(noisy(table, v, f"noise{v}"), table)) for v in levels]
-    (base, base_f1), *rest = M.run_parallel(tasks, workers)
+    if isinstance(trainer, M.LogisticTrainer):
+        wide = table
+        for i, v in enumerate(levels):
+            wide = noisy(wide, v, f"noise{v}", f"features_{i}")
+        fits = [M.Fit("clean", C=trainer.C)] + [M.Fit(f"noise{i}", features=f"features_{i}", C=trainer.C) for i in range(len(levels))]
+        (base, base_f1), *rest = _auc_f1_many(wide, fits)
+    else:
+        tasks = [lambda: _auc_f1(trainer(table, table))] + [lambda v=v: _auc_f1(trainer(noisy(table, v, f"noise{v}"), table)) for v in levels]
+        (base, base_f1), *rest = M.run_parallel(tasks, workers)
     rows = [(float(v), a, f, base, base_f1, base - a, base_f1 - f, (base - a) / base if base else 0.0) for v, (a, f) in zip(levels, rest)]
     out = table.sparkSession.createDataFrame(
         rows, "noise_level double, roc_auc double, f1 double, baseline_auc double, baseline_f1 double, auc_drop double, f1_drop double, auc_relative_drop double")
@@ -102,7 +116,11 @@ def feature_ablation(table: DataFrame, names: Sequence[str], trainer: M.Trainer,
         part = M.slice_features(table, names, [i for i, o in enumerate(owners) if o != g])
         return _auc_f1(trainer(part, part))
 
-    (base, base_f1), *rest = M.run_parallel([lambda: _auc_f1(trainer(table, table))] + [lambda g=g: without(g) for g in found], workers)
+    if isinstance(trainer, M.LogisticTrainer):
+        fits = [M.Fit(g, tuple(i for i, o in enumerate(owners) if o != g), C=trainer.C) for g in found]
+        (base, base_f1), *rest = _auc_f1_many(table, [M.Fit("", C=trainer.C), *fits])
+    else:
+        (base, base_f1), *rest = M.run_parallel([lambda: _auc_f1(trainer(table, table))] + [lambda g=g: without(g) for g in found], workers)
     rows = [
         (g, owners.count(g), len(owners) - owners.count(g), a, f, base - a, base_f1 - f, (base - a) / base if base else 0.0)
         for g, (a, f) in zip(found, rest)
@@ -123,10 +141,18 @@ def flipped(table: DataFrame, ratio: float, tag: str = "flip") -> DataFrame:
 def label_flip_test(table: DataFrame, trainer: M.Trainer, ratios: Sequence[float] = FLIP_RATIOS, workers: int = 4) -> DataFrame:
     """Train on partly wrong labels, score against the true ones; drops from the clean fit and from the first level."""
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = [lambda: _auc_f1(trainer(table, table))] + [lambda r=r: _auc_f1(trainer(flipped(table, r, f"flip{r}"), table)) for r in ratios]
-    (base, _), *rest = M.run_parallel(tasks, workers)
-    first = rest[0][0]
     n = table.count()
+    if isinstance(trainer, M.LogisticTrainer):
+        labels = table.select("row_id", "y_true")
+        for i, r in enumerate(ratios):  # ranks of the narrow table; the features are joined once
+            turned = F.when(F.col("_rank") <= int(n * r), 1 - F.col("y_true")).otherwise(F.col("y_true"))
+            labels = hash_rank(labels, "row_id", f"flip{r}", []).withColumn(f"y_{i}", turned.cast("int")).drop("_rank")
+        fits = [M.Fit("true", C=trainer.C)] + [M.Fit(f"flip{i}", label=f"y_{i}", C=trainer.C) for i in range(len(ratios))]
+        (base, _), *rest = _auc_f1_many(table.join(labels.drop("y_true"), "row_id"), fits)
+    else:
+        tasks = [lambda: _auc_f1(trainer(table, table))] + [lambda r=r: _auc_f1(trainer(flipped(table, r, f"flip{r}"), table)) for r in ratios]
+        (base, _), *rest = M.run_parallel(tasks, workers)
+    first = rest[0][0]
     rows = [(float(r), int(n * r), a, f, base - a, first - a, a < BREAKING_AUC) for r, (a, f) in zip(ratios, rest)]
     return table.sparkSession.createDataFrame(
         rows, "flip_ratio double, n_flipped long, roc_auc double, f1 double, auc_drop_from_clean double, auc_drop_from_first double, broken boolean")
