@@ -3,8 +3,10 @@
 Folds, left-out columns, noise levels, changed labels and penalties ask for the same model again
 and again over the same rows. Here the rows are packed once into blocks of numbers, and each pass
 over the blocks gives the loss and the gradient of every model that has not converged: two matrix
-products a block. Models step side by side by limited-memory quasi-Newton updates; the driver holds
-their coefficients, never rows. Tasks hand on one row per model, summed on the executors.
+products a block. Models step side by side by limited-memory quasi-Newton updates that start from the
+curvature bound X'X / 4 of their features (Boehning and Lindsay), summed in one pass, so a handful of
+passes suffices. The driver holds coefficients and one such matrix per features column, never rows.
+Tasks hand on one row per model, summed on the executors.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 4096
 ROWS_PER_PARTITION = 250_000
 HISTORY = 20
+WIDEST_GRAM = 2048  # beyond this many features steps start from the diagonal: more passes, the same optimum
 
 
 @dataclass(frozen=True)
@@ -96,89 +99,127 @@ def _blocks(table: DataFrame, features: Sequence[str], labels: Sequence[str]) ->
     return wide.mapInArrow(pack, "n int, x binary, y binary, fold binary")
 
 
-def _pass(blocks: DataFrame, width: int, variant, label, left_out, theta=None, heavy=None, light=None) -> np.ndarray:
-    """Sums per model over all blocks, ``width + 2`` numbers each.
-
-    Without ``theta``: rows, positives and the sums of squares of each feature. With it: the loss,
-    then the gradient with the intercept's last.
-    """
-    models = len(variant)
+def _summed(blocks: DataFrame, count: int, length: int, sums_of) -> np.ndarray:
+    """``count`` arrays of ``length`` numbers: ``sums_of(n, x, y, fold, out)`` adds a block's share to ``out``."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
-        out, seen = np.zeros((models, width + 2)), False
+        out, seen = np.zeros((count, length)), False
         for batch in batches:
             for n, x, y, fold in zip(*[c.to_pylist() for c in batch.columns]):
                 seen = True
-                xs, ys, fold = np.frombuffer(x).reshape(-1, n, width), np.frombuffer(y).reshape(-1, n), np.frombuffer(fold, np.int32)
-                for v in np.unique(variant):
-                    at = np.flatnonzero(variant == v)
-                    t = ys[label[at]].T
-                    used = ~np.isnan(t) & (fold[:, None] != left_out[at][None, :])
-                    t = np.where(used, t, 0.0)
-                    if theta is None:
-                        out[at, 0] += used.sum(axis=0)
-                        out[at, 1] += t.sum(axis=0)
-                        out[at, 2:] += used.T.astype(float) @ (xs[v] ** 2)
-                        continue
-                    z = xs[v] @ theta[at, :width].T + theta[at, width]
-                    w = np.where(used, np.where(t == 1, heavy[at], light[at]), 0.0)
-                    out[at, 0] += (w * (np.logaddexp(0.0, z) - t * z)).sum(axis=0)
-                    r = w * (0.5 * (1.0 + np.tanh(0.5 * z)) - t)
-                    out[at, 1:-1] += r.T @ xs[v]
-                    out[at, -1] += r.sum(axis=0)
+                sums_of(n, np.frombuffer(x), np.frombuffer(y).reshape(-1, n), np.frombuffer(fold, np.int32), out)
         if seen:
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([
-                pa.array(range(models), pa.int32()), pa.array([part] * models, pa.int32()), pa.array([row.tobytes() for row in out], pa.binary()),
+                pa.array(range(count), pa.int32()), pa.array([part] * count, pa.int32()), pa.array([row.tobytes() for row in out], pa.binary()),
             ], names=["model", "part", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
 
-        model, total = None, None
-        done_models, done_sums = [], []
+        done = {}
         for batch in batches:
             for m, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if m != model:
-                    if model is not None:
-                        done_models.append(model)
-                        done_sums.append(total.tobytes())
-                    model, total = m, np.zeros(width + 2)
-                total += np.frombuffer(blob)
-        if model is not None:
-            done_models.append(model)
-            done_sums.append(total.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(done_models, pa.int32()), pa.array(done_sums, pa.binary())], names=["model", "sums"])
+                done[m] = done[m] + np.frombuffer(blob) if m in done else np.frombuffer(blob)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(done), pa.int32()), pa.array([v.tobytes() for v in done.values()], pa.binary())], names=["model", "sums"])
 
     parts = blocks.mapInArrow(sums, "model int, part int, sums binary")
-    spread = min(models, blocks.sparkSession.sparkContext.defaultParallelism)
+    spread = min(count, blocks.sparkSession.sparkContext.defaultParallelism)
     # in the order of the tasks, so that sums do not depend on which one came first
     totals = parts.repartition(spread, "model").sortWithinPartitions("model", "part").mapInArrow(add, "model int, sums binary")
-    out = np.zeros((models, width + 2))
+    out = np.zeros((count, length))
     for row in totals.collect():  # one row per model
         out[row["model"]] = np.frombuffer(bytes(row["sums"]))
     return out
 
 
-def _direction(g: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray) -> np.ndarray:
-    """Two-loop quasi-Newton step over a diagonal start."""
+def _class_counts(blocks: DataFrame, label, left_out) -> np.ndarray:
+    """Rows and positives that each model sees."""
+
+    def sums_of(n, x, y, fold, out):
+        import numpy as np
+
+        t = y[label].T
+        used = ~np.isnan(t) & (fold[:, None] != left_out[None, :])
+        out[:, 0] += used.sum(axis=0)
+        out[:, 1] += np.where(used, t, 0.0).sum(axis=0)
+
+    return _summed(blocks, len(label), 2, sums_of)
+
+
+def _curvature(blocks: DataFrame, variants: int, width: int, full: bool) -> np.ndarray:
+    """Per features column X'X with a column of ones last, or only its diagonal."""
+
+    def sums_of(n, x, y, fold, out):
+        import numpy as np
+
+        for v, part in enumerate(x.reshape(-1, n, width)):
+            own = np.column_stack([part, np.ones(n)])
+            out[v] += (own.T @ own).ravel() if full else (own ** 2).sum(axis=0)
+
+    return _summed(blocks, variants, (width + 1) ** 2 if full else width + 1, sums_of)
+
+
+def _loss_and_gradient(blocks: DataFrame, width: int, variant, label, left_out, theta, heavy, light) -> np.ndarray:
+    """Per model the summed loss, then its gradient with the intercept's last."""
+
+    def sums_of(n, x, y, fold, out):
+        import numpy as np
+
+        xs = x.reshape(-1, n, width)
+        for v in np.unique(variant):
+            at = np.flatnonzero(variant == v)
+            t = y[label[at]].T
+            used = ~np.isnan(t) & (fold[:, None] != left_out[at][None, :])
+            t = np.where(used, t, 0.0)
+            z = xs[v] @ theta[at, :width].T + theta[at, width]
+            w = np.where(used, np.where(t == 1, heavy[at], light[at]), 0.0)
+            out[at, 0] += (w * (np.logaddexp(0.0, z) - t * z)).sum(axis=0)
+            r = w * (0.5 * (1.0 + np.tanh(0.5 * z)) - t)
+            out[at, 1:-1] += r.T @ xs[v]
+            out[at, -1] += r.sum(axis=0)
+
+    return _summed(blocks, len(variant), width + 2, sums_of)
+
+
+def _direction(g: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]], start) -> np.ndarray:
+    """Two-loop quasi-Newton step; ``start`` applies the first guess of the inverse curvature."""
     q, alphas = g.copy(), []
     for s, y in reversed(past):
         a = (s @ q) / (s @ y)
         q -= a * y
         alphas.append(a)
-    h = scale.copy()
+    h = start(q)
     if past:
         s, y = past[-1]
-        h *= (s @ y) / (y @ (h * y))
-    q *= h
+        h *= (s @ y) / (y @ start(y))
     for (s, y), a in zip(past, reversed(alphas)):
-        q += (a - (y @ q) / (s @ y)) * s
-    return -q
+        h += (a - (y @ h) / (s @ y)) * s
+    return -h
+
+
+def _starts(curvature: np.ndarray, variant: np.ndarray, rows: int, ridge: np.ndarray, free: np.ndarray, full: bool) -> list:
+    """Per model a function that solves with its curvature bound; equal models share one factor."""
+    width, shared, out = free.shape[1], {}, []
+    for v, r, mask in zip(variant, ridge, free > 0):
+        key = (int(v), float(r), mask.tobytes())
+        if key not in shared:
+            at = np.flatnonzero(mask)
+            penalty = np.where(at < width - 1, r, 0.0)
+            inverse = np.zeros((width, width)) if full else np.zeros(width)
+            if full:
+                bound = 0.25 * curvature[v].reshape(width, width)[np.ix_(at, at)] / rows + np.diag(penalty + 1e-12)
+                inverse[np.ix_(at, at)] = np.linalg.inv(bound)
+            else:
+                inverse[at] = 1.0 / (0.25 * curvature[v][at] / rows + penalty + 1e-12)
+            shared[key] = (lambda q, m=inverse: m @ q) if full else (lambda q, m=inverse: m * q)
+        out.append(shared[key])
+    return out
 
 
 def fit_many(table: DataFrame, fits: Sequence[Fit], tol: float = 1e-6, max_passes: int = 1000) -> Fitted:
@@ -195,7 +236,7 @@ def fit_many(table: DataFrame, fits: Sequence[Fit], tol: float = 1e-6, max_passe
     p = first["p"] if first else 0
     variant, label = np.array([features.index(f.features) for f in fits]), np.array([labels.index(f.label) for f in fits])
     left_out = np.array([-2 if f.left_out is None else f.left_out for f in fits])
-    seen = _pass(blocks, p, variant, label, left_out)
+    seen = _class_counts(blocks, label, left_out)
     n, pos = np.maximum(seen[:, 0], 1.0), seen[:, 1]
     heavy, light = np.where(pos > 0, n / (2 * np.maximum(pos, 1)), 1.0), np.where(n > pos, n / (2 * np.maximum(n - pos, 1)), 1.0)
     ridge = np.array([1.0 / f.C for f in fits]) / n
@@ -203,10 +244,13 @@ def fit_many(table: DataFrame, fits: Sequence[Fit], tol: float = 1e-6, max_passe
     free[:, p] = 1.0
     for i, f in enumerate(fits):
         free[i, list(range(p) if f.keep is None else f.keep)] = 1.0
-    scale = free / np.column_stack([0.25 * seen[:, 2:] / n[:, None] + ridge[:, None], np.full(len(fits), 0.25)])
+    full = p <= WIDEST_GRAM
+    most = int(max(n))
+    # the penalty of the largest fit stands for all of one C, so folds share a factor
+    starts = _starts(_curvature(blocks, len(features), p, full), variant, most, np.array([1.0 / (f.C * most) for f in fits]), free, full)
 
     def evaluate(at: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got = _pass(blocks, p, variant[at], label[at], left_out[at], theta, heavy[at], light[at]) / n[at][:, None]
+        got = _loss_and_gradient(blocks, p, variant[at], label[at], left_out[at], theta, heavy[at], light[at]) / n[at][:, None]
         penalty = theta * ridge[at][:, None]
         penalty[:, p] = 0.0
         return got[:, 0] + 0.5 * (penalty * theta).sum(axis=1), (got[:, 1:] + penalty) * free[at]
@@ -217,16 +261,16 @@ def fit_many(table: DataFrame, fits: Sequence[Fit], tol: float = 1e-6, max_passe
     past: list[list] = [[] for _ in fits]
     length = np.ones(len(fits))
     ways = [None] * len(fits)
-    passes = 2
+    passes = 3
     while passes < max_passes:
         active = everyone[np.abs(g).max(axis=1) > tol]
         if not len(active):
             break
         for i in active:
             if ways[i] is None:
-                ways[i] = _direction(g[i], past[i], scale[i])
+                ways[i] = _direction(g[i], past[i], starts[i])
                 if g[i] @ ways[i] >= 0:  # no descent: start over
-                    past[i], ways[i] = [], -scale[i] * g[i]
+                    past[i], ways[i] = [], -starts[i](g[i])
         trial = theta[active] + length[active][:, None] * np.array([ways[i] for i in active])
         f_new, g_new = evaluate(active, trial)
         passes += 1
