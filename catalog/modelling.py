@@ -8,7 +8,7 @@ from catalog.base import SURVEY, query, u
 from catalog.tables import ROLES
 from cohort import fixtures
 from cohort.functions.columns import column, rounded
-from cohort.operators import compare, evaluate, explain, leakage, models as M, robustness, split
+from cohort.operators import compare, evaluate, explain, leakage, many, models as M, robustness, split
 
 S = f"WITH {SURVEY}"
 SAFE = ROLES.for_profile("safe")
@@ -141,14 +141,14 @@ def _(spark, sf):
 def _(spark, sf):
     _, table = _assembled(spark, sf)
     space = {"C": (0.01, 10.0, "log"), "max_iter": (50, 200, "int")}
-    trials, _best = M.search_params(table, M.logistic_trainer, space, n_trials=3, k=3)
+    trials, _best = M.search_params(table, M.logistic_trainer, space)
     return rounded(trials.select("trial", F.col("params")["C"].alias("C"), F.col("params")["max_iter"].alias("max_iter"), "mean_score", "std_score"))
 
 
 @query("default_and_tuned")
 def _(spark, sf):
     _, table = _assembled(spark, sf)
-    return rounded(M.compare_default_and_tuned(table, M.logistic_trainer, {"C": 1.0}, {"C": 0.1}, k=3))
+    return rounded(M.compare_default_and_tuned(table, M.logistic_trainer, {"C": 1.0}, {"C": 0.1}))
 
 
 _COEF = {"l_quantity": 0.0413, "l_discount": -3.0717, "l_tax": 1.5239}
@@ -205,14 +205,24 @@ def _(spark, sf):
     return rounded(leakage.top_coefficients(_survey(spark, sf), ROLES))
 
 
+@query("fold_fit_gradients")
+def _(spark, sf):
+    design, table = _assembled(spark, sf)
+    folds = split.stratified_folds(table, "row_id", "y_true", 5).persist()
+    kept = tuple(i for i, owner in enumerate(design.owners) if owner != ROLES.sensitive)
+    fits = [many.Fit(name, keep, fold) for name, keep in (("full", None), ("safe", kept)) for fold in range(5)]
+    report = many.fit_many(folds, fits).report(spark)
+    return rounded(report.select("model", "left_out", "n", "loss", (F.col("max_gradient") <= 1e-6).alias("at_optimum")))
+
+
 @query("drop_one_column")
 def _(spark, sf):
-    return rounded(leakage.drop_one_column(_survey(spark, sf), ROLES, k=3))
+    return rounded(leakage.drop_one_column(_survey(spark, sf), ROLES))
 
 
 @query("leakage_verdict")
 def _(spark, sf):
-    return rounded(leakage.investigate(_survey(spark, sf), ROLES, k=3, age="age", score="balance", city="city", binary="family_history"))
+    return rounded(leakage.investigate(_survey(spark, sf), ROLES, age="age", score="balance", city="city", binary="family_history"))
 
 
 @query("cv_stability")
@@ -230,7 +240,7 @@ def _(spark, sf):
 @query("robustness_grade")
 def _(spark, sf):
     _, table = _assembled(spark, sf, SAFE)
-    return rounded(robustness.robustness_grade(robustness.noise_test(table, M.logistic_trainer(), [0.1, 0.5])))
+    return rounded(robustness.robustness_grade(robustness.noise_test(table, M.logistic_trainer())))
 
 
 @query("feature_ablation")
