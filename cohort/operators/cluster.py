@@ -17,7 +17,7 @@ from cohort.functions.columns import column
 from cohort.functions.linalg import in_task
 from cohort.operators.clean import zscore
 from cohort.operators.models import run_parallel
-from cohort.operators.neighbors import BLOCK_ROWS, _distances, _meet, _route, _stack, _weighted_counts, collapse_copies, knn, partition_points
+from cohort.operators.neighbors import BLOCK_ROWS, _stack, collapse_copies, grow_tree, knn, meet, route, weighted_counts, within
 from cohort.operators.rank import quantiles, ranked_cells
 from cohort.session import cut_lineage
 
@@ -120,14 +120,14 @@ def _block_components(frame: pd.DataFrame, eps: float) -> pd.DataFrame:
             if not len(open_):
                 break
             hit = np.zeros(len(open_), bool)
-            for _, d in _distances(v[front], v[open_]):
-                hit |= (d <= eps).any(axis=0)
+            for _, near in within(v[front], v[open_], eps):
+                hit |= near.any(axis=0)
             front = open_[hit]
             comp[front] = ids[start]
     return frame.assign(comp=comp)
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, n_pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int, fan: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Density clusters ``(id, cluster)``, -1 for noise; exact, independent of partitioning.
 
     Clusters are numbered by their lowest core id, and a border row joins the first of them.
@@ -135,12 +135,12 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, n_pivots: int | None
     where rows are dense.
     """
     distinct, members = collapse_copies(points.select("id", "vec"))
-    cells = partition_points(distinct, n_pivots, block_rows)
-    counts = _weighted_counts(cells, eps, block_rows)
-    known = cells.points.join(counts, "id").withColumn("core", F.col("n") >= min_samples).select("id", "vec", "cell", "block", "core")
+    tree = grow_tree(distinct, fan, block_rows)
+    counts = weighted_counts(tree, eps, block_rows)
+    known = tree.points.join(counts, "id").withColumn("core", F.col("n") >= min_samples).select("id", "vec", "cell", "block", "core")
     known = cut_lineage(known)
     core = known.filter("core").select("id", "vec", "cell", "block")
-    blocks = core.groupBy("cell", "block").applyInPandas(lambda f: _block_components(f, eps), "id long, vec array<double>, cell int, block int, comp long")
+    blocks = core.groupBy("cell", "block").applyInPandas(lambda f: _block_components(f, eps), "id long, vec array<double>, cell long, block int, comp long")
     blocks = cut_lineage(blocks)
     own = blocks.select("id", F.col("comp").alias("own"))
     queries = known.join(own, "id", "left").select("id", "vec", "core", F.coalesce("own", "id").alias("own"), F.lit(float(eps)).alias("bound"))
@@ -151,14 +151,14 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, n_pivots: int | None
             w, comp = _stack(right["vec"]), right["comp"].to_numpy()
             names, where = np.unique(comp, return_inverse=True)
             own, flag = left["own"].to_numpy(), left["core"].to_numpy()
-            for at, d in _distances(_stack(left["vec"]), w):
-                q, p = np.nonzero(d <= eps)
+            for at, near in within(_stack(left["vec"]), w, eps):
+                q, p = np.nonzero(near)
                 pairs = np.unique(np.stack([q + at, where[p]], axis=1), axis=0) if len(q) else np.empty((0, 2), int)
                 found.update((bool(flag[i]), int(own[i]), int(names[j])) for i, j in pairs)
         return pd.DataFrame(sorted(found), columns=["core", "a", "b"])
 
-    routed = _route(cells, queries, "bound")
-    links = cut_lineage(_meet(cells, routed, blocks, touch, "core boolean, a long, b long", block_rows).distinct())
+    routed = route(tree, queries, "bound", 0, block_rows)
+    links = cut_lineage(meet(tree, routed, blocks, touch, "core boolean, a long, b long", block_rows).distinct())
     roots = connected_components(links.filter("core"), blocks.select(F.col("comp").alias("node")).distinct())
     numbered = ranked_cells(roots.select("root").distinct(), ["root"]).select(F.col("value").cast("long").alias("root"), (F.col("cum_n") - 1).cast("int").alias("cluster"))
     clusters = roots.join(numbered, "root").select("node", "cluster")

@@ -38,6 +38,41 @@ def test_neighbor_counts(spark):
     assert got == {i: int(c) for i, c in enumerate((d <= 0.8).sum(axis=1))}
 
 
+def test_tree_leaves_out_leaves_of_clustered_points(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.uniform(-10, 10, (40, 8))
+    array = np.vstack([c + rng.normal(0, 0.5, (100, 8)) for c in centres])
+    tree = neighbors.grow_tree(points(spark, array), 8, 64)
+    assert len(tree.levels) > 1 and tree.points.count() == 4000
+    leaves = {r["cell"]: r["size"] for r in tree.leaves.collect()}
+    assert {r["cell"]: r["count"] for r in tree.points.groupBy("cell").count().collect()} == leaves
+    routed = neighbors.route(tree, neighbors.bounded(tree, 5), "bound", 5, 64)
+    assert routed.count() < 0.6 * 4000 * len(leaves)
+    got: dict = {}
+    for r in neighbors.knn(points(spark, array), 5, 8, 64).orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got == brute_knn(array, 5)
+
+
+@pytest.mark.parametrize("scale, shift", [(1.0, 0.0), (1e-6, 1e3), (1e6, -1e3)])
+def test_ties_on_a_grid_far_from_the_origin(spark, scale, shift):
+    grid = np.stack(np.meshgrid(np.arange(12), np.arange(12)), axis=2).reshape(-1, 2) * scale + shift
+    got: dict = {}
+    for r in neighbors.knn(points(spark, grid), 4, 4, 16).orderBy("id", "position").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got == brute_knn(grid, 4)
+    d = np.sqrt(((grid[:, None] - grid[None]) ** 2).sum(axis=2))
+    counts = {r["id"]: r["n"] for r in neighbors.neighbor_counts(points(spark, grid), float(d[0, 1]), 4, 16).collect()}
+    assert counts == {i: int(c) for i, c in enumerate((d <= d[0, 1]).sum(axis=1))}
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3])
+def test_few_points(spark, rows):
+    table = points(spark, np.arange(rows * 2, dtype=float).reshape(rows, 2))
+    assert neighbors.knn(table, 5).count() == rows * max(0, rows - 1)
+    assert neighbors.neighbor_counts(table, 100.0).filter(F.col("n") != rows).count() == 0
+
+
 def brute_dbscan(array, eps, least):
     d = np.sqrt(((array[:, None] - array[None]) ** 2).sum(axis=2)) <= eps
     core, labels, k = d.sum(axis=1) >= least, np.full(len(array), -1), 0
