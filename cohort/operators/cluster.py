@@ -19,7 +19,7 @@ from cohort.operators.clean import zscore
 from cohort.operators.models import run_parallel
 from cohort.operators.neighbors import BLOCK_ROWS, _stack, collapse_copies, grow_tree, knn, meet, route, weighted_counts, within
 from cohort.operators.rank import quantiles, ranked_cells
-from cohort.session import cut_lineage
+from cohort.session import written
 
 # Fixed values of the density search.
 EPS_QUANTILES = [0.50 + 0.05 * i for i in range(10)]
@@ -94,14 +94,14 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     the root, so long chains shrink geometrically; lineage is cut every round.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = cut_lineage(both)
-    roots = cut_lineage(nodes.select("node", F.col("node").alias("root")))
+    both = written(both)
+    roots = written(nodes.select("node", F.col("node").alias("root")))
     while True:
         seen = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("_near"))
         hooked = roots.join(seen, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("_near", "root")).alias("root"), F.col("root").alias("_old"))
         up = hooked.select(F.col("node").alias("_n"), F.col("root").alias("_up"))
         jumped = hooked.join(up, F.col("root") == F.col("_n")).select("node", F.least("root", "_up").alias("root"), "_old")
-        jumped = cut_lineage(jumped)
+        jumped = written(jumped)
         if jumped.filter("root <> _old").limit(1).count() == 0:
             return jumped.select("node", "root")
         roots = jumped.select("node", "root")
@@ -138,10 +138,10 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, fan: int | None = No
     tree = grow_tree(distinct, fan, block_rows)
     counts = weighted_counts(tree, eps, block_rows)
     known = tree.points.join(counts, "id").withColumn("core", F.col("n") >= min_samples).select("id", "vec", "cell", "block", "core")
-    known = cut_lineage(known)
+    known = written(known)
     core = known.filter("core").select("id", "vec", "cell", "block")
     blocks = core.groupBy("cell", "block").applyInPandas(lambda f: _block_components(f, eps), "id long, vec array<double>, cell long, block int, comp long")
-    blocks = cut_lineage(blocks)
+    blocks = written(blocks)
     own = blocks.select("id", F.col("comp").alias("own"))
     queries = known.join(own, "id", "left").select("id", "vec", "core", F.coalesce("own", "id").alias("own"), F.lit(float(eps)).alias("bound"))
 
@@ -158,7 +158,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, fan: int | None = No
         return pd.DataFrame(sorted(found), columns=["core", "a", "b"])
 
     routed = route(tree, queries, "bound", 0, block_rows)
-    links = cut_lineage(meet(tree, routed, blocks, touch, "core boolean, a long, b long", block_rows).distinct())
+    links = written(meet(tree, routed, blocks, touch, "core boolean, a long, b long", block_rows).distinct())
     roots = connected_components(links.filter("core"), blocks.select(F.col("comp").alias("node")).distinct())
     numbered = ranked_cells(roots.select("root").distinct(), ["root"]).select(F.col("value").cast("long").alias("root"), (F.col("cum_n") - 1).cast("int").alias("cluster"))
     clusters = roots.join(numbered, "root").select("node", "cluster")
