@@ -54,8 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once in the checkpoint folder and read again.
 
-    Beside ``cut_lineage`` it brings the true size of the table: a checkpoint keeps the estimate of the
-    plan before it, which multiplies with every join of a long loop.
+    Unlike after ``cut_lineage``, Spark sees the size of the files, not an estimate from the plan before;
+    use it in loops that join.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
