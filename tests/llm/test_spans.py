@@ -2,9 +2,11 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from cohort.llm import spans
-from cohort.llm.text import utf8
+from cohort.llm.text import Words, utf8
 
 
 def split(text):
@@ -134,3 +136,37 @@ def test_a_passage_glued_at_both_ends_is_removed(spark):
             data = data[:r["start"]] + data[r["end"]:]
         assert data.decode() == out[2 * case + 1].text
         assert [w for w in texts[2 * case + 1].split() if w not in shared] == [w for w in out[2 * case + 1].text.split() if w not in shared]
+
+
+def test_one_name_per_run_is_enough_to_count():
+    raw, offsets = utf8(pa.array([t for _, t in corpus()[0]] + [None, ""]))
+    apart = Words(raw, offsets, spans._TABLE)
+    first, count, name = spans.runs(spans.sentences(raw, offsets, apart, spans.SALTS[:1]))
+    again = spans.runs(spans.sentences(raw, offsets))
+    assert len(again) == 4 and all((a == b).all() for a, b in zip((first, count, name), again))
+    assert len(set(zip(first.tolist(), count.tolist()))) == len(first) > 100
+    assert spans.sentences(raw, offsets, apart, ()).keys == ()
+
+
+@pytest.mark.parametrize("common", [0, 3, 10**6])
+def test_common_names_give_the_same_places(spark, monkeypatch, common):
+    monkeypatch.setattr(spans, "COMMON", common)
+    rows, _ = corpus()
+    rows += [(None, rows[3][1]), (50, rows[3][1]), (50, rows[3][1]), (54, rows[0][1] + " " + rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.key: sorted(r.places) for r in spans.repeated(docs).collect()} == {k: v for (k, _), v in brute(rows).items()}
+
+
+def test_a_very_common_name_is_spread_over_tasks(spark):
+    rows = [(k or None, 31 * k, 7, 7, k % 5 << 32, True) for k in range(3000)] + [(k, 31 * k, k % 400, 9, 2, False) for k in range(1200)]
+    spots = spark.createDataFrame(rows + rows[:50], "key long, print long, name long, more long, spot long, common boolean").repartition(5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = spans.later(spots).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    own = [r for r in found if r.more == 7]
+    assert sorted((r.key, r.spot) for r in own) == [(k, k % 5 << 32) for k in range(1, 3000)]
+    assert {(r.key, r["name"]) for r in found if r.more == 9} == {(k, k % 400) for k in range(400, 1200)}
+    tasks = [sum(r.task == t for r in own) for t in {r.task for r in own}]
+    assert len(tasks) > 4 and max(tasks) < 0.4 * len(own)
