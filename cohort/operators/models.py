@@ -27,7 +27,7 @@ from cohort.functions.columns import column, quoted
 from cohort.functions.hashing import uniform
 from cohort.operators.clean import learn_fills, learn_scaling
 from cohort.operators.evaluate import binary_metrics, regression_metrics, with_predictions
-from cohort.operators.many import Fit, fit_many, metrics_of, score_many
+from cohort.operators.many import Fit, fit_many, metrics_of, ranked_fits, score_many
 from cohort.operators.rank import text_literal
 from cohort.operators.split import hash_rank, stratified_folds
 from cohort.roles import ColumnRoles
