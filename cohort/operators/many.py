@@ -9,14 +9,13 @@ passes suffices. The driver holds coefficients and one such matrix per features
 Tasks hand on one row per model, summed on the executors. Blocks are kept packed column by column.
 
 Noise levels change every feature, so their blocks can't be shared: they are made level by level from
-the clean blocks, kept until that level's model is found, and dropped. Each level starts from the last
-one's coefficients and their exact curvature, so a few passes do.
+the clean blocks, kept until that level's model is found, and dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -211,8 +210,8 @@ def _curvature(blocks: DataFrame, variants: int, width: int, full: bool) -> np.n
     return _summed(blocks, variants, (width + 1) ** 2 if full else width + 1, variants, width, sums_of)
 
 
-def _loss_and_gradient(blocks: DataFrame, variants: int, width: int, variant, label, left_out, theta, heavy, light, curved: bool = False) -> np.ndarray:
-    """Per model the summed loss, then its gradient with the intercept's last, then, if ``curved``, the matrix of its second derivatives."""
+def _loss_and_gradient(blocks: DataFrame, variants: int, width: int, variant, label, left_out, theta, heavy, light) -> np.ndarray:
+    """Per model the summed loss, then its gradient with the intercept's last."""
 
     def sums_of(n, xs, y, fold, out):
         import numpy as np
@@ -225,16 +224,11 @@ def _loss_and_gradient(blocks: DataFrame, variants: int, width: int, variant, la
             z = xs[v] @ theta[at, :width].T + theta[at, width]
             w = np.where(used, np.where(t == 1, heavy[at], light[at]), 0.0)
             out[at, 0] += (w * (np.logaddexp(0.0, z) - t * z)).sum(axis=0)
-            p = 0.5 * (1.0 + np.tanh(0.5 * z))
-            r = w * (p - t)
-            out[at, 1:width + 1] += r.T @ xs[v]
-            out[at, width + 1] += r.sum(axis=0)
-            if curved:
-                own = np.column_stack([xs[v], np.ones(n)])
-                for m, c in zip(at, (w * p * (1.0 - p)).T):
-                    out[m, width + 2:] += ((own * c[:, None]).T @ own).ravel()
+            r = w * (0.5 * (1.0 + np.tanh(0.5 * z)) - t)
+            out[at, 1:-1] += r.T @ xs[v]
+            out[at, -1] += r.sum(axis=0)
 
-    return _summed(blocks, len(variant), width + 2 + (width + 1) ** 2 * curved, variants, width, sums_of)
+    return _summed(blocks, len(variant), width + 2, variants, width, sums_of)
 
 
 def _direction(g: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]], start) -> np.ndarray:
@@ -298,15 +292,15 @@ def _width(table: DataFrame, features: str) -> int:
     return first["p"] if first else 0
 
 
-def _fit(blocks: DataFrame, p: int, fits: Sequence[Fit], tol: float = 1e-6, max_passes: int = 1000, start: Fitted | None = None) -> Fitted:
+def _fit(blocks: DataFrame, p: int, fits: Sequence[Fit], tol: float = 1e-6, max_passes: int = 1000, seen: np.ndarray | None = None) -> Fitted:
     """``fit_many`` over packed blocks, which hold the features and labels in the order of the fits.
 
-    ``start`` are models of the same rows and labels: steps begin at their coefficients, with the exact curvature there.
+    ``seen`` are rows and positives per model, if they are known.
     """
     features, labels = _names(fits)
     variant, label = np.array([features.index(f.features) for f in fits]), np.array([labels.index(f.label) for f in fits])
     left_out = np.array([-2 if f.left_out is None else f.left_out for f in fits])
-    seen = _class_counts(blocks, label, left_out) if start is None else start.seen
+    seen = _class_counts(blocks, label, left_out) if seen is None else seen
     n, pos = np.maximum(seen[:, 0], 1.0), seen[:, 1]
     heavy, light = np.where(pos > 0, n / (2 * np.maximum(pos, 1)), 1.0), np.where(n > pos, n / (2 * np.maximum(n - pos, 1)), 1.0)
     ridge = np.array([1.0 / f.C for f in fits]) / n
@@ -316,21 +310,18 @@ def _fit(blocks: DataFrame, p: int, fits: Sequence[Fit], tol: float = 1e-6, max_
         free[i, list(range(p) if f.keep is None else f.keep)] = 1.0
     full = p <= WIDEST_GRAM
     most = int(max(n))
-    exact = start is not None and full
+    # the penalty of the largest fit stands for all of one C, so folds share a factor
+    starts = _starts(_curvature(blocks, len(features), p, full), variant, most, np.array([1.0 / (f.C * most) for f in fits]), free, full)
 
-    def evaluate(at: np.ndarray, theta: np.ndarray, curved: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = _loss_and_gradient(blocks, len(features), p, variant[at], label[at], left_out[at], theta, heavy[at], light[at], curved) / n[at][:, None]
+    def evaluate(at: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = _loss_and_gradient(blocks, len(features), p, variant[at], label[at], left_out[at], theta, heavy[at], light[at]) / n[at][:, None]
         penalty = theta * ridge[at][:, None]
         penalty[:, p] = 0.0
-        return got[:, 0] + 0.5 * (penalty * theta).sum(axis=1), (got[:, 1:p + 2] + penalty) * free[at], got[:, p + 2:]
+        return got[:, 0] + 0.5 * (penalty * theta).sum(axis=1), (got[:, 1:] + penalty) * free[at]
 
-    theta = np.zeros((len(fits), p + 1)) if start is None else start.coefficients.copy()
+    theta = np.zeros((len(fits), p + 1))
     everyone = np.arange(len(fits))
-    f, g, curvature = evaluate(everyone, theta, exact)
-    if exact:
-        starts = _starts(4.0 * curvature, everyone, 1, ridge, free, full)
-    else:  # the penalty of the largest fit stands for all of one C, so folds share a factor
-        starts = _starts(_curvature(blocks, len(features), p, full), variant, most, np.array([1.0 / (f.C * most) for f in fits]), free, full)
+    f, g = evaluate(everyone, theta)
     past: list[list] = [[] for _ in fits]
     length = np.ones(len(fits))
     ways = [None] * len(fits)
@@ -345,7 +336,7 @@ def _fit(blocks: DataFrame, p: int, fits: Sequence[Fit], tol: float = 1e-6, max_
                 if g[i] @ ways[i] >= 0:  # no descent: start over
                     past[i], ways[i] = [], -starts[i](g[i])
         trial = theta[active] + length[active][:, None] * np.array([ways[i] for i in active])
-        f_new, g_new, _ = evaluate(active, trial)
+        f_new, g_new = evaluate(active, trial)
         passes += 1
         for j, i in enumerate(active):
             slope = length[i] * (g[i] @ ways[i])
@@ -407,14 +398,13 @@ def ranked_fits(table: DataFrame, fits: Sequence[Fit], levels: Sequence[tuple[fl
     try:
         p = _width(table, features[0])
         fitted = _fit(blocks, p, list(fits))
-        theta, last = [fitted.coefficients], replace(fitted, coefficients=fitted.coefficients[:1], seen=fitted.seen[:1])
+        theta = [fitted.coefficients]
         for level, tag in levels:
             noisy = _noisy(blocks, p, float(level), tag).persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                last = _fit(noisy, p, list(fits[:1]), start=last)
+                theta.append(_fit(noisy, p, list(fits[:1]), seen=fitted.seen[:1]).coefficients)
             finally:
                 noisy.unpersist()
-            theta.append(last.coefficients)
         return _auc_f1(blocks, p, np.concatenate(theta))
     finally:
         blocks.unpersist()
