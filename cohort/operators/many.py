@@ -400,11 +400,11 @@ def ranked_fits(table: DataFrame, fits: Sequence[Fit], levels: Sequence[tuple[fl
         fitted = _fit(blocks, p, list(fits))
         theta = [fitted.coefficients]
         for level, tag in levels:
-            noisy = _noisy(blocks, p, float(level), tag).persist(StorageLevel.MEMORY_AND_DISK)
+            noisy = _noisy(blocks, p, float(level), tag).persist(StorageLevel.DISK_ONLY)  # too large for the heap beside the rest
             try:
                 theta.append(_fit(noisy, p, list(fits[:1]), seen=fitted.seen[:1]).coefficients)
             finally:
-                noisy.unpersist()
+                noisy.unpersist(blocking=True)
         return _auc_f1(blocks, p, np.concatenate(theta))
     finally:
         blocks.unpersist()
